@@ -28,6 +28,8 @@ from listenlake.llm._graph import connected_components
 from listenlake.runtime import discard, materialize, ship_package
 
 _U = np.uint64
+#: Document ids (8 bytes each) up to which a set of them is broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def max_difference(size: int, num: int, den: int) -> int:
@@ -193,9 +195,13 @@ def ngram_jaccard_components(
     sketch = lambda i: sketches.select(F.col("doc_id").alias(i), F.col("n").alias(f"n{i}"), F.col("bits").alias(f"b{i}"))
     stars = shared.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
     tried = materialize(_plausible(stars.join(sketch("b"), "b").join(sketch("a"), "a"), num, den).select("a", "b"), "jaccard-pairs")
-    sets = lambda pairs: materialize(
-        rows.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "jaccard-sets"
-    )
+
+    def sets(pairs: DataFrame) -> DataFrame:
+        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-ids")
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")  # few documents: their texts needn't be shuffled
+        own = rows.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>")
+        return materialize(own.dropDuplicates(["doc_id"]), "jaccard-sets")
+
     links = materialize(_verified(tried, sets(tried), num, den), "jaccard-links")
     label = connected_components(links)
 
