@@ -80,12 +80,16 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: in
         return np.zeros(0, np.uint64)
     lengths = ends - starts
     cum = np.concatenate(([0], np.cumsum(lengths)))
-    at = np.arange(cum[-1])
-    at -= np.repeat(cum[:-1], lengths)  # place in the span
+    kind = np.int32 if len(buf) < 2**31 else np.int64
+    at = np.arange(cum[-1], dtype=kind)
+    at -= np.repeat(cum[:-1].astype(kind), lengths)  # place in the span
     longest = int(lengths.max())
     v = powers(max(longest, 1), which)[at]
-    at += np.repeat(starts, lengths)
-    v *= _BYTES[which][buf[at]]
+    if cum[-1] == len(buf):
+        v *= _BYTES[which][buf]
+    else:
+        at += np.repeat(starts.astype(kind), lengths)
+        v *= _BYTES[which][buf[at]]
     full = lengths > 0
     out = np.zeros(len(starts), np.uint64)
     if full.any():
