@@ -225,7 +225,7 @@ def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_c
         held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last"),
         "line-counts",
     )
-    shards = max(1, -(-twice.count() // SHARD_KEYS))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-twice.count() // SHARD_KEYS))
     dealt = twice.select(F.shiftrightunsigned(F.shiftrightunsigned("h1", 32) * F.lit(shards), 32).alias("shard"), "h1", "h2", "n", "first")
     index = materialize(dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_build, "shard long, blob binary"), "line-index")
     loads = dealt.groupBy("shard").agg(F.sum("n").alias("load")).where(F.col("load") > 2 * TASK_PROBES).collect()

@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from listenlake.llm.bpe_trie import encode_decode
 from listenlake.llm.decontamination import decontaminate
 from listenlake.llm.line_dedup import dedup_lines
 from listenlake.llm.ngram_jaccard import ngram_jaccard_components
+from listenlake.llm.quality_rules import quality_rules
+from listenlake.llm.secret_scan import secret_digest
 from listenlake.llm.token_counts import token_counts
+from listenlake.llm.token_files import read_token_files, write_token_files
+from listenlake.llm.toxicity import held_out, score_toxicity, train_toxicity
 from listenlake.llm.warc import read_warc, write_warc
 from listenlake.runtime import scratch_path
 
@@ -26,27 +31,81 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_token_files(spark, path)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = train_toxicity(docs, _table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, net).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", "n_tokens", "chars_per_token", "byte_share", "entropy_share")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_warc(_table(spark, sf_dir, "pages"), path)
     return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_decode(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), clean=False)
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 QUERIES = {
-    "op1_ngram_jaccard": op1_ngram_jaccard,
-    "op2_line_dedup": op2_line_dedup,
-    "op4_token_counts": op4_token_counts,
-    "op7_warc": op7_warc,
-    "op10_decontamination": op10_decontamination,
-}
-
-ORACLE: dict[str, str] = {}
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard, op2_line_dedup, op3_token_files, op4_token_counts, op5_toxicity,
+        op6_quality_rules, op7_warc, op8_bpe_trie, op9_secret_scan, op10_decontamination,
+    )
+}
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_OP2 = f"""
+WITH line AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS k FROM line),
+twice AS (SELECT k, min(doc_id) AS first FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+marked AS (SELECT keyed.*, twice.k IS NOT NULL AND keyed.doc_id <> twice.first AS gone FROM keyed LEFT JOIN twice ON keyed.k = twice.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+_OP10 = f"""
+WITH item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT item, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS p, least(len(w), 10) AS n
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
+doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+place AS (
+  SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS p
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+hit AS (SELECT DISTINCT doc_id, i, place.n, item FROM place JOIN win ON place.p = win.p AND place.n = win.n),
+words AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+ORACLE: dict[str, str] = {"op2_line_dedup": _OP2, "op10_decontamination": _OP10}
