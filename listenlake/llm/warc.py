@@ -3,12 +3,13 @@
 Headers (payload digest, length, page id) are shuffled by digest without payloads; the smallest page id of a
 digest is the original response and the others revisit it. Records are put together with built-in functions
 and written by Spark's text sink, whose line separator is a WARC record's closing pair of line ends, so
-the files are plain WARC. Reading splits whole files by each record's Content-Length.
+the files are WARC, gzip-compressed as a whole. Reading splits whole files by each record's Content-Length.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 
 import pyarrow as pa
@@ -69,13 +70,12 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, date: str = "2024-01
         body,
     )
     joined = rows.join(first, "digest", "left").withColumn("is_revisit", revisit)
-    joined.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    joined.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def _parse(raw: memoryview):
     """(headers, payload) of each record of one file."""
-    at = 0
-    whole = bytes(raw)
+    at, whole = 0, gzip.decompress(raw)
     while at < len(whole):
         stop = whole.index(b"\r\n\r\n", at)
         version, *lines = whole[at:stop].decode().split(EOL)
@@ -94,7 +94,7 @@ def _records(batches):
     for b in batches:
         for content in b.column(0):
             rows = []
-            for h, payload in _parse(content.as_buffer() if content.is_valid else memoryview(b"")):
+            for h, payload in _parse(content.as_buffer()):
                 digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
                 if h["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                     raise ValueError(f"page {h['X-Page']}: payload and digest differ")
