@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from listenlake.plans import library, listening
+from listenlake.plans import browse, library, listening, rules
 
-_MODULES = (listening, library)
+_MODULES = (listening, library, rules, browse)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
