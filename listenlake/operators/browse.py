@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from listenlake.catalog import Catalog
 from listenlake.functions import exprs as X
 
-_N = F.count(F.lit(1)).cast("long")
+
+def _n() -> Column:
+    return F.count(F.lit(1)).cast("long")
 
 
 def artist_arrays(cat: Catalog) -> DataFrame:
@@ -64,7 +66,7 @@ def artists(cat: Catalog, q: str | None = None) -> DataFrame:
 def albums(cat: Catalog) -> DataFrame:
     """Albums by title and primary artist: songs, first year, total duration."""
     named = cat.songs.where("album <> ''").join(_first_primary(cat), "sha_id").withColumn("album_id", X.album_id("album", "primary_artist"))
-    return named.groupBy("album_id").agg(F.min("album").alias("album"), F.max("primary_artist").alias("artist"), F.min("release_year").alias("release_year"), _N.alias("songs"), F.sum("duration_sec").cast("long").alias("duration_sec"))
+    return named.groupBy("album_id").agg(F.min("album").alias("album"), F.max("primary_artist").alias("artist"), F.min("release_year").alias("release_year"), _n().alias("songs"), F.sum("duration_sec").cast("long").alias("duration_sec"))
 
 
 def popular_artists(cat: Catalog, limit: int = 10) -> DataFrame:
@@ -104,7 +106,7 @@ def genres(cat: Catalog) -> DataFrame:
 
 
 def queue_by_status(cat: Catalog) -> DataFrame:
-    return cat.download_queue.groupBy("status").agg(_N.alias("n"))
+    return cat.download_queue.groupBy("status").agg(_n().alias("n"))
 
 
 def queue(cat: Catalog, statuses: list[str], limit: int = 100) -> DataFrame:
@@ -116,7 +118,7 @@ def feature_status(cat: Catalog) -> DataFrame:
     """Songs analysed, failed and pending, and the mean time of an analysis."""
     x = cat.songs.select("sha_id").join(cat.audio_features.select("sha_id", "error_message", "analysis_duration_ms", F.lit(True).alias("has")), "sha_id", "left")
     failed = F.col("error_message").isNotNull()
-    return x.agg(_N.alias("total"), F.count_if(F.col("has") & ~failed).cast("long").alias("analysed"), F.count_if(failed).cast("long").alias("failed"), F.count_if(F.col("has").isNull()).cast("long").alias("pending"), F.round(F.avg(F.when(~failed, F.col("analysis_duration_ms"))), 2).alias("avg_ms"))
+    return x.agg(_n().alias("total"), F.count_if(F.col("has") & ~failed).cast("long").alias("analysed"), F.count_if(failed).cast("long").alias("failed"), F.count_if(F.col("has").isNull()).cast("long").alias("pending"), F.round(F.avg(F.when(~failed, F.col("analysis_duration_ms"))), 2).alias("avg_ms"))
 
 
 def pending_features(cat: Catalog) -> DataFrame:

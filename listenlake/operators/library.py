@@ -11,7 +11,9 @@ from listenlake.functions import exprs as X
 from listenlake.functions.period import parse_period, within
 from listenlake.operators.windows import running_total
 
-_N = F.count(F.lit(1)).cast("long")
+
+def _n() -> Column:
+    return F.count(F.lit(1)).cast("long")
 FEATURES = ["bpm", "energy", "danceability", "acousticness", "instrumentalness", "speechiness"]
 PAIRS = [
     ("bpm", "energy"), ("bpm", "danceability"), ("energy", "danceability"), ("energy", "acousticness"), ("energy", "instrumentalness"), ("energy", "speechiness"),
@@ -22,7 +24,7 @@ PAIRS = [
 def library_stats(cat: Catalog) -> DataFrame:
     """One row: songs, durations, artists, storage, span of years."""
     songs = cat.songs.agg(
-        _N.alias("songs"), F.sum("duration_sec").cast("long").alias("total_sec"), F.round(F.avg("duration_sec"), 2).alias("avg_sec"), F.min("duration_sec").alias("min_sec"), F.max("duration_sec").alias("max_sec"),
+        _n().alias("songs"), F.sum("duration_sec").cast("long").alias("total_sec"), F.round(F.avg("duration_sec"), 2).alias("avg_sec"), F.min("duration_sec").alias("min_sec"), F.max("duration_sec").alias("max_sec"),
         F.min(F.when(F.col("release_year") >= 1900, F.col("release_year"))).alias("first_year"), F.max(F.when(F.col("release_year") >= 1900, F.col("release_year"))).alias("last_year"),
         F.min_by("sha_id", F.struct(-F.col("duration_sec"), "sha_id")).alias("longest_song"), F.min_by("sha_id", F.struct("duration_sec", "sha_id")).alias("shortest_song"),
     )
@@ -34,14 +36,14 @@ def library_stats(cat: Catalog) -> DataFrame:
 
 def songs_by_decade(cat: Catalog) -> DataFrame:
     """Songs by decade of release, from 1900 on."""
-    return cat.songs.where("release_year >= 1900").groupBy((F.floor(F.col("release_year") / 10) * 10).cast("int").alias("decade")).agg(_N.alias("songs"))
+    return cat.songs.where("release_year >= 1900").groupBy((F.floor(F.col("release_year") / 10) * 10).cast("int").alias("decade")).agg(_n().alias("songs"))
 
 
 def library_growth(cat: Catalog, period: str, as_of: datetime) -> DataFrame:
     """Songs added by day (week), week (month) or month, with the running total."""
     unit = {"week": "day", "month": "week"}.get(period, "month")
     added = cat.songs.where(within("created_at", *parse_period(period, as_of)))
-    by = added.groupBy(F.to_date(F.date_trunc(unit, "created_at")).alias("bucket")).agg(_N.alias("added"))
+    by = added.groupBy(F.to_date(F.date_trunc(unit, "created_at")).alias("bucket")).agg(_n().alias("added"))
     return running_total(by, "bucket", "added")
 
 
@@ -49,7 +51,7 @@ def library_composition(cat: Catalog) -> DataFrame:
     """Long form (dimension, value, songs, percentage): ingestion source, verified, features, year, album."""
     n = lambda c: F.count_if(c).cast("long")
     songs = cat.songs.join(cat.audio_features.select("sha_id", F.lit(True).alias("has")), "sha_id", "left")
-    flags = songs.agg(_N.alias("total"), n("verified").alias("verified"), n(F.col("has")).alias("with_features"), n(F.col("release_year").isNotNull()).alias("with_year"), n(F.col("album").isNotNull() & (F.col("album") != "")).alias("with_album"))
+    flags = songs.agg(_n().alias("total"), n("verified").alias("verified"), n(F.col("has")).alias("with_features"), n(F.col("release_year").isNotNull()).alias("with_year"), n(F.col("album").isNotNull() & (F.col("album") != "")).alias("with_album"))
     names = ["verified", "with_features", "with_year", "with_album"]
     long = flags.select("total", F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), F.lit("true").alias("value"), F.col(k).alias("songs")) for k in names])).alias("x")).select("x.*", "total")
     source = cat.song_files.groupBy(F.coalesce("ingestion_source", F.lit("unknown")).alias("value")).agg(F.count_distinct("sha_id").alias("songs"))
@@ -69,7 +71,7 @@ def audio_feature_histogram(cat: Catalog) -> DataFrame:
     tempo = X.bins("v", [(80, "60-80"), (100, "80-100"), (120, "100-120"), (140, "120-140"), (160, "140-160")], "160+")
     share = X.bins("v", [(20, "0-20"), (40, "20-40"), (60, "40-60"), (80, "60-80")], "80-100")
     long = cat.audio_features.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in FEATURES])).alias("x")).select("x.*").where("v IS NOT NULL")
-    return long.groupBy("feature", F.when(F.col("feature") == "bpm", tempo).otherwise(share).alias("bin")).agg(_N.alias("songs"))
+    return long.groupBy("feature", F.when(F.col("feature") == "bpm", tempo).otherwise(share).alias("bin")).agg(_n().alias("songs"))
 
 
 def _corr(x: str, y: str) -> Column:
@@ -93,7 +95,7 @@ def feature_sample(cat: Catalog, n: int = 500, seed: int = 7) -> DataFrame:
 def key_distribution(cat: Catalog) -> DataFrame:
     """Songs by key and mode, with shares and each mode's total; modes compare without case."""
     name = F.element_at(F.array(*[F.lit(p) for p in PITCHES]), F.col("pitch_class") + 1)
-    by = cat.audio_features.where("pitch_class IS NOT NULL").groupBy(name.alias("key"), F.lower("key_mode").alias("mode")).agg(_N.alias("songs"))
+    by = cat.audio_features.where("pitch_class IS NOT NULL").groupBy(name.alias("key"), F.lower("key_mode").alias("mode")).agg(_n().alias("songs"))
     total = by.groupBy("mode").agg(F.sum("songs").alias("mode_songs"))
     return by.crossJoin(by.agg(F.sum("songs").alias("total"))).join(total, "mode").select("key", "mode", "songs", X.percent("songs", "total").alias("percentage"), "mode_songs")
 
@@ -101,8 +103,8 @@ def key_distribution(cat: Catalog) -> DataFrame:
 def mood_distribution(cat: Catalog) -> DataFrame:
     """Songs by primary mood with mean energy, danceability and tempo, and by secondary mood, each with its share."""
     mean = lambda c: F.round(F.avg(c), 1).alias(f"avg_{c}")
-    one = cat.audio_features.where("mood_primary IS NOT NULL").groupBy(F.col("mood_primary").alias("mood")).agg(_N.alias("songs"), mean("energy"), mean("danceability"), mean("bpm"))
-    two = cat.audio_features.where("mood_secondary IS NOT NULL").groupBy(F.col("mood_secondary").alias("mood")).agg(_N.alias("songs"))
+    one = cat.audio_features.where("mood_primary IS NOT NULL").groupBy(F.col("mood_primary").alias("mood")).agg(_n().alias("songs"), mean("energy"), mean("danceability"), mean("bpm"))
+    two = cat.audio_features.where("mood_secondary IS NOT NULL").groupBy(F.col("mood_secondary").alias("mood")).agg(_n().alias("songs"))
     share = lambda df, kind: df.crossJoin(df.agg(F.sum("songs").alias("total"))).withColumn("percentage", X.percent("songs", "total")).withColumn("kind", F.lit(kind)).drop("total")
     return share(one, "primary").unionByName(share(two, "secondary"), allowMissingColumns=True)
 
@@ -143,20 +145,20 @@ def unplayed_songs(cat: Catalog, limit: int = 50) -> DataFrame:
 def unplayed_share(cat: Catalog) -> DataFrame:
     """How many songs have no play, and their share of the library."""
     played = cat.play_sessions.select("sha_id").distinct().withColumn("played", F.lit(True))
-    x = cat.songs.join(played, "sha_id", "left").agg(F.count_if(F.col("played").isNull()).cast("long").alias("unplayed"), _N.alias("total"))
+    x = cat.songs.join(played, "sha_id", "left").agg(F.count_if(F.col("played").isNull()).cast("long").alias("unplayed"), _n().alias("total"))
     return x.select("unplayed", "total", X.percent("unplayed", "total").alias("percentage"))
 
 
 def one_hit_wonders(cat: Catalog, period: str, as_of: datetime, limit: int = 50) -> DataFrame:
     """Songs played exactly once in the period."""
-    once = cat.play_sessions.where(within("started_at", *parse_period(period, as_of))).groupBy("sha_id").agg(_N.alias("n"), F.max("started_at").alias("played_at"), F.bool_or("completed").alias("completed")).where("n = 1").drop("n")
+    once = cat.play_sessions.where(within("started_at", *parse_period(period, as_of))).groupBy("sha_id").agg(_n().alias("n"), F.max("started_at").alias("played_at"), F.bool_or("completed").alias("completed")).where("n = 1").drop("n")
     named = cat.with_primary(once).join(cat.songs.select("sha_id", "title"), "sha_id")
     return named.orderBy(F.desc("played_at"), "sha_id", "artist").limit(limit).select("sha_id", "title", "artist", "played_at", "completed")
 
 
 def hidden_gems(cat: Catalog, limit: int = 50) -> DataFrame:
     """Songs with 2 to 5 plays whose mean completion is 70 percent or more."""
-    by = cat.play_sessions.groupBy("sha_id").agg(_N.alias("plays"), F.avg("completion_percent").alias("a")).where("plays BETWEEN 2 AND 5 AND a >= 70")
+    by = cat.play_sessions.groupBy("sha_id").agg(_n().alias("plays"), F.avg("completion_percent").alias("a")).where("plays BETWEEN 2 AND 5 AND a >= 70")
     named = cat.with_primary(by).join(cat.songs.select("sha_id", "title"), "sha_id")
     return named.orderBy(F.desc("a"), "plays", "sha_id", "artist").limit(limit).select("sha_id", "title", "artist", "plays", F.round("a", 2).alias("avg_completion"))
 
@@ -166,7 +168,7 @@ def discovery_summary(cat: Catalog, period: str, as_of: datetime) -> DataFrame:
     start, end = parse_period(period, as_of)
     first = cat.play_sessions.where(F.col("started_at") < F.lit(end)).groupBy("sha_id").agg(F.min("started_at").alias("t"))
     new = lambda df, key, name: df.groupBy(key).agg(F.min("t").alias("t")).agg(F.count_if(F.col("t") >= F.lit(start)).cast("long").alias(name))
-    added = cat.songs.where(within("created_at", start, end)).agg(_N.alias("songs_added"))
+    added = cat.songs.where(within("created_at", start, end)).agg(_n().alias("songs_added"))
     return added.crossJoin(new(first.join(cat.song_artists, "sha_id"), "artist_id", "new_artists")).crossJoin(new(first.join(cat.song_genres, "sha_id"), "genre", "new_genres")).crossJoin(new(first, "sha_id", "first_listens"))  # one row each
 
 
@@ -178,21 +180,21 @@ def seed_ranking(cat: Catalog, what: str, limit: int = 20) -> DataFrame:
 
 def data_summary(cat: Catalog) -> DataFrame:
     """Plays, their span, and an estimate of the space they take (200 bytes a play)."""
-    return cat.play_sessions.agg(_N.alias("sessions"), F.min("started_at").alias("oldest"), F.max("started_at").alias("newest"), F.round(_N * 200 / 1024, 2).alias("estimated_kb"))
+    return cat.play_sessions.agg(_n().alias("sessions"), F.min("started_at").alias("oldest"), F.max("started_at").alias("newest"), F.round(_n() * 200 / 1024, 2).alias("estimated_kb"))
 
 
 def behaviour_signals(cat: Catalog, as_of: datetime, days: int = 30, least: int = 3) -> DataFrame:
     """One row a song: frequently played, often skipped (2 skips or completions under 30), completed often, last played."""
     plays = cat.play_sessions.where(within("started_at", as_of - timedelta(days=days), as_of))
     by = plays.groupBy("sha_id").agg(
-        _N.alias("plays"), F.count_if(F.col("skipped") | (F.col("completion_percent") < 30)).cast("long").alias("skips"), F.count_if(F.col("completed") | (F.col("completion_percent") >= 80)).cast("long").alias("completions"), F.max("started_at").alias("last_played")
+        _n().alias("plays"), F.count_if(F.col("skipped") | (F.col("completion_percent") < 30)).cast("long").alias("skips"), F.count_if(F.col("completed") | (F.col("completion_percent") >= 80)).cast("long").alias("completions"), F.max("started_at").alias("last_played")
     )
     return by.select("sha_id", "plays", "skips", "completions", "last_played", (F.col("plays") >= least).alias("frequent"), (F.col("skips") >= 2).alias("often_skipped"))
 
 
 def implicit_preference(cat: Catalog, as_of: datetime, days: int = 90) -> DataFrame:
     """0.4 of plays (up to 10) + 0.4 of mean completion + 0.2 of recency, for every played song."""
-    by = cat.play_sessions.where(within("started_at", as_of - timedelta(days=days), as_of)).groupBy("sha_id").agg(_N.alias("n"), F.avg("completion_percent").alias("a"), F.max("started_at").alias("t"))
+    by = cat.play_sessions.where(within("started_at", as_of - timedelta(days=days), as_of)).groupBy("sha_id").agg(_n().alias("n"), F.avg("completion_percent").alias("a"), F.max("started_at").alias("t"))
     age = F.datediff(F.lit(as_of.date()), F.to_date("t"))
     score = 0.4 * F.least(F.col("n") / 10.0, F.lit(1.0)) + 0.4 * F.col("a") / 100 + 0.2 * F.greatest(F.lit(0.0), 1 - age / F.lit(float(days)))
     return by.select("sha_id", F.round(score, 6).alias("score"))

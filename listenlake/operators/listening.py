@@ -11,7 +11,9 @@ from listenlake.functions import exprs as X
 from listenlake.functions.period import days_of, parse_period, within
 from listenlake.operators.windows import current_and_longest_streak, listening_sessions
 
-_N = F.count(F.lit(1)).cast("long")
+
+def _n() -> Column:
+    return F.count(F.lit(1)).cast("long")
 
 
 def _plays(cat: Catalog, period: str, as_of: datetime) -> DataFrame:
@@ -26,13 +28,13 @@ def overview(cat: Catalog, period: str, as_of: datetime) -> DataFrame:
     """One row of headline figures; artists count in any role, albums count '' but not null."""
     plays = _plays(cat, period, as_of)
     base = plays.agg(
-        _N.alias("total_plays"), F.count_if("completed").cast("long").alias("completed_plays"), F.count_distinct("sha_id").alias("unique_songs"),
+        _n().alias("total_plays"), F.count_if("completed").cast("long").alias("completed_plays"), F.count_distinct("sha_id").alias("unique_songs"),
         _sum_ms().alias("total_duration_ms"), F.coalesce(F.round(F.avg("completion_percent"), 2), F.lit(0.0)).alias("avg_completion"),
     )
     songs = plays.select("sha_id").distinct()
     artists = songs.join(cat.song_artists, "sha_id").agg(F.count_distinct("artist_id").alias("unique_artists"))
     albums = songs.join(cat.songs.where("album IS NOT NULL"), "sha_id").agg(F.count_distinct("album").alias("unique_albums"))
-    by_day = plays.groupBy(F.to_date("started_at").alias("d")).agg(_N.alias("n"))
+    by_day = plays.groupBy(F.to_date("started_at").alias("d")).agg(_n().alias("n"))
     day = by_day.agg(F.max_by(F.struct("d", "n"), F.struct("n", -F.unix_date("d"))).alias("m")).select(F.col("m.d").alias("most_active_day"))
     days = days_of(period, as_of)
     return (
@@ -43,21 +45,21 @@ def overview(cat: Catalog, period: str, as_of: datetime) -> DataFrame:
 
 def top_songs(cat: Catalog, period: str, as_of: datetime, limit: int = 10) -> DataFrame:
     """Most played songs with their primary artist."""
-    joined = cat.with_primary(_plays(cat, period, as_of).groupBy("sha_id").agg(_N.alias("play_count"), _sum_ms().alias("total_duration_ms"), F.round(F.avg("completion_percent"), 2).alias("avg_completion")))
+    joined = cat.with_primary(_plays(cat, period, as_of).groupBy("sha_id").agg(_n().alias("play_count"), _sum_ms().alias("total_duration_ms"), F.round(F.avg("completion_percent"), 2).alias("avg_completion")))
     named = joined.join(cat.songs.select("sha_id", "title", "album", "duration_sec"), "sha_id")
     return named.orderBy(F.desc("play_count"), F.desc("total_duration_ms"), "sha_id", "artist").limit(limit).select("sha_id", "title", "artist", "album", "duration_sec", "play_count", "total_duration_ms", "avg_completion")
 
 
 def top_artists(cat: Catalog, period: str, as_of: datetime, limit: int = 10) -> DataFrame:
     """Most played artists, in any role."""
-    plays = _plays(cat, period, as_of).groupBy("sha_id").agg(_N.alias("n"), _sum_ms().alias("ms"))
+    plays = _plays(cat, period, as_of).groupBy("sha_id").agg(_n().alias("n"), _sum_ms().alias("ms"))
     by = plays.join(cat.song_artists.select("sha_id", "artist_id"), "sha_id").groupBy("artist_id").agg(F.sum("n").alias("play_count"), F.count_distinct("sha_id").alias("unique_songs"), F.sum("ms").alias("total_duration_ms"))
     return by.join(cat.artists, "artist_id").orderBy(F.desc("play_count"), F.desc("total_duration_ms"), "artist_id").limit(limit).select("artist_id", F.col("name").alias("artist"), "play_count", "unique_songs", "total_duration_ms")
 
 
 def top_albums(cat: Catalog, period: str, as_of: datetime, limit: int = 10) -> DataFrame:
     """Most played albums by album and primary artist; without a name there is no album."""
-    plays = _plays(cat, period, as_of).groupBy("sha_id").agg(_N.alias("n"), _sum_ms().alias("ms"))
+    plays = _plays(cat, period, as_of).groupBy("sha_id").agg(_n().alias("n"), _sum_ms().alias("ms"))
     named = cat.with_primary(plays.join(cat.songs.where("album <> ''").select("sha_id", "album"), "sha_id"))
     by = named.groupBy("album", "artist").agg(F.sum("n").alias("play_count"), F.count_distinct("sha_id").alias("unique_songs"), F.sum("ms").alias("total_duration_ms"))
     return by.orderBy(F.desc("play_count"), F.desc("total_duration_ms"), "album", "artist").limit(limit)
@@ -72,7 +74,7 @@ def history(cat: Catalog, limit: int = 50, offset: int = 0) -> DataFrame:
 def heatmap(cat: Catalog, year: int) -> DataFrame:
     """Plays by day of week (Sunday 0) and hour, UTC."""
     plays = cat.play_sessions.where(within("started_at", datetime(year, 1, 1), datetime(year + 1, 1, 1)))
-    return plays.groupBy(X.day_of_week("started_at").alias("day"), F.hour("started_at").alias("hour")).agg(_N.alias("plays"))
+    return plays.groupBy(X.day_of_week("started_at").alias("day"), F.hour("started_at").alias("hour")).agg(_n().alias("plays"))
 
 
 def heatmap_peaks(cat: Catalog, year: int) -> DataFrame:
@@ -88,7 +90,7 @@ def heatmap_peaks(cat: Catalog, year: int) -> DataFrame:
 
 def genre_breakdown(cat: Catalog, period: str, as_of: datetime, limit: int = 20) -> DataFrame:
     """Plays by genre and their share of all genre plays; a play of a song with k genres counts k times."""
-    plays = _plays(cat, period, as_of).groupBy("sha_id").agg(_N.alias("n"), _sum_ms().alias("ms"))
+    plays = _plays(cat, period, as_of).groupBy("sha_id").agg(_n().alias("n"), _sum_ms().alias("ms"))
     by = plays.join(cat.song_genres, "sha_id").groupBy("genre").agg(F.sum("n").alias("play_count"), F.sum("ms").alias("total_duration_ms"))
     total = by.agg(F.sum("play_count").alias("total"))
     return by.crossJoin(total).select("genre", "play_count", "total_duration_ms", X.percent("play_count", "total").alias("percentage")).orderBy(F.desc("play_count"), "genre").limit(limit)
@@ -126,24 +128,24 @@ def timeline(cat: Catalog, period: str, as_of: datetime, granularity: str = "day
     unit = {"hour": "day"}.get(granularity, granularity)
     start, end = parse_period(period, as_of)
     bucket = lambda ts: F.to_date(F.date_trunc(unit, ts))
-    now = cat.play_sessions.where(within("started_at", start, end)).groupBy(bucket(F.col("started_at")).alias("bucket")).agg(_N.alias("plays"), _sum_ms().alias("duration_ms"))
+    now = cat.play_sessions.where(within("started_at", start, end)).groupBy(bucket(F.col("started_at")).alias("bucket")).agg(_n().alias("plays"), _sum_ms().alias("duration_ms"))
     if period == "all":
         return now.withColumn("previous_plays", F.lit(0).cast("long"))
     span = end - start
     moved = F.col("started_at") + F.make_dt_interval(F.lit(span.days), F.lit(0), F.lit(0), F.lit(float(span.seconds)))
-    old = cat.play_sessions.where(within("started_at", start - span, start)).groupBy(bucket(moved).alias("bucket")).agg(_N.alias("previous_plays"))
+    old = cat.play_sessions.where(within("started_at", start - span, start)).groupBy(bucket(moved).alias("bucket")).agg(_n().alias("previous_plays"))
     return now.join(old, "bucket", "left").na.fill({"previous_plays": 0})
 
 
 def completion_trend(cat: Catalog, period: str, as_of: datetime) -> DataFrame:
     """Per UTC day: plays, completion rate and skip rate."""
     rate = lambda c: F.round(F.count_if(c) * 100.0 / F.count(F.lit(1)), 1)
-    return _plays(cat, period, as_of).groupBy(F.to_date("started_at").alias("day")).agg(_N.alias("plays"), rate("completed").alias("completion_rate"), rate("skipped").alias("skip_rate"))
+    return _plays(cat, period, as_of).groupBy(F.to_date("started_at").alias("day")).agg(_n().alias("plays"), rate("completed").alias("completion_rate"), rate("skipped").alias("skip_rate"))
 
 
 def skipped_songs(cat: Catalog, period: str, as_of: datetime, limit: int = 10, least: int = 3) -> DataFrame:
     """Songs by skip rate among those with ``least`` plays."""
-    by = _plays(cat, period, as_of).groupBy("sha_id").agg(_N.alias("plays"), F.count_if("skipped").cast("long").alias("skips")).where(F.col("plays") >= least)
+    by = _plays(cat, period, as_of).groupBy("sha_id").agg(_n().alias("plays"), F.count_if("skipped").cast("long").alias("skips")).where(F.col("plays") >= least)
     named = cat.with_primary(by.withColumn("skip_rate", F.round(F.col("skips") * 100.0 / F.col("plays"), 1))).join(cat.songs.select("sha_id", "title"), "sha_id")
     return named.orderBy(F.desc("skip_rate"), F.desc("skips"), "sha_id", "artist").limit(limit).select("sha_id", "title", "artist", "plays", "skips", "skip_rate")
 
@@ -156,20 +158,20 @@ def skipped_genres(cat: Catalog, period: str, as_of: datetime, least: int = 5) -
 
 def skipped_hours(cat: Catalog, period: str, as_of: datetime) -> DataFrame:
     """Skip rate by hour of day."""
-    by = _plays(cat, period, as_of).groupBy(F.hour("started_at").alias("hour")).agg(_N.alias("plays"), F.count_if("skipped").cast("long").alias("skips"))
+    by = _plays(cat, period, as_of).groupBy(F.hour("started_at").alias("hour")).agg(_n().alias("plays"), F.count_if("skipped").cast("long").alias("skips"))
     return by.withColumn("skip_rate", F.round(F.col("skips") * 100.0 / F.col("plays"), 1))
 
 
 def context_distribution(cat: Catalog, period: str, as_of: datetime) -> DataFrame:
     """Plays by context and their share; no context is 'unknown'."""
-    by = _plays(cat, period, as_of).groupBy(F.coalesce("context_type", F.lit("unknown")).alias("context")).agg(_N.alias("plays"), _sum_ms().alias("duration_ms"))
+    by = _plays(cat, period, as_of).groupBy(F.coalesce("context_type", F.lit("unknown")).alias("context")).agg(_n().alias("plays"), _sum_ms().alias("duration_ms"))
     return by.crossJoin(by.agg(F.sum("plays").alias("total"))).select("context", "plays", "duration_ms", X.percent("plays", "total").alias("percentage"))
 
 
 def context_by_week(cat: Catalog, period: str, as_of: datetime, contexts: list[str]) -> DataFrame:
     """Plays by week (from Monday), with a column for each of ``contexts``."""
     week = F.to_date(F.date_trunc("week", "started_at")).alias("week")
-    return _plays(cat, period, as_of).groupBy(week).pivot("context_type", contexts).agg(_N).na.fill(0)
+    return _plays(cat, period, as_of).groupBy(week).pivot("context_type", contexts).agg(_n()).na.fill(0)
 
 
 SESSION_BUCKETS = ["<15min", "15-30min", "30-60min", "1-2hr", ">2hr"]
@@ -179,7 +181,7 @@ def session_summary(cat: Catalog, period: str, as_of: datetime, by_user: bool =
     """Number of listening sessions in each length bucket, with all buckets, and the songs in them."""
     s = listening_sessions(_plays(cat, period, as_of), by_user)
     bucket = X.bins(F.col("length_ms") / 60000.0, [(15, SESSION_BUCKETS[0]), (30, SESSION_BUCKETS[1]), (60, SESSION_BUCKETS[2]), (120, SESSION_BUCKETS[3])], SESSION_BUCKETS[4])
-    by = s.groupBy(bucket.alias("bucket")).agg(_N.alias("sessions"), F.sum("songs").alias("songs"))
+    by = s.groupBy(bucket.alias("bucket")).agg(_n().alias("sessions"), F.sum("songs").alias("songs"))
     all_ = cat.spark.createDataFrame([(b,) for b in SESSION_BUCKETS], "bucket string")
     return all_.join(by, "bucket", "left").na.fill(0)
 
@@ -193,7 +195,7 @@ def longest_sessions(cat: Catalog, period: str, as_of: datetime, limit: int = 10
 def enhanced_heatmap(cat: Catalog, year: int) -> DataFrame:
     """Every slot of the week with its plays and its most played song (ties: the smallest id); empty slots have 0."""
     plays = cat.play_sessions.where(within("started_at", datetime(year, 1, 1), datetime(year + 1, 1, 1)))
-    by = plays.groupBy(X.day_of_week("started_at").alias("day"), F.hour("started_at").alias("hour"), "sha_id").agg(_N.alias("n"))
+    by = plays.groupBy(X.day_of_week("started_at").alias("day"), F.hour("started_at").alias("hour"), "sha_id").agg(_n().alias("n"))
     slot = by.groupBy("day", "hour").agg(F.sum("n").alias("plays"), F.min_by("sha_id", F.struct(-F.col("n"), "sha_id")).alias("top_song"))
     spine = cat.spark.range(7 * 24).select(F.floor(F.col("id") / 24).cast("int").alias("day"), (F.col("id") % 24).cast("int").alias("hour"))
     return spine.join(slot, ["day", "hour"], "left").na.fill({"plays": 0})
@@ -207,13 +209,13 @@ def wrapped(cat: Catalog, year: int) -> DataFrame:
     as_of = datetime(year + 1, 1, 1)
     period = str(year)
     plays = _plays(cat, period, as_of)
-    base = plays.agg(_N.alias("total_plays"), _sum_ms().alias("total_duration_ms"), F.count_distinct("sha_id").alias("unique_songs"))
+    base = plays.agg(_n().alias("total_plays"), _sum_ms().alias("total_duration_ms"), F.count_distinct("sha_id").alias("unique_songs"))
     song = top_songs(cat, period, as_of, 1).select(F.col("sha_id").alias("top_song"))
     artist = top_artists(cat, period, as_of, 1).select(F.col("artist").alias("top_artist"))
     album = top_albums(cat, period, as_of, 1).select(F.col("album").alias("top_album"))
     genre = genre_breakdown(cat, period, as_of, 1).select(F.col("genre").alias("top_genre"))
-    hour = plays.groupBy(F.hour("started_at").alias("h")).agg(_N.alias("n")).agg(F.min_by("h", F.struct(-F.col("n"), "h")).alias("peak_hour"))
-    day = plays.groupBy(F.to_date("started_at").alias("d")).agg(_N.alias("n")).agg(F.min_by(F.struct("d", "n"), F.struct(-F.col("n"), "d")).alias("m")).select(F.col("m.d").alias("busiest_day"), F.col("m.n").alias("busiest_day_plays"))
+    hour = plays.groupBy(F.hour("started_at").alias("h")).agg(_n().alias("n")).agg(F.min_by("h", F.struct(-F.col("n"), "h")).alias("peak_hour"))
+    day = plays.groupBy(F.to_date("started_at").alias("d")).agg(_n().alias("n")).agg(F.min_by(F.struct("d", "n"), F.struct(-F.col("n"), "d")).alias("m")).select(F.col("m.d").alias("busiest_day"), F.col("m.n").alias("busiest_day_plays"))
     kind = F.lit(None).cast("string")
     for a, b, name in PERSONALITY:
         kind = F.when(F.col("peak_hour").between(a, b - 1), name).otherwise(kind)
@@ -225,7 +227,7 @@ def wrapped(cat: Catalog, year: int) -> DataFrame:
 
 def monthly_listening(cat: Catalog, year: int) -> DataFrame:
     """Plays and time of each month of a year."""
-    return _plays(cat, str(year), datetime(year + 1, 1, 1)).groupBy(F.month("started_at").alias("month")).agg(_N.alias("plays"), _sum_ms().alias("duration_ms"))
+    return _plays(cat, str(year), datetime(year + 1, 1, 1)).groupBy(F.month("started_at").alias("month")).agg(_n().alias("plays"), _sum_ms().alias("duration_ms"))
 
 
 def daily_activity(cat: Catalog, as_of: datetime, days: int = 30) -> DataFrame:
@@ -233,7 +235,7 @@ def daily_activity(cat: Catalog, as_of: datetime, days: int = 30) -> DataFrame:
     last = as_of.date()
     first = last - timedelta(days=days - 1)
     spine = cat.spark.range(days).select(F.date_add(F.lit(first), F.col("id").cast("int")).alias("day"))
-    of = lambda df, ts, name: df.where((F.to_date(ts) >= F.lit(first)) & (F.to_date(ts) <= F.lit(last))).groupBy(F.to_date(ts).alias("day")).agg(_N.alias(name))
+    of = lambda df, ts, name: df.where((F.to_date(ts) >= F.lit(first)) & (F.to_date(ts) <= F.lit(last))).groupBy(F.to_date(ts).alias("day")).agg(_n().alias(name))
     return spine.join(of(cat.play_sessions, "started_at", "plays"), "day", "left").join(of(cat.songs, "created_at", "additions"), "day", "left").na.fill(0)
 
 

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from listenlake.catalog import Catalog
+from listenlake.runtime import ship_package
 
 AS_OF = datetime(2024, 1, 31)
 MONTH = "started_at >= TIMESTAMP '2024-01-01' AND started_at < TIMESTAMP '2024-01-31'"
@@ -20,6 +21,7 @@ def bind(f: Callable[[Catalog], DataFrame]) -> Callable[[SparkSession, str], Dat
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship_package(spark)
         return f(Catalog.testdata(spark, sf_dir))
 
     return run
