@@ -53,17 +53,13 @@ _STORED = ("part", "supplier", "events", "embeddings", "orders")
 class Catalog:
     """Native tables of one library: ``catalog.songs``, ``catalog.play_sessions`` and so on, as DataFrames."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None, stored: dict[str, DataFrame] | None = None, binding: dict[str, str] | None = None):
-        self.spark, self._tables, self._stored, self._binding = spark, dict(tables or {}), stored or {}, binding or {}
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None, stored: dict[str, DataFrame] | None = None, binding: dict[str, str] | None = None, root: str = ""):
+        self.spark, self._tables, self._stored, self._binding, self._root = spark, dict(tables or {}), stored or {}, binding or {}, root
 
     @classmethod
     def native(cls, spark: SparkSession, root: str) -> Catalog:
         """Parquet tables with native names and schemas below ``root``."""
-        return cls(spark, binding={}, stored={}, tables={}).at(root)
-
-    def at(self, root: str) -> Catalog:
-        self._root = root
-        return self
+        return cls(spark, root=root)
 
     @classmethod
     def testdata(cls, spark: SparkSession, sf_dir: str) -> Catalog:

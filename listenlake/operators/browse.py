@@ -123,3 +123,37 @@ def feature_status(cat: Catalog) -> DataFrame:
 
 def pending_features(cat: Catalog) -> DataFrame:
     return cat.songs.join(cat.audio_features, "sha_id", "left_anti").select("sha_id", "title")
+
+
+def catalog_page(cat: Catalog, q: str, limit: int = 50, offset: int = 0) -> DataFrame:
+    """Songs with a text in title, album or any artist's name, the latest added first."""
+    hit = _has_artist(cat, F.col("name").ilike(f"%{q}%")).withColumn("__hit", F.lit(True))
+    text = F.col("title").ilike(f"%{q}%") | F.coalesce(F.col("album").ilike(f"%{q}%"), F.lit(False)) | F.col("__hit").isNotNull()
+    return with_details(cat, cat.songs.join(hit, "sha_id", "left").where(text).drop("__hit").orderBy(F.desc("created_at"), "sha_id").offset(offset).limit(limit))
+
+
+def popular_albums(cat: Catalog, limit: int = 10) -> DataFrame:
+    """Albums with the most songs."""
+    return albums(cat).orderBy(F.desc("songs"), "album_id").limit(limit)
+
+
+def album_songs(cat: Catalog, album_id: str) -> DataFrame:
+    """An album's songs by track."""
+    named = cat.songs.join(_first_primary(cat), "sha_id").where(X.album_id("album", "primary_artist") == album_id)
+    return named.orderBy(F.col("track_number").asc_nulls_last(), "title", "sha_id").select("sha_id", "title", "track_number", "duration_sec")
+
+
+def artist_albums(cat: Catalog, artist_id: int, stored: DataFrame | None = None) -> DataFrame:
+    """An artist's albums: the stored ones, or, where none are stored, those of the songs."""
+    derived = cat.songs.where("album <> ''").join(cat.primary.where(F.col("artist_id") == artist_id), "sha_id").groupBy("album").agg(F.min("release_year").alias("release_year"), _n().alias("songs"))
+    if stored is None:
+        return derived
+    own = stored.where(F.col("artist_id") == artist_id).select(F.col("title").alias("album"), "release_year", F.col("track_count").cast("long").alias("songs"))
+    none = own.agg(_n().alias("n")).where("n = 0").drop("n")
+    return own.union(derived.join(none.withColumn("__k", F.lit(1)), F.lit(True)).drop("__k"))
+
+
+def unverified(cat: Catalog, limit: int = 100) -> DataFrame:
+    """Songs not verified yet, with their distinct artists."""
+    names = cat.song_artists.join(cat.artists, "artist_id").groupBy("sha_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("artists"))
+    return cat.songs.where(~F.col("verified")).orderBy("created_at", "sha_id").limit(limit).join(names, "sha_id", "left").select("sha_id", "title", "artists", "album")

@@ -27,6 +27,12 @@ WITH p AS (SELECT * FROM songs s WHERE (title ILIKE '%1%' OR album ILIKE '%1%' O
  AND EXISTS (SELECT 1 FROM song_genres g WHERE g.sha_id = s.sha_id AND genre ILIKE '%brand#2%') ORDER BY title, sha_id LIMIT 60), {_DETAIL}""", S, SA, AR, G)
 add("b01_search_artist", lambda c: B.search(c, artist_id=7), f"WITH p AS (SELECT * FROM songs WHERE sha_id IN (SELECT sha_id FROM song_artists WHERE artist_id = 7) ORDER BY title, sha_id LIMIT 50), {_DETAIL}", S, SA, AR)
 add("b08_newest", lambda c: B.newest(c, 40, 10), f"WITH p AS (SELECT * FROM songs ORDER BY created_at DESC, sha_id LIMIT 40 OFFSET 10), {_DETAIL}", S, SA, AR)
+add("b02_catalog_page", lambda c: B.catalog_page(c, "2", 30, 5), f"WITH p AS (SELECT * FROM songs s WHERE title ILIKE '%2%' OR album ILIKE '%2%' OR sha_id IN (SELECT sha_id FROM song_artists JOIN artists USING (artist_id) WHERE name ILIKE '%2%') ORDER BY created_at DESC, sha_id LIMIT 30 OFFSET 5), {_DETAIL}", S, SA, AR)
+add("b05_popular_albums", B.popular_albums, """
+WITH pa AS (SELECT sha_id, arg_min(artist, artist_id) AS n FROM primary_artist GROUP BY 1)
+SELECT md5(lower(album) || '::' || lower(n)) AS album_id, min(album) AS album, max(n) AS artist, min(release_year) AS release_year, count(*) AS songs, CAST(sum(duration_sec) AS BIGINT) AS duration_sec FROM songs JOIN pa USING (sha_id) WHERE album <> '' GROUP BY 1 ORDER BY 5 DESC, 1 LIMIT 10""", S)
+add("b06_artist_albums", lambda c: B.artist_albums(c, 3), "SELECT album, min(release_year) AS release_year, count(*) AS songs FROM songs JOIN primary_artist USING (sha_id) WHERE artist_id = 3 AND album <> '' GROUP BY 1", S)
+add("b15_unverified", B.unverified, "WITH p AS (SELECT * FROM songs WHERE NOT verified ORDER BY created_at, sha_id LIMIT 100) SELECT sha_id, title, (SELECT string_agg(DISTINCT name, ', ' ORDER BY name) FROM song_artists sa JOIN artists USING (artist_id) WHERE sa.sha_id = p.sha_id) AS artists, album FROM p", S, SA, AR)
 add("b03_artists", B.artists, """
 SELECT a.artist_id, name, count(DISTINCT s.sha_id) AS song_count, count(DISTINCT CASE WHEN album <> '' THEN album END) AS album_count FROM artists a LEFT JOIN song_artists sa ON a.artist_id = sa.artist_id LEFT JOIN songs s ON s.sha_id = sa.sha_id GROUP BY 1, 2""", S, SA, AR)
 add("b04_albums", B.albums, """

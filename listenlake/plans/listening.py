@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from listenlake.catalog import oracle
-from listenlake.operators import listening as L, windows as W
+from listenlake.operators import listening as L, reports as RP, windows as W
 from listenlake.plans.base import AS_OF, MONTH, WEEK2, WEEK, bind
 
 QUERIES, ORACLE = {}, {}
@@ -119,3 +119,4 @@ WITH p AS (SELECT * FROM play_sessions WHERE {MONTH}), o AS (SELECT count(*) AS
 SELECT *, CASE WHEN variety > 60 THEN 'The Explorer' WHEN variety < 25 AND avg_completion > 70 THEN 'The Devotee' WHEN avg_energy > 0.7 AND avg_danceability > 0.6 THEN 'The Energizer' WHEN avg_energy < 0.4 THEN 'The Chill Seeker'
  WHEN avg_completion > 85 THEN 'The Completionist' WHEN avg_completion < 50 AND total_plays > 100 THEN 'The Sampler' ELSE 'The Balanced Listener' END AS listener_type
 FROM v, (SELECT round(avg(energy) / 100, 4) AS avg_energy, round(avg(danceability) / 100, 4) AS avg_danceability FROM audio_features)""", P, "song_artists", "audio_features")
+add("s12_share_card", lambda c: RP.share_card(c, "month", AS_OF))

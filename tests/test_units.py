@@ -180,3 +180,62 @@ def test_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 1
     seg = files.segments(spark.createDataFrame([("a", [[1.0], [2.0]])], "sha_id string, frames array<array<double>>")).collect()
     assert [(r.segment_start_sec, r.segment_end_sec) for r in seg] == [(0.0, 0.96), (0.48, 1.44)]
+
+
+def wav(width, samples, channels=1):
+    import io
+    import wave
+
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(channels)
+        w.setsampwidth(width)
+        w.setframerate(8000)
+        w.writeframes(b"".join(int(s).to_bytes(width, "little", signed=width > 1) for s in samples))
+    return out.getvalue()
+
+
+def test_audio_files(spark, tmp_path):
+    import io
+
+    from listenlake.sources import audio as A
+
+    for width in (1, 2, 3, 4):
+        full = 2 ** (8 * width - 1)
+        rate, x = A.decode_wav(wav(width, [s + full * (width == 1) for s in (0, full // 2, -full // 2)]))
+        assert rate == 8000 and x[:, 0].tolist() == [0.0, 0.5, -0.5]
+    assert A.prepare(np.array([[0.0, 0.0], [0.5, 0.1], [0.0, 0.0], [-0.2, -0.2], [0.0, 0.0]])).round(3).tolist() == [1.0, 0.0, -0.667]
+    (tmp_path / "a.wav").write_bytes(wav(2, [0, 100, 0]))
+    (tmp_path / "b.wav").write_bytes(b"nonsense")
+    got = {r.path[-5:]: r for r in A.waveforms(A.list_audio(spark, str(tmp_path), "*.wav")).collect()}
+    assert got["a.wav"].samples == [1.0] and got["b.wav"].rate is None and got["b.wav"].error
+    buf = io.BytesIO()
+    np.savez(buf, postprocessed=np.arange(3.0))
+    files_df = spark.createDataFrame([("x.npz", bytearray(buf.getvalue()))], "path string, content binary")
+    assert A.load_embeddings(files_df, 3).first().frames == [[0.0, 1.0, 2.0]]
+    side = spark.createDataFrame([("a", bytearray(b'{"k": 1}')), ("b", bytearray(b"{"))], "path string, content binary")
+    assert [r.meta and r.meta.k for r in A.sidecars(side, "k int").orderBy("path").collect()] == [1, None]
+
+
+def test_result_cache(spark, sf, tmp_path):
+    from listenlake.operators import reports
+
+    now = [0.0]
+    cache = reports.ResultCache(size=2, clock=lambda: now[0])
+    made = []
+    get = lambda k: cache.get("preview", {"k": k}, lambda: made.append(k) or k)
+    assert (get(1), get(1), made) == (1, 1, [1])
+    now[0] = 16
+    assert get(1) == 1 and made == [1, 1]
+    get(2), get(3), cache.invalidate("preview")
+    assert get(3) == 3 and (cache.hits, cache.misses) == (1, 5)
+    k = R.Compiler(Catalog.testdata(spark, sf), AS_OF)
+    rows, total = reports.preview(reports.ResultCache(), k, R.TEMPLATES["Short Songs"][0], 5)
+    assert len(rows) == 5 <= total
+    reports.write_report(Catalog.testdata(spark, sf), "month", AS_OF, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r" / "overview")).first().total_plays == 1000
+
+
+def test_native_catalog(spark, tmp_path):
+    spark.createDataFrame([("a", "t")], "sha_id string, title string").write.parquet(str(tmp_path / "songs.parquet"))
+    assert Catalog.native(spark, str(tmp_path)).songs.first().title == "t"
