@@ -12,9 +12,9 @@ import pyarrow.compute as pc
 from listenlake.llm import _text as T
 
 #: Text bytes that one call handles.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: Distinct chunks whose ids a Python worker keeps from batch to batch; beyond that it starts anew.
-KEPT_CHUNKS = 1_000_000
+KEPT_CHUNKS = 800_000
 #: Marks that end a run of letters.
 MARKS = np.isin(np.arange(256), list(b",.;:!?"))
 
@@ -81,41 +81,72 @@ def piece_breaks(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out | run | (buf == 0x0A)
 
 
+_held: list = [None, None]
+
+
+def held(key: tuple[str, str], make):
+    """The one encoder that a Python worker keeps; asking for another (a later stage's) lets it go."""
+    if _held[0] != key:
+        _held[:] = [None, None]
+        _held[:] = [key, make(key[1])]
+    return _held[1]
+
+
 class ChunkIds:
-    """The ids of chunks by their 64-bit hashes, kept from batch to batch."""
+    """The ids of chunks by their 64-bit hashes, kept from batch to batch.
+
+    Hashes lie in two sorted tables, an old one and a young one that is merged into it now and then, so that a small
+    batch costs little.
+    """
 
     def __init__(self, encode):
-        self.encode, self.keys = encode, np.zeros(0, np.uint64)
-        self.starts = self.lengths = np.zeros(0, np.int64)
+        self.encode = encode
+        self.old = self.young = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))  # hashes, starts, lengths
         self.values = np.zeros(0, np.uint16)
 
+    @staticmethod
+    def _find(table, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in a table, and whether each hash is there."""
+        if len(table[0]) == 0:
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(table[0], h), len(table[0]) - 1)
+        return at, table[0][at] == h
+
+    @staticmethod
+    def _merged(a, b):
+        keys = np.concatenate((a[0], b[0]))
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate((a[1], b[1]))[order], np.concatenate((a[2], b[2]))[order]
+
     def __call__(self, buf: np.ndarray, offs: np.ndarray, breaks: np.ndarray):
         """(where each chunk's ids start in ``values``, how many there are, each row's first chunk and one more)."""
         starts = np.flatnonzero(breaks)
         ends = np.append(starts[1:], len(buf)).astype(np.int64) if len(starts) else starts
         h, first, inverse = np.unique(T.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) > KEPT_CHUNKS:
+        if len(self.old[0]) > KEPT_CHUNKS:
             self.__init__(self.encode)
-        new = ~np.isin(h, self.keys, assume_unique=True)
+        new = ~(self._find(self.old, h)[1] | self._find(self.young, h)[1])
         if new.any():
-            raw, at = buf.tobytes(), first[new]
-            found = self.encode([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            values = np.fromiter((i for x in found for i in x), np.uint16, lengths.sum())
-            keys = np.concatenate((self.keys, h[new]))
-            order = np.argsort(keys)
-            self.starts = np.concatenate((self.starts, len(self.values) + np.cumsum(lengths) - lengths))[order]
-            self.lengths = np.concatenate((self.lengths, lengths))[order]
-            self.keys, self.values = keys[order], np.concatenate((self.values, values))
-        at = np.searchsorted(self.keys, h)[inverse] if len(h) else np.zeros(0, np.int64)
-        return self.starts[at], self.lengths[at], np.searchsorted(starts, offs)
+            at = first[new]
+            found = self.encode([buf[a:b].tobytes() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            lengths = np.fromiter(map(len, found), np.int32, len(found))
+            values = np.fromiter((i for x in found for i in x), np.uint16, int(lengths.sum()))
+            self.young = self._merged(self.young, (h[new], (len(self.values) + np.cumsum(lengths) - lengths).astype(np.int32), lengths))
+            self.values = np.concatenate((self.values, values))
+        a, in_old = self._find(self.old, h)
+        b, _ = self._find(self.young, h)
+        pick = lambda k: np.where(in_old, self.old[k][a] if len(self.old[0]) else 0, self.young[k][b] if len(self.young[0]) else 0)
+        start, n = pick(1)[inverse], pick(2)[inverse]
+        if len(self.young[0]) > 50_000 + len(self.old[0]) // 8:
+            self.old, self.young = self._merged(self.old, self.young), (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
+        return start, n, np.searchsorted(starts, offs)
 
     def ids(self, buf: np.ndarray, offs: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids, and each row's number of ids."""
         start, n, first = self(buf, offs, breaks)
         cum = np.cumsum(n)
-        at = np.repeat(start - (cum - n), n)
-        at += np.arange(len(at))
+        at = np.repeat((start - (cum - n)).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
         return self.values[at], row_sums(n, first)
 
     def counts(self, buf: np.ndarray, offs: np.ndarray, breaks: np.ndarray) -> np.ndarray:
@@ -129,13 +160,19 @@ def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return cum[first[1:]] - cum[first[:-1]]
 
 
-@functools.cache
 def _byte_bpe_chunks(path: str) -> ChunkIds:
-    return ChunkIds(lambda chunks: [e.ids for e in byte_bpe(path).encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)])
+    return held(("byte_bpe", path), _new_byte_bpe_chunks)
 
 
-@functools.cache
 def _piece_chunks(path: str) -> ChunkIds:
+    return held(("pieces", path), _new_piece_chunks)
+
+
+def _new_byte_bpe_chunks(path: str) -> ChunkIds:
+    return ChunkIds(lambda chunks: [e.ids for e in byte_bpe(path).encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)])
+
+
+def _new_piece_chunks(path: str) -> ChunkIds:
     # A line break put before a chunk keeps the library from adding its own first space: two ids to drop.
     return ChunkIds(lambda chunks: [x[2:] for x in sentence_pieces(path).encode([b"\n" + c for c in chunks], num_threads=1)])
 

@@ -8,7 +8,6 @@ prefix share its encoding, and a word's ids are read by stepping back from its l
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 
@@ -22,6 +21,8 @@ from listenlake.runtime import ship_package
 
 #: Fixed value: the byte-level pre-token pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pairs of tokens whose verdict a Python worker keeps.
+KEPT_PAIRS = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -54,7 +55,7 @@ class Vocabulary:
         self.longest: dict[bytes, int] = {}  # of the tokens that end in these two bytes
         for t in self.id_of:
             self.longest[t[-2:]] = max(self.longest.get(t[-2:], 0), len(t))
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         size = max(self.token) + 1
         self.lengths = np.array([len(self.token.get(i, b"")) for i in range(size)], np.int64)
@@ -85,7 +86,7 @@ class Vocabulary:
 
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether the encoding of a's bytes followed by b's is just a, b: no merge crosses before both are whole."""
-        known = self.apart.get((a, b))
+        known = self.apart.get(a << 20 | b)
         if known is not None:
             return known
         sides = [[self.id_of[t[i : i + 1]] for i in range(len(t))] for t in (self.token[a], self.token[b])]
@@ -102,7 +103,9 @@ class Vocabulary:
                 break
             sides[k][at : at + 2] = [new]
             best[k] = self._best(sides[k])
-        self.apart[(a, b)] = known
+        if len(self.apart) > KEPT_PAIRS:
+            self.apart.clear()
+        self.apart[a << 20 | b] = known
         return known
 
     def stands(self, t: int) -> bool:
@@ -159,25 +162,27 @@ class Vocabulary:
         return self.bytes[at].tobytes(), np.concatenate(([0], cum))[ends]
 
 
-@functools.cache
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+class Encoder:
+    """A vocabulary and the chunks that it has encoded."""
+
+    def __init__(self, path: str):
+        self.vocab = Vocabulary(path)
+        self.chunks = V.ChunkIds(self.vocab.encode_chunks)
 
 
-@functools.cache
-def _chunks(path: str) -> V.ChunkIds:
-    return V.ChunkIds(vocabulary(path).encode_chunks)
+def encoder(path: str) -> Encoder:
+    return V.held(("trie", path), Encoder)
 
 
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the rows' whole texts, and each row's number of ids."""
     buf, offs = T.flat(texts)
-    return _chunks(path).ids(buf, offs, V.byte_bpe_breaks(buf, offs))
+    return encoder(path).chunks.ids(buf, offs, V.byte_bpe_breaks(buf, offs))
 
 
 def _run(path: str, text_at: int, with_ids: bool):
     def run(batches):
-        vocab = vocabulary(path)
+        vocab = encoder(path).vocab
         for b in batches:
             for start, length in T.byte_slices(b.column(text_at), V.BATCH_BYTES) if b.num_rows else ():
                 yield one(b.slice(start, length), vocab)

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from listenlake.llm import _text as T
 from listenlake.llm._graph import connected_components
@@ -181,17 +181,17 @@ def ngram_jaccard_components(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     common = spark.sparkContext.broadcast(_frequent(rows, width, sample_docs, sample_least, sample_most))
     feats = materialize(rows.mapInArrow(_features(width, num, den, common), "doc_id long, n long, d1 long, d2 long, sigs array<long>, bits array<long>"), "jaccard-features")
-    reps = feats.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
+    # Tables that hold a row a group are written before they are joined: then Spark can split a hot group on the other side.
+    reps = materialize(feats.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
     members = materialize(feats.select("doc_id", "n", "d1", "d2").join(reps, ["n", "d1", "d2"], "left").select("doc_id", "n", "rep"), "jaccard-members")
     alone = members.where("doc_id = rep").select("doc_id").distinct()
-    keys = feats.where(F.size("sigs") > 0).join(alone, "doc_id", "left_semi").select("doc_id", F.explode("sigs").alias("key"))
-    bucket = Window.partitionBy("key")
-    shared = materialize(
-        keys.repartition("key").select("key", "doc_id", F.min("doc_id").over(bucket).alias("lead"), F.max("doc_id").over(bucket).alias("last")).where("lead < last").select("key", "doc_id", "lead"),
-        "jaccard-shared",
-    )
+    offered = materialize(feats.select("doc_id", "n", "bits", "sigs").join(alone, "doc_id", "left_semi"), "jaccard-offered")
+    discard(feats, reps)
+    keys = offered.select("doc_id", F.explode("sigs").alias("key"))
+    several = materialize(keys.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").drop("last"), "jaccard-keys")
+    shared = materialize(keys.join(several, "key"), "jaccard-shared")
     some = shared.select("doc_id").distinct()
-    sketches = materialize(feats.select("doc_id", "n", "bits").join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "jaccard-sketches")
+    sketches = materialize(offered.select("doc_id", "n", "bits").join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "jaccard-sketches")
     sketch = lambda i: sketches.select(F.col("doc_id").alias(i), F.col("n").alias(f"n{i}"), F.col("bits").alias(f"b{i}"))
     stars = shared.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
     tried = materialize(_plausible(stars.join(sketch("b"), "b").join(sketch("a"), "a"), num, den).select("a", "b"), "jaccard-pairs")
@@ -207,15 +207,9 @@ def ngram_jaccard_components(
 
     # Keys whose documents are still in several components: pair those across components.
     known = sketches.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", "bits", F.coalesce("component", "doc_id").alias("c"))
-    rest = materialize(
-        shared.select("key", "doc_id")
-        .join(known, "doc_id")
-        .repartition("key")
-        .withColumns({"c0": F.min("c").over(bucket), "c1": F.max("c").over(bucket)})
-        .where("c0 < c1")
-        .select("key", "doc_id", "n", "bits", "c"),
-        "jaccard-open",
-    )
+    labelled = materialize(shared.select("key", "doc_id").join(known.select("doc_id", "c"), "doc_id"), "jaccard-labelled")
+    open_keys = materialize(labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key"), "jaccard-open-keys")
+    rest = materialize(labelled.join(open_keys, "key").join(known.select("doc_id", "n", "bits"), "doc_id").select("key", "doc_id", "n", "bits", "c"), "jaccard-open")
     side = lambda i: rest.select("key", F.col("doc_id").alias(i), F.col("n").alias(f"n{i}"), F.col("bits").alias(f"b{i}"), F.col("c").alias(f"c{i}"))
     across = materialize(
         _plausible(side("a").join(side("b"), "key").where("a < b AND ca <> cb"), num, den).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs"
@@ -225,7 +219,7 @@ def ngram_jaccard_components(
         if not more.isEmpty():
             label = connected_components(links.union(more))
     heads = label.select(F.col("node").alias("rep"), "component")
-    discard(feats, shared, sketches, rest)
+    discard(offered, several, shared, sketches, labelled, open_keys, rest)
     return members.join(heads, "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")
     )

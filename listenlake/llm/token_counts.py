@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from listenlake.llm import _text as T, _vocab as V
-from listenlake.runtime import scratch_path, ship_package
+from listenlake.runtime import materialize, scratch_path, ship_package
 
 _CACHE = "digest string, version string, n_tokens long"
 
@@ -53,5 +53,6 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
         missing = rows.select("digest", "text").join(stored, "digest", "left_anti")
     fresh = missing.dropDuplicates(["digest"]).mapInArrow(_count(tokenizer), "digest string, n_tokens long")
     fresh.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
-    counts = spark.read.schema(_CACHE).parquet(cache).where(F.col("version") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
+    counts = spark.read.schema(_CACHE).parquet(cache).where(F.col("version") == version).select("digest", "n_tokens")
+    counts = materialize(counts.dropDuplicates(["digest"]), "token-counts")  # written, so that a hot digest's rows can be split in the join
     return rows.drop("text").join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

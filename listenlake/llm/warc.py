@@ -15,7 +15,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from listenlake.runtime import ship_package
+from listenlake.runtime import materialize, ship_package
 
 #: Records in a file at most: bounds what a reader holds at once.
 FILE_RECORDS = 500
@@ -48,6 +48,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, date: str = "2024-01
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows = rows.mapInArrow(_digests, "page_id long, url string, html string, digest string, bytes long")
     first = rows.select("digest", "page_id", "bytes", "url").where(F.col("bytes") >= least).groupBy("digest").agg(F.min_by(F.struct("page_id", "url"), "page_id").alias("origin"))
+    first = materialize(first, "warc-origins")  # written, so that a hot payload's rows can be split in the join
     origin = F.col("origin.page_id")
     revisit = (F.col("bytes") >= least) & origin.isNotNull() & F.col("page_id").isNotNull() & (F.col("page_id") > origin)
     head = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(EOL))
