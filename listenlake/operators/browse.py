@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from listenlake.catalog import Catalog
 from listenlake.functions import exprs as X
@@ -143,6 +143,13 @@ def album_songs(cat: Catalog, album_id: str) -> DataFrame:
     return named.orderBy(F.col("track_number").asc_nulls_last(), "title", "sha_id").select("sha_id", "title", "track_number", "duration_sec")
 
 
+def album_pages(cat: Catalog) -> DataFrame:
+    """Every album's songs with their places by track (unknown last), title and id; an album is a small group."""
+    named = cat.songs.where("album <> ''").join(_first_primary(cat), "sha_id").withColumn("album_id", X.album_id("album", "primary_artist"))
+    order = Window.partitionBy("album_id").orderBy(F.col("track_number").asc_nulls_last(), "title", "sha_id")
+    return named.select("album_id", F.row_number().over(order).alias("position"), "sha_id", "title", "track_number", "duration_sec")
+
+
 def artist_albums(cat: Catalog, artist_id: int, stored: DataFrame | None = None) -> DataFrame:
     """An artist's albums: the stored ones, or, where none are stored, those of the songs."""
     derived = cat.songs.where("album <> ''").join(cat.primary.where(F.col("artist_id") == artist_id), "sha_id").groupBy("album").agg(F.min("release_year").alias("release_year"), _n().alias("songs"))

@@ -56,8 +56,8 @@ add("b14_pending_features", B.pending_features, "SELECT sha_id, title FROM songs
 _SEED = "seed AS (SELECT CAST(vector AS DOUBLE[]) AS q FROM vectors WHERE sha_id = '5'), own AS (SELECT sha_id, CAST(vector AS DOUBLE[]) AS v FROM vectors WHERE sha_id IN (SELECT sha_id FROM songs) AND sha_id <> '5')"
 for _m, _f in (("cosine", "list_cosine_similarity(v, q)"), ("euclidean", "1 / (1 + list_distance(v, q))"), ("dot", "1 / (1 + abs(list_dot_product(v, q)))")):
     add(f"v01_similar_{_m}", lambda c, m=_m: V.similar_songs(c, "5", 20, m), f"WITH {_SEED} SELECT sha_id, round({_f}, 6) AS score FROM own, seed ORDER BY {_f} DESC, sha_id LIMIT 20", S, "vectors")
-add("v02_pairwise", lambda c: c.vectors.where("sha_id < '2'").alias("x").join(c.vectors.where("sha_id = '5'").select(F.col("vector").alias("q")), F.lit(True)).select("sha_id", *[F.round(V.pairwise(m, "vector", "q"), 5).alias(m) for m in V.METRICS]), """
-WITH s AS (SELECT CAST(vector AS DOUBLE[]) AS q FROM vectors WHERE sha_id = '5') SELECT sha_id, round((list_cosine_similarity(CAST(vector AS DOUBLE[]), q) + 1) / 2, 5) AS cosine, round(1 - least(list_distance(CAST(vector AS DOUBLE[]), q) / 2, 1), 5) AS euclidean, round(greatest(0, list_dot_product(CAST(vector AS DOUBLE[]), q)), 5) AS dot FROM vectors, s WHERE sha_id < '2'""", "vectors")
+add("v02_pairwise", lambda c: c.vectors.join(c.vectors.where("sha_id = '5'").select(F.col("vector").alias("q")), F.lit(True)).select("sha_id", *[F.round(V.pairwise(m, "vector", "q"), 5).alias(m) for m in V.METRICS]), """
+WITH s AS (SELECT CAST(vector AS DOUBLE[]) AS q FROM vectors WHERE sha_id = '5') SELECT sha_id, round((list_cosine_similarity(CAST(vector AS DOUBLE[]), q) + 1) / 2, 5) AS cosine, round(1 - least(list_distance(CAST(vector AS DOUBLE[]), q) / 2, 1), 5) AS euclidean, round(greatest(0, list_dot_product(CAST(vector AS DOUBLE[]), q)), 5) AS dot FROM vectors, s""", "vectors")
 add("v03_song_radio", lambda c: V.song_radio(c, "5", 20))
 add("v05_artist_radio", lambda c: V.artist_radio(c, 3, 20))
 add("v06_preferences", lambda c: V.preference_playlist(c, c.songs.where("sha_id IN ('1', '2', '3')").select("sha_id", F.lit(1.0).alias("weight")), c.songs.where("sha_id IN ('9')").select("sha_id", F.lit(1.0).alias("weight")), 20))

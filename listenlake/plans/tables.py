@@ -33,13 +33,13 @@ add("d02_upsert_overwrite", lambda c: M.upsert(c.songs.select("sha_id", "title",
 add("d04_dedup_candidates", lambda c: M.dedup_candidates(c.download_queue.select(F.col("queue_id").alias("no"), "title", "artist")), """
 WITH x AS (SELECT queue_id AS no, title, artist, lower(trim(title)) AS t, lower(trim(coalesce(artist, ''))) AS a FROM download_queue), f AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY t, a ORDER BY no) = 1)
 SELECT no, title, artist FROM f WHERE a <> '' OR t NOT IN (SELECT t FROM f WHERE a <> '')""", "download_queue")
-add("d05_unknown_candidates", lambda c: M.unknown_candidates(c.download_queue.select(F.col("queue_id").alias("no"), "title", "artist"), c.download_queue.where("queue_id % 3 = 0")), """
-WITH k AS (SELECT lower(trim(title)) AS t, lower(trim(coalesce(artist, ''))) AS a FROM download_queue WHERE queue_id % 3 = 0)
+add("d05_unknown_candidates", lambda c: M.unknown_candidates(c.download_queue.select(F.col("queue_id").alias("no"), "title", "artist"), c.download_queue.where("status = 'downloaded'")), """
+WITH k AS (SELECT lower(trim(title)) AS t, lower(trim(coalesce(artist, ''))) AS a FROM download_queue WHERE status = 'downloaded')
 SELECT queue_id AS no, title, artist FROM download_queue q WHERE CASE WHEN artist IS NULL THEN lower(trim(title)) NOT IN (SELECT t FROM k) ELSE NOT EXISTS (SELECT 1 FROM k WHERE t = lower(trim(q.title)) AND a = lower(trim(q.artist))) END""", "download_queue")
 add("d06_content_dedup", lambda c: M.split_new_content(c.songs.select(F.col("sha_id").cast("long").alias("no"), "title"), c.songs.limit(0), "title").select("no", "sha_id", "duplicate"), "SELECT CAST(sha_id AS BIGINT) AS no, sha256(title) AS sha_id, row_number() OVER (PARTITION BY title ORDER BY CAST(sha_id AS BIGINT)) > 1 AS duplicate FROM songs", S)
 add("d07_compact_log", lambda c: M.compact_log(c.play_sessions.select(F.col("session_id").cast("long").alias("no"), F.concat(F.lit('{"download_id":"'), F.col("user_id") % 50, F.lit('","stage":"'), "context_type", F.lit('"}')).alias("value"))).select("download_id", "stage", "no"), "SELECT CAST(user_id % 50 AS VARCHAR) AS download_id, context_type AS stage, max(CAST(session_id AS BIGINT)) AS no FROM play_sessions WHERE context_type IS NOT NULL GROUP BY 1, 2", P)
 add("d10_replace_children", lambda c: M.replace_children(c.song_genres, c.songs.where("release_year = 1990").select("sha_id", F.lit("nineties").alias("genre")), "sha_id"), "SELECT sha_id, genre FROM song_genres WHERE sha_id NOT IN (SELECT sha_id FROM songs WHERE release_year = 1990) UNION ALL SELECT sha_id, 'nineties' FROM songs WHERE release_year = 1990", S, "song_genres")
-add("t12_advance_queue", lambda c: M.advance_queue(c.download_queue, c.download_queue.where("queue_id % 4 = 1").select("queue_id", F.when(F.col("queue_id") % 8 == 1, "stored").otherwise("hashed").alias("status"))), "SELECT * REPLACE (CASE WHEN queue_id % 4 = 1 THEN 'hashed' ELSE status END AS status, CAST(attempts + CASE WHEN queue_id % 4 = 1 THEN 1 ELSE 0 END AS INT) AS attempts) FROM download_queue WHERE queue_id % 8 <> 1", "download_queue")
+add("t12_advance_queue", lambda c: M.advance_queue(c.download_queue, c.download_queue.where("status <> 'failed'").select("queue_id", F.when(F.col("status") == "downloaded", "stored").otherwise("hashed").alias("status"))), "SELECT * REPLACE (CASE WHEN status = 'pending' THEN 'hashed' ELSE status END AS status, CAST(attempts + CASE WHEN status = 'pending' THEN 1 ELSE 0 END AS INT) AS attempts) FROM download_queue WHERE status <> 'downloaded'", "download_queue")
 add("t13_retention", lambda c: M.retain(c.play_sessions.select("session_id", F.col("started_at").alias("timestamp")), c.play_sessions, c.spark.sql("SELECT DATE '2024-01-01' AS start_date, DATE '2024-01-02' AS end_date, 2L AS length_days"), datetime(2024, 4, 20))[0], "SELECT session_id, started_at AS timestamp FROM play_sessions WHERE started_at >= TIMESTAMP '2024-01-21'", P)
 _EVENTS = """SELECT CAST(event_id AS STRING) AS event_id, CAST(event_id % 3000 AS STRING) AS session_id, CAST(user_id AS STRING) AS sha_id, CAST(60000 AS BIGINT) AS song_duration_ms, CASE event_type WHEN 'click' THEN 'pause' WHEN 'error' THEN 'end' WHEN 'purchase' THEN 'complete' WHEN 'signup' THEN 'seek' ELSE 'start' END AS event_type, CAST(floor(value * 500) AS BIGINT) AS position_ms, CASE WHEN user_id % 2 = 0 THEN 'next_song' END AS reason, ts AS timestamp FROM events"""
 add("t04_sessions_from_events", lambda c: playback.sessions_batch(c.spark.sql(_EVENTS.replace("FROM events", "FROM {e}"), e=c._stored["events"])).select("session_id", "started_at", "ended_at", "duration_played_ms", F.round("completion_percent", 6).alias("completion_percent"), "completed", "skipped"), f"""
@@ -55,9 +55,10 @@ WITH x AS (SELECT CAST(p_partkey * 977 * 977 AS BIGINT) AS ms FROM part) SELECT
 add("p06_album_keys", lambda c: c.with_primary(c.songs).select("sha_id", X.album_key("album", "artist").alias("album_key")), "SELECT s.sha_id, CASE WHEN coalesce(album, '') = '' THEN '' ELSE lower(album) || '::' || lower(coalesce(artist, 'Unknown Artist')) END AS album_key FROM songs s LEFT JOIN primary_artist a ON s.sha_id = a.sha_id", S)
 add("u02_normalize", lambda c: c.songs.select("sha_id", TX.normalize_title(F.concat("title", F.lit(" (Live!) feat. X"))).alias("normal")), "SELECT sha_id, lower(title) AS normal FROM songs", S)
 _GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
-add("u03_similar_titles", lambda c: TX.similar_pairs(c.songs.where("release_year = 1990"), c.songs.where("release_year = 1991"), "sha_id", "sha_id", "title", "title", 0.4), f"""
-WITH l AS (SELECT sha_id, {_GRAMS.format(c='title')} AS g FROM songs WHERE release_year = 1990), r AS (SELECT sha_id, {_GRAMS.format(c='title')} AS g FROM songs WHERE release_year = 1991),
- x AS (SELECT l.sha_id AS l_key, r.sha_id AS r_key, round(len(list_intersect(l.g, r.g)) / (len(l.g) + len(r.g) - len(list_intersect(l.g, r.g))), 6) AS similarity FROM l, r) SELECT * FROM x WHERE similarity >= 0.4""", S)
+#: A search: the queries are the artists whose id is divisible by 50, the answers come from all artists.
+add("u03_similar_names", lambda c: TX.similar_pairs(c.artists.where("artist_id % 50 = 0"), c.artists, "artist_id", "artist_id", "name", "name", 0.6), f"""
+WITH l AS (SELECT artist_id, {_GRAMS.format(c='name')} AS g FROM artists WHERE artist_id % 50 = 0), r AS (SELECT artist_id, {_GRAMS.format(c='name')} AS g FROM artists),
+ x AS (SELECT l.artist_id AS l_key, r.artist_id AS r_key, round(len(list_intersect(l.g, r.g)) / (len(l.g) + len(r.g) - len(list_intersect(l.g, r.g))), 6) AS similarity FROM l, r) SELECT * FROM x WHERE similarity >= 0.6""", "artists")
 add("u04_filenames", lambda c: c.songs.select("sha_id", F.explode(TX.parsed_filenames(F.concat(F.lit("01 - Some Artist - "), "title", F.lit(" (Official Video).mp3")))).alias("g")).select("sha_id", "g.*"))
 add("u11_tempo", lambda c: c.audio_features.select("sha_id", F.round(U.fold_bpm(F.col("bpm") * F.when(F.col("bpm") > 120, 3).otherwise(F.lit(0.25))), 6).alias("bpm")), "WITH x AS (SELECT sha_id, bpm * CASE WHEN bpm > 120 THEN 3 ELSE 0.25 END AS b FROM audio_features) SELECT sha_id, round(CASE WHEN b < 60 THEN b * pow(2.0, ceil(log2(60 / b))) WHEN b > 180 THEN b / pow(2.0, ceil(log2(b / 180))) ELSE b END, 6) AS bpm FROM x", "audio_features")
 add("u13_scaled", lambda c: U.scaled(U.scaled(c.audio_features, "energy", "z"), "energy", "share", "range").select("sha_id", F.round("z", 6).alias("z"), F.round("share", 6).alias("share")), "SELECT sha_id, round((energy - avg(energy) OVER ()) / stddev_pop(energy) OVER (), 6) AS z, round((energy - min(energy) OVER ()) / (max(energy) OVER () - min(energy) OVER ()), 6) AS share FROM audio_features", "audio_features")

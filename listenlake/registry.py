@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from listenlake.plans import browse, library, listening, rules, tables
+from listenlake.plans import browse, library, listening, resolve, rules, tables
 
-_MODULES = (listening, library, rules, browse, tables)
+_MODULES = (listening, library, rules, browse, tables, resolve)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}

@@ -236,6 +236,31 @@ def test_result_cache(spark, sf, tmp_path):
     assert spark.read.json(str(tmp_path / "r" / "overview")).first().total_plays == 1000
 
 
+def test_reset_counts_what_goes(spark):
+    from listenlake.operators import resolve as Z
+
+    left, removed = Z.reset({"songs": spark.range(3), "albums": spark.range(2), "vectors": spark.range(4)}, ["songs", "albums"])
+    assert {k: df.count() for k, df in left.items()} == {"songs": 0, "albums": 0, "vectors": 4}
+    assert {r["table"]: r.removed for r in removed.collect()} == {"songs": 3, "albums": 2}
+
+
+def test_names_and_imports(spark):
+    from listenlake.operators import resolve as Z
+
+    df = spark.createDataFrame([(["A", " a", "", None, "b", "B "],), ([],), (None,)], "n array<string>")
+    assert [r[0] for r in df.select(Z.distinct_names("n")).collect()] == [["A", "b"], [], None]
+    got = {r.path: (r.artist, r.title, r.status) for r in Z.imports(spark.createDataFrame([("x/A_B - C - D.mp3",), (".mp3",), ("noise",), ("q.FLAC",)], "path string")).collect()}
+    assert got == {"x/A_B - C - D.mp3": ("A B", "C - D", "downloaded"), ".mp3": (None, "", "failed"), "noise": (None, "noise", "failed"), "q.FLAC": (None, "q", "converting")}
+
+
+def test_resolution_gates(spark):
+    from listenlake.operators import resolve as Z
+
+    rows = [("a", 2, 0.9, 0.9, 80.0, "late"), ("a", 1, 0.2, 0.9, 99.0, "unsure"), ("b", 1, 0.5, 0.3, 99.0, "other artist"), ("b", 1, 0.5, None, 10.0, "no artist"), ("c", 1, 0.5, 0.5, 80.0, None)]
+    df = spark.createDataFrame(rows, "key string, stage int, confidence double, artist_similarity double, score double, match string")
+    assert {r.key: r.match for r in Z.resolve(df).collect()} == {"a": "late", "b": "no artist"}
+
+
 def test_native_catalog(spark, tmp_path):
     spark.createDataFrame([("a", "t")], "sha_id string, title string").write.parquet(str(tmp_path / "songs.parquet"))
     assert Catalog.native(spark, str(tmp_path)).songs.first().title == "t"
