@@ -22,7 +22,7 @@ add("a09_library_stats", L.library_stats, """
 SELECT count(*) AS songs, CAST(sum(duration_sec) AS BIGINT) AS total_sec, round(avg(duration_sec), 2) AS avg_sec, min(duration_sec) AS min_sec, max(duration_sec) AS max_sec, min(release_year) AS first_year, max(release_year) AS last_year,
  (SELECT sha_id FROM songs ORDER BY duration_sec DESC, sha_id LIMIT 1) AS longest_song, (SELECT sha_id FROM songs ORDER BY duration_sec, sha_id LIMIT 1) AS shortest_song,
  (SELECT count(DISTINCT artist_id) FROM song_artists) AS artists, (SELECT CAST(sum(file_size) AS BIGINT) FROM song_files) AS storage_bytes,
- (SELECT artist_id FROM song_artists GROUP BY 1 ORDER BY count(DISTINCT sha_id) DESC, 1 LIMIT 1) AS most_prolific, (SELECT format('{:.2f} GB', sum(file_size) / 1024.0 / 1024 / 1024) FROM song_files) AS storage FROM songs""", S, "song_artists", "song_files")
+ (SELECT artist_id FROM song_artists GROUP BY 1 ORDER BY count(DISTINCT sha_id) DESC, 1 LIMIT 1) AS most_prolific, (SELECT CASE WHEN b < 1024 THEN CAST(b AS BIGINT) || ' B' WHEN b < 1048576 THEN format('{:.1f} KB', b / 1024.0) WHEN b < 1073741824 THEN format('{:.1f} MB', b / 1048576.0) ELSE format('{:.2f} GB', b / 1073741824.0) END FROM (SELECT sum(file_size) AS b FROM song_files)) AS storage FROM songs""", S, "song_artists", "song_files")
 add("a09_decades", L.songs_by_decade, "SELECT CAST(floor(release_year / 10) * 10 AS INT) AS decade, count(*) AS songs FROM songs WHERE release_year >= 1900 GROUP BY 1", S)
 add("a10_growth", lambda c: L.library_growth(c, "month", AS_OF), "WITH g AS (SELECT CAST(date_trunc('week', created_at) AS DATE) AS bucket, count(*) AS added FROM songs WHERE created_at >= TIMESTAMP '2024-01-01' AND created_at < TIMESTAMP '2024-01-31' GROUP BY 1) SELECT *, CAST(sum(added) OVER (ORDER BY bucket) AS BIGINT) AS running_total FROM g", S)
 add("a11_composition", L.library_composition, """
