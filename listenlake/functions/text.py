@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import difflib
-import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
+from listenlake.functions.filenames import KNOWN, looked_up, parse_filename, stored_variants
+
 _GUESSES = ArrayType(StructType().add("artist", StringType()).add("title", StringType()).add("confidence", DoubleType()))
 
 
@@ -56,39 +57,71 @@ def fold_accents(a: pd.Series) -> pd.Series:
     return a.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
 
 
-_NOISE = re.compile(r"\s*[\(\[][^)\]]*(official|lyric|video|audio|hd|hq|remaster|visuali[sz]er)[^)\]]*[\)\]]", re.I)
-_TRACK = re.compile(r"^\s*\d{1,3}\s*[-._)]\s*|^\s*\d{2}\s+")
-
-
-def parse_filename(name: str | None) -> list[tuple[str | None, str, float]]:
-    """Guesses (artist, title, confidence) at what a file name says, the likeliest first."""
-    if not name or not name.strip():
-        return []
-    stem = re.sub(r"\.(mp3|flac|wav|m4a|ogg|opus|aac)$", "", name.strip(), flags=re.I).replace("_", " ")
-    clean = re.sub(r"\s+", " ", _NOISE.sub("", _TRACK.sub("", stem))).strip(" -")
-    out: list[tuple[str | None, str, float]] = []
-    parts = [p.strip() for p in re.split(r"\s+[-–—|]\s+", clean) if p.strip()]
-    if len(parts) == 2:
-        out += [(parts[0], parts[1], 0.9), (parts[1], parts[0], 0.4)]
-    elif len(parts) > 2:
-        out += [(parts[0], parts[-1], 0.7), (parts[0], " - ".join(parts[1:]), 0.6)]
-    if m := re.fullmatch(r"(.+?)\s+by\s+(.+)", clean, re.I):
-        out.append((m[2], m[1], 0.75))
-    if clean:
-        out.append((None, clean, 0.3))
-    seen, ranked = set(), []
-    for artist, title, confidence in sorted(out, key=lambda x: -x[2]):
-        if (k := ((artist or "").lower(), title.lower())) not in seen:
-            seen.add(k)
-            ranked.append((artist, title, confidence))
-    return ranked
-
-
 @F.pandas_udf(_GUESSES)
 def parsed_filenames(names: pd.Series) -> pd.Series:
     return names.map(lambda n: [{"artist": a, "title": t, "confidence": c} for a, t, c in parse_filename(n)])
 
 
+@F.pandas_udf(_GUESSES)
+def _parsed_with(names: pd.Series, known: pd.Series) -> pd.Series:
+    def parse(name, found):
+        at = {x["text"]: (x["artist"], x["similarity"]) for x in found} if found is not None else {}
+        at |= {a: (a, 1.0) for a, _ in list(at.values()) if a not in at}
+        return [{"artist": a, "title": t, "confidence": c} for a, t, c in parse_filename(name, at.get)]
+
+    return pd.Series([parse(n, k) for n, k in zip(names, known, strict=True)])
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _looked_up(names: pd.Series) -> pd.Series:
+    return names.map(looked_up)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _stored_variants(names: pd.Series) -> pd.Series:
+    return names.map(stored_variants)
+
+
+def close_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(text, name, similarity) of texts of ``left`` and names of ``right`` that are ``least`` or more similar.
+
+    Two such sets share one of their rarest n - ceil(least * n) + 1 trigrams; only these are joined, so that a
+    trigram of most names makes no candidates.
+    """
+    grams = lambda df, c: df.select(c, trigrams(c).alias("g")).where(F.size("g") > 0)
+    l, r = grams(left, "text"), grams(right, "name")
+    often = r.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+
+    def rare(df: DataFrame, c: str) -> DataFrame:
+        each = df.select(c, F.size("g").alias("n"), F.explode("g").alias("gram")).join(often, "gram", "left")
+        ranked = each.groupBy(c).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram"))).alias("g"))
+        return ranked.select(c, F.col("g.gram").alias(f"{c}_g"), F.explode(F.slice("g", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))).alias("x")).select(c, f"{c}_g", F.col("x.gram").alias("gram"))
+
+    both = rare(l, "text").join(rare(r, "name"), "gram")
+    s = F.size(F.array_intersect("text_g", "name_g")) / F.size(F.array_union("text_g", "name_g"))
+    return both.select("text", "name", s.alias("similarity")).where(F.col("similarity") >= least).distinct()
+
+
+def known_filenames(names: DataFrame, artists: DataFrame, key: str = "sha_id", name: str = "name") -> DataFrame:
+    """(key, artist, title, confidence): guesses at each file name, with the artists' table looked up.
+
+    A text is found exactly under a name's stored forms (the greatest artist_id of equal ones), else by the highest
+    trigram similarity of KNOWN or more among artists of song_count 2 or more, else among all; ties take the least
+    name. Weaker matches are never used by the parser and don't hide others. Rows with a null key have no guesses.
+    """
+    asked = names.where(F.col(key).isNotNull()).select(key, F.col(name).alias("file"))
+    texts = asked.select("file").distinct().select("file", F.explode(_looked_up("file")).alias("text"))
+    distinct = texts.select("text").distinct().withColumn("normal", F.get(_stored_variants("text"), F.lit(0)))
+    exact = artists.select("artist_id", "name", F.explode(_stored_variants("name")).alias("normal")).groupBy("normal").agg(F.max_by("name", "artist_id").alias("artist"))
+    found = distinct.join(exact, "normal", "left")
+    popular = artists.groupBy("name").agg(F.max(F.col("song_count") >= 2).alias("popular"))
+    close = close_pairs(found.where("artist IS NULL AND length(text) >= 2").select("text"), popular.select("name"), KNOWN).join(popular, "name")
+    close = close.groupBy("text").agg(F.min(F.struct(~F.coalesce("popular", F.lit(False)), -F.col("similarity"), "name", "similarity")).alias("b")).select("text", F.col("b.name").alias("artist"), F.col("b.similarity").alias("similarity"))
+    best = found.where("artist IS NOT NULL").select("text", "artist", F.lit(1.0).alias("similarity")).union(close)
+    known = texts.join(best, "text").groupBy("file").agg(F.collect_list(F.struct("text", "artist", "similarity")).alias("known"))
+    return asked.join(known, "file", "left").select(key, F.explode(_parsed_with("file", "known")).alias("g")).select(key, "g.*")
+
+
 def match_score(score: Column, title: Column, artist: Column, duration_fits: Column) -> Column:
     """A recording match's total: 0.3 of the source's score, 25 of title and 45 of artist similarity (0.5, 40 and 10 if the artist is unknown), 5 for a fitting duration; null under the gates."""
     known = artist.isNotNull()

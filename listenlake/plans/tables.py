@@ -59,6 +59,22 @@ _GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array
 add("u03_similar_names", lambda c: TX.similar_pairs(c.artists.where("artist_id % 50 = 0"), c.artists, "artist_id", "artist_id", "name", "name", 0.6), f"""
 WITH l AS (SELECT artist_id, {_GRAMS.format(c='name')} AS g FROM artists WHERE artist_id % 50 = 0), r AS (SELECT artist_id, {_GRAMS.format(c='name')} AS g FROM artists),
  x AS (SELECT l.artist_id AS l_key, r.artist_id AS r_key, round(len(list_intersect(l.g, r.g)) / (len(l.g) + len(r.g) - len(list_intersect(l.g, r.g))), 6) AS similarity FROM l, r) SELECT * FROM x WHERE similarity >= 0.6""", "artists")
-add("u04_filenames", lambda c: c.songs.select("sha_id", F.explode(TX.parsed_filenames(F.concat(F.lit("01 - Some Artist - "), "title", F.lit(" (Official Video).mp3")))).alias("g")).select("sha_id", "g.*"))
+#: File names of every shape that the parser knows; {a} is the artist and {t} the title.
+SHAPES = ["01 - {a} - {t} (Official Video).mp3", "{a} - {t}.flac", "{t} - {a}.mp3", "{a}-{t}.mp3", "{a}_-_{t}.webm", "{a}_{t}.mp3", "{t} ({a}).mp3", "({a}) {t}.mp3", "{a}{T}.mp3", "{a} {t} [dQw4w9WgXcQ].mp3", "{t} by {a}.m4a", "{t}.mp3"]
+
+
+def _file_names(c):
+    t, a = F.col("title"), F.col("artist")
+    shape = F.element_at(F.array(*map(F.lit, SHAPES)), (F.pmod(F.xxhash64("sha_id"), F.lit(len(SHAPES))) + 1).cast("int"))
+    name = F.replace(F.replace(F.replace(shape, F.lit("{a}"), a), F.lit("{t}"), t), F.lit("{T}"), F.initcap(t))
+    return c.with_primary(c.songs).select("sha_id", name.alias("name"))
+
+
+def _counted(c):
+    n = c.song_artists.groupBy("artist_id").agg(F.count_distinct("sha_id").alias("song_count"))
+    return c.artists.join(n, "artist_id", "left")
+
+
+add("u04_filenames", lambda c: TX.known_filenames(_file_names(c), _counted(c)))
 add("u11_tempo", lambda c: c.audio_features.select("sha_id", F.round(U.fold_bpm(F.col("bpm") * F.when(F.col("bpm") > 120, 3).otherwise(F.lit(0.25))), 6).alias("bpm")), "WITH x AS (SELECT sha_id, bpm * CASE WHEN bpm > 120 THEN 3 ELSE 0.25 END AS b FROM audio_features) SELECT sha_id, round(CASE WHEN b < 60 THEN b * pow(2.0, ceil(log2(60 / b))) WHEN b > 180 THEN b / pow(2.0, ceil(log2(b / 180))) ELSE b END, 6) AS bpm FROM x", "audio_features")
 add("u13_scaled", lambda c: U.scaled(U.scaled(c.audio_features, "energy", "z"), "energy", "share", "range").select("sha_id", F.round("z", 6).alias("z"), F.round("share", 6).alias("share")), "SELECT sha_id, round((energy - avg(energy) OVER ()) / stddev_pop(energy) OVER (), 6) AS z, round((energy - min(energy) OVER ()) / (max(energy) OVER () - min(energy) OVER ()), 6) AS share FROM audio_features", "audio_features")

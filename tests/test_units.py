@@ -264,3 +264,39 @@ def test_resolution_gates(spark):
 def test_native_catalog(spark, tmp_path):
     spark.createDataFrame([("a", "t")], "sha_id string, title string").write.parquet(str(tmp_path / "songs.parquet"))
     assert Catalog.native(spark, str(tmp_path)).songs.first().title == "t"
+
+
+@pytest.mark.parametrize(
+    "name, guess",
+    [
+        ("Artist_Title.mp3", ("Artist", "Title", 0.6)),
+        ("wonder_girls_tellme.mp3", ("wonder girls", "tellme", 0.55)),
+        ("Title (Artist).mp3", ("Artist", "Title", 0.5)),
+        ("(Artist) Title.mp3", ("Artist", "Title", 0.5)),
+        ("ALLEYCVTBack2Life.mp3", ("ALLEYCVT", "Back2Life", 0.4)),
+        ("ArtistSong.mp3", ("Artist", "Song", 0.3)),
+        ("aespa Next Level.mp3", ("aespa", "Next Level", 0.35)),
+        ("Band__Song.mp3", ("Band", "Song", 0.9)),
+        ("Band-Song.mp3", ("Band", "Song", 0.7)),
+        ("Track 01 - AOA - Miniskirt M V.mp3", ("AOA", "Miniskirt", 0.855)),
+    ],
+)
+def test_filename_patterns(name, guess):
+    assert guess in [(a, t, round(c, 6)) for a, t, c in text.parse_filename(name)]
+
+
+def test_filenames_of_known_artists(spark):
+    artists = spark.createDataFrame([(1, "Ed Sheeran", 5), (2, "The Beatles", 1), (3, "Ed Sheeranso", 1)], "artist_id int, name string, song_count int")
+    names = spark.createDataFrame([("a", "edsheeran bad habits.mp3"), ("b", "beatles_help.mp3"), ("c", "Ed Sheerans - Shivers.mp3"), ("d", None)], "sha_id string, name string")
+    best = {}
+    for r in text.known_filenames(names, artists).orderBy("sha_id", F.desc("confidence")).collect():
+        best.setdefault(r.sha_id, (r.artist, r.title))
+    assert best == {"a": ("Ed Sheeran", "bad habits"), "b": ("The Beatles", "help"), "c": ("Ed Sheeran", "Shivers")}
+
+
+def test_close_pairs_match_brute_force(spark):
+    words = spark.range(60).select(F.concat(F.lit("Supplier#0000"), F.col("id") * 7 % 100, F.lit(" the")).alias("name"))
+    asked = words.select(F.translate("name", "3", "4").alias("text"))
+    both = asked.distinct().crossJoin(words).select("text", "name", text.similarity("text", "name").alias("s")).where("s >= 0.75")
+    close = text.close_pairs(asked.distinct(), words, 0.75)
+    assert sorted(tuple(r) for r in close.collect()) == sorted(tuple(r) for r in both.distinct().collect()) and close.count() > 60
