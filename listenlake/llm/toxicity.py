@@ -2,7 +2,7 @@
 
 A word's input is a hashed word embedding beside the mean of hashed character 4-gram embeddings. A window of
 words runs through a gated recurrent unit in either direction; attention pools the states, and the pooled
-state gives the window's logit. All overlapping windows of a text are scored; the text's score is the highest.
+state gives the window's logit. Every window of a text is scored, one for each start; the text's score is the highest.
 Training is plain numpy on a bounded, documented sample of labelled rows; scoring runs in the tasks that hold
 the texts, with the model broadcast (about 1 MB whatever the corpus).
 """
@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame, functions as F
 from listenlake.llm import _text as T
 from listenlake.runtime import ship_package
 
-#: Words of a window, words between windows' starts, hidden units of a direction, embedding width of a half, hash buckets of a half.
+#: Words of a window, words between training windows' starts (scoring takes every start), hidden units of a direction, embedding width of a half, hash buckets of a half.
 WIDTH, STRIDE, HIDDEN, DIM, BUCKETS = 32, 24, 8, 8, 1 << 14
 #: Bound of the training sample: documents with label 1 and 0, and windows of one document.
 SAMPLE_1, SAMPLE_0, SAMPLE_WINDOWS = 800, 1200, 16
 #: Fixed value: held out is the row whose crc32(doc_id as text) leaves this remainder modulo 4.
 HELD_OUT = 2
-_BLOCK, _GRAM = 4096, 4
+_BLOCK, _FULL, _GRAM = 4096, 2048, 4
 
 
 class Words:
@@ -46,11 +46,11 @@ class Words:
         self.gram_start, self.grams = np.cumsum(grams) - grams, grams
 
 
-def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(counts: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, first word and length of each window over rows of ``counts`` words; a row without words has none."""
-    n = np.where(counts > 0, 1 + np.maximum(0, -(-(counts - WIDTH) // STRIDE)), 0)
+    n = np.where(counts > 0, 1 + np.maximum(0, -(-(counts - WIDTH) // stride)), 0)
     row = np.repeat(np.arange(len(counts)), n)
-    at = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
+    at = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * stride
     first = np.cumsum(counts) - counts
     return row, first[row] + at, np.minimum(counts[row] - at, WIDTH)
 
@@ -120,19 +120,56 @@ class Network:
     def gates(self, x: np.ndarray) -> dict:
         return {d: x @ self.p[f"W{d}"] + self.p[f"c{d}"] for d in "fb"}
 
+    def _full(self, gates: dict, at: np.ndarray) -> np.ndarray:
+        """Logits of full windows that start at ``at``: ``logits`` without masks and kept states; gates: three hidden rows a word place."""
+        k, n = HIDDEN, len(at)
+        sides = {}
+        for d, part in (("f", slice(0, k)), ("b", slice(k, 2 * k))):
+            u = np.ascontiguousarray(self.p[f"U{d}"].T) * np.float32(0.5)  # sigmoid(x) is half of tanh(x / 2) + 1
+            ends = np.stack((self.p["att"][part], self.p["out"][part]))
+            h, side = np.zeros((k, n), np.float32), np.empty((WIDTH, 2, n), np.float32)
+            hu, rz, new = np.empty((3 * k, n), np.float32), np.empty((2 * k, n), np.float32), np.empty((k, n), np.float32)
+            close = int(at[-1]) - int(at[0]) == n - 1
+            for t in range(WIDTH) if d == "f" else range(WIDTH - 1, -1, -1):
+                x = gates[d][:, at[0] + t : at[-1] + t + 1] if close else gates[d][:, at + t]
+                np.matmul(u, h, out=hu)
+                np.add(x[: 2 * k], hu[: 2 * k], out=rz)
+                np.tanh(rz, out=rz)
+                rz += np.float32(1)
+                np.multiply(rz[:k], hu[2 * k :], out=new)
+                new += x[2 * k :]
+                np.tanh(new, out=new)
+                h -= new
+                h *= rz[k:]
+                h *= np.float32(0.5)
+                h += new
+                np.matmul(ends, h, out=side[t])
+            sides[d] = side
+        both = sides["f"]
+        both += sides["b"]
+        e = np.exp(both[:, 0] - both[:, 0].max(0))
+        return np.einsum("tn,tn->n", e, both[:, 1]) / e.sum(0) + self.p["bias"][0]
+
     def score(self, w: Words, counts: np.ndarray) -> np.ndarray:
         """The highest window probability of each row; a row without words gets the bias's own."""
-        row, first, length = windows(counts)
+        row, first, length = windows(counts, 1)
         best = np.full(len(counts), -np.inf, np.float32)
         best[counts == 0] = self.p["bias"][0]
-        order = np.argsort(-length, kind="stable")  # full windows first: they need no masks
-        row, first, length = row[order], first[order], length[order]
         gates = self.gates(self.inputs(w))
         padded = np.concatenate((w.inverse, np.full(WIDTH, len(w.word))))
-        for i in range(0, len(row), _BLOCK):
-            at = first[i : i + _BLOCK, None] + np.arange(WIDTH)
-            ids = np.where(np.arange(WIDTH) < length[i : i + _BLOCK, None], padded[at], len(w.word))
-            np.maximum.at(best, row[i : i + _BLOCK], self.logits(gates, ids, length[i : i + _BLOCK]))
+        full = length == WIDTH
+        short = np.flatnonzero(~full)
+        for i in range(0, len(short), _BLOCK):
+            some = short[i : i + _BLOCK]
+            ids = np.where(np.arange(WIDTH) < length[some, None], padded[first[some, None] + np.arange(WIDTH)], len(w.word))
+            np.maximum.at(best, row[some], self.logits(gates, ids, length[some]))
+        row, first = row[full], first[full]
+        half = np.repeat(np.array([0.5, 1], np.float32), [2 * HIDDEN, HIDDEN])
+        for i in range(0, len(row), _FULL):
+            at = first[i : i + _FULL]
+            ids = padded[at[0] : at[-1] + WIDTH]
+            placed = {d: np.ascontiguousarray((g[ids] * half).T) for d, g in gates.items()}
+            np.maximum.at(best, row[i : i + _FULL], self._full(placed, at - at[0]))
         return 1 / (1 + np.exp(-best.astype(np.float64)))
 
     def gradients(self, w: Words, ids: np.ndarray, lengths: np.ndarray, row: np.ndarray, label: np.ndarray) -> tuple[float, dict]:

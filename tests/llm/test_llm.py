@@ -208,6 +208,20 @@ def test_toxicity_learns_and_scores_odd_rows(spark, docs):
     assert not np.isnan(X.train_toxicity(empty(spark), labels.limit(0)).score(*X._words_of(pa.array(["a b"])))).any()
 
 
+def test_toxicity_scores_every_window():
+    net, g = X.Network(3), np.random.default_rng(5)
+    net.p["word"] *= 20
+    w, counts = X._words_of(pa.array([" ".join(f"w{x}" for x in g.integers(0, 400, n)) for n in (300, 0, 5, 32, 33, 2500)]))
+    cum, pos = np.cumsum(counts) - counts, np.arange(X.WIDTH)
+    best = []
+    for a, n in zip(cum, counts, strict=True):
+        at = a + np.arange(max(1, n - X.WIDTH + 1))[:, None]
+        ids = np.append(w.inverse, np.full(X.WIDTH, len(w.word)))[at + pos]
+        z = net.logits(net.gates(net.inputs(w)), ids, np.full(len(at), min(n, X.WIDTH))).max() if n else net.p["bias"][0]
+        best.append(1 / (1 + np.exp(-float(z))))
+    assert net.score(w, counts) == pytest.approx(best, abs=1e-5)
+
+
 def test_toxicity_gradient():
     net = X.Network(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
