@@ -287,6 +287,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Train on labelled documents that are not held out: at most SAMPLE_1 and SAMPLE_0 of either label, the least by a hash of the id, and SAMPLE_WINDOWS windows of each.
 
     Rows without id or label, and further labels of one id, are left out. Without any label the network stays untrained.
+    Both labels are counted over all permitted rows; where a bound changes their ratio, the bias is set back by the
+    log of the odds' ratio, so that scores mean the same at every size.
     """
     ship_package(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id"))
@@ -300,7 +302,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     ids, owner = np.unique(held.doc_id.to_numpy(), return_inverse=True)
     label = np.zeros(len(ids), np.int64)
     label[owner] = held.toxic.to_numpy()
-    return train(held.window.tolist(), owner, label)
+    net = train(held.window.tolist(), owner, label)
+    n = dict(known.groupBy("toxic").count().collect())
+    if len(n) == 2:
+        net.p["bias"] += np.float32(np.log(n[1] / n[0] * min(n[0], SAMPLE_0) / min(n[1], SAMPLE_1)))
+    return net
 
 
 def _score(net):

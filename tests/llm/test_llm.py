@@ -222,6 +222,16 @@ def test_toxicity_scores_every_window():
     assert net.score(w, counts) == pytest.approx(best, abs=1e-5)
 
 
+def test_toxicity_bias_follows_all_labels(spark, monkeypatch):
+    rows = spark.range(400).selectExpr("id AS doc_id", "'some words' AS text", "CAST(id % 10 = 0 AS INT) AS toxic")
+    n = {r.toxic: r["count"] for r in rows.where(~X.held_out("doc_id")).groupBy("toxic").count().collect()}
+    monkeypatch.setattr(X, "train", lambda *_: X.Network(1))
+    assert X.train_toxicity(rows, rows).p["bias"][0] == -2  # no bound is met
+    monkeypatch.setattr(X, "SAMPLE_1", 20)
+    monkeypatch.setattr(X, "SAMPLE_0", 50)
+    assert X.train_toxicity(rows, rows).p["bias"][0] == pytest.approx(-2 + np.log(n[1] / n[0] / (20 / 50)), abs=1e-5)
+
+
 def test_toxicity_gradient():
     net = X.Network(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
