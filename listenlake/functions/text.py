@@ -6,7 +6,7 @@ import difflib
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
 from listenlake.functions.filenames import KNOWN, looked_up, parse_filename, stored_variants
@@ -36,6 +36,13 @@ def similar_pairs(left: DataFrame, right: DataFrame, l_key: str, r_key: str, l_t
     return both.select("l_key", "r_key", F.round(s, 6).alias("similarity")).where(F.col("similarity") >= least)
 
 
+def most_similar(left: DataFrame, right: DataFrame, l_key: str, r_key: str, l_text: str, r_text: str, n: int = 10, least: float = 0.3) -> DataFrame:
+    """The ``n`` most similar rows of ``right`` for each row of ``left``, of similarity ``least`` or more; ties keep the least keys."""
+    pairs = similar_pairs(left, right, l_key, r_key, l_text, r_text, least)
+    top = Window.partitionBy("l_key").orderBy(F.desc("similarity"), "r_key")
+    return pairs.withColumn("__no", F.row_number().over(top)).where(F.col("__no") <= n).drop("__no")
+
+
 def normalize_title(c: str | Column) -> Column:
     """Without bracketed parts, featured artists and punctuation; lower case, spaces collapsed."""
     c = F.col(c) if isinstance(c, str) else c

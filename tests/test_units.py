@@ -300,3 +300,10 @@ def test_close_pairs_match_brute_force(spark):
     both = asked.distinct().crossJoin(words).select("text", "name", text.similarity("text", "name").alias("s")).where("s >= 0.75")
     close = text.close_pairs(asked.distinct(), words, 0.75)
     assert sorted(tuple(r) for r in close.collect()) == sorted(tuple(r) for r in both.distinct().collect()) and close.count() > 60
+
+
+def test_most_similar_reaches_down_to_the_operators_threshold(spark):
+    one_, all_ = (spark.createDataFrame(x, "artist_id int, name string") for x in ([(1, "the beatles")], [(2, "beatles"), (3, "the beat"), (4, "nothing"), (5, "the eagles")]))
+    rows = text.most_similar(one_, all_, "artist_id", "artist_id", "name", "name").collect()
+    assert {r.r_key: r.similarity for r in rows} == {2: 0.666667, 3: 0.615385, 5: 0.352941}
+    assert text.most_similar(one_, all_, "artist_id", "artist_id", "name", "name", n=1).count() == 1
