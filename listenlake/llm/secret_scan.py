@@ -2,8 +2,8 @@
 
 Base patterns are found with regular expressions. Beyond them, candidate strings are scored by the Shannon
 entropy of a sliding window, kept up to date by incremental counts: a window's step changes two counts, and
-with them the sum of c * log2(c). The threshold depends on the candidate's character class; candidates on the
-allow-list are suppressed.
+with them the sum of c * log2(c). The threshold depends on the candidate's character class; windows that overlap a
+match of the allow-list are suppressed.
 """
 
 from __future__ import annotations
@@ -27,21 +27,21 @@ ALLOW = [
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"(?i)example|placeholder|changeme|your[_-]?(key|token|secret)",
     r"(?i)0123456789abcdef|abcdefghijklmnop|qwertyuiop",
-    r"^[A-Za-z_/-]+$",
     r"([-_=+/])\1{7,}",
 ]
 
 
-def _spans(text: str, pattern: str) -> Column:
+def _spans(text: str | Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as structs (start, end, m), in code points.
 
     A match's text can't occur earlier after the previous match, as the pattern would match there.
     """
+    text = F.col(text) if isinstance(text, str) else text
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.struct(F.lit(1).alias("p"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("s"))
 
     def step(acc: Column, m: Column) -> Column:
-        at = F.call_function("locate", m, F.col(text), acc["p"])
+        at = F.call_function("locate", m, text, acc["p"])
         end = at + F.length(m)
         return F.struct(end.alias("p"), F.concat(acc["s"], F.array(F.struct((at - 1).alias("start"), (end - 1).alias("end"), m.alias("m")))).alias("s"))
 
@@ -53,7 +53,7 @@ def _log_sum(c: Column) -> Column:
 
 
 def _hot(m: Column) -> Column:
-    """(first, last, best): the hull of the windows of m at or over its class's threshold, and the highest entropy."""
+    """(first, last, best): the hull of the windows of m at or over its class's threshold that overlap no match of the allow-list, and the highest entropy."""
     lower, upper, digit = m.rlike("[a-z]"), m.rlike("[A-Z]"), m.rlike("[0-9]")
     least = (
         F.when(digit & ~lower & ~upper, 99.0)
@@ -65,6 +65,7 @@ def _hot(m: Column) -> Column:
     )
     code = lambda i: F.ascii(F.substring(m, i, 1))
     start = F.struct(
+        F.concat(*[_spans(m, pattern) for pattern in ALLOW]).alias("allowed"),
         F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"), F.lit(-1).alias("first"), F.lit(-1).alias("last")
     )
 
@@ -78,8 +79,9 @@ def _hot(m: Column) -> Column:
         s = acc["s"] + grown + shrunk
         counts = F.transform(acc["counts"], lambda c, j: c + (j == new).cast("int") - (j == old).cast("int"))
         h = F.when(i >= WINDOW, F.log2(F.lit(float(WINDOW))) - s / WINDOW).otherwise(0.0)
-        over = (i >= WINDOW) & (h >= least)
+        over = (i >= WINDOW) & (h >= least) & ~F.exists(acc["allowed"], lambda x: (x["start"] < i) & (x["end"] > i - WINDOW))
         return F.struct(
+            acc["allowed"].alias("allowed"),
             counts.alias("counts"),
             s.alias("s"),
             F.greatest(acc["best"], h).alias("best"),
@@ -88,11 +90,8 @@ def _hot(m: Column) -> Column:
         )
 
     scored = F.aggregate(F.sequence(F.lit(1), F.length(m)), start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last"), a["best"].alias("best")))
-    harmless = m.rlike(ALLOW[0])
-    for pattern in ALLOW[1:]:
-        harmless = harmless | m.rlike(pattern)
     none = F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last"), F.lit(0.0).alias("best"))
-    return F.when(harmless | (least > 90), none).otherwise(scored)
+    return F.when(least > 90, none).otherwise(scored)
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:

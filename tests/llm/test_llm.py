@@ -348,6 +348,14 @@ def test_secrets(spark, docs):
     assert S.secret_digest(empty(spark)).count() == 0
 
 
+def test_allow_list_suppresses_only_what_it_matches(spark):
+    key = "9aF3kQ7ZpLw0Xy2TuV8b"
+    texts = [f"/your-key/{key}", "=" * 8 + key, "your-key-your-key-your-key", "123e4567-e89b-12d3-a456-426614174000", "qWzRtYpLkJhGfDsXcVbNmQaE", f"x{key}example{key}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in S.secret_digest(df).collect()}
+    assert spans == {0: "entropy:9:30", 1: "entropy:8:28", 2: "", 3: "", 4: "entropy:0:24", 5: "entropy:0:48"}
+
+
 def test_decontamination_matches_brute_force(spark, sf, docs, texts, monkeypatch):
     long = texts[0].split()[5:40]
     items = [("b", " ".join(long)), ("a", "one more"), ("c", None), ("d", "…"), ("b", "lorem ipsum"), (None, "x"), ("e", " ".join(texts[7].split()[:9])), ("a", "never seen anywhere 12345")]
