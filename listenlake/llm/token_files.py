@@ -2,8 +2,9 @@
 
 Documents are dealt to tasks by ranges of doc_id, so that shards ascend; a task encodes its documents and cuts
 them into shards of a bounded number of ids. In each shard frequent pairs of neighbouring symbols are replaced
-by nonterminals, round after round; pairs never cross documents. A shard stores its rules, the rules'
-expansion lengths, and where each document's symbols and ids start, so one document can be decoded alone.
+by nonterminals, round after round until none is frequent; pairs never cross documents. A shard stores its rules,
+the rules' expansion lengths, and how many symbols and ids each document has, so one document, or a part of it, can
+be decoded alone.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from listenlake.llm import _text as T, _vocab as V
 from listenlake.runtime import ship_package
 
 MAGIC = b"RPG1"
-#: Ids of a shard (a longer document is a shard of its own), rounds, rules that one round adds at most, occurrences that a pair needs.
-SHARD_IDS, ROUNDS, ROUND_RULES, LEAST = 2_000_000, 5, 3000, 24
+#: Ids of a shard (a longer document is a shard of its own), occurrences that a pair needs.
+SHARD_IDS, LEAST = 2_000_000, 24
 _TABLE_BITS = 20
 
 
@@ -37,16 +38,14 @@ def _slot(code: np.ndarray) -> np.ndarray:
     return (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
 
-def compress(ids: np.ndarray, lengths: np.ndarray, least: int = LEAST, rounds: int = ROUNDS):
-    """Re-Pair over documents of ``lengths`` ids: (symbols, symbols of each document, rules, first rule of each round, base)."""
+def compress(ids: np.ndarray, lengths: np.ndarray, least: int = LEAST):
+    """Re-Pair until no pair occurs ``least`` times, over documents of ``lengths`` ids: (symbols, symbols of each document, rules, first rule of each round, base)."""
     s = ids.astype(np.uint32)
     base = int(s.max(initial=0)) + 1
     last = np.zeros(len(s), bool)
     last[np.cumsum(lengths)[lengths > 0] - 1] = True
     rules, levels = [np.zeros((0, 2), np.uint32)], [0]
-    for _ in range(rounds):
-        if len(s) < 2:
-            break
+    while len(s) > 1:
         code = _pair_codes(s, last)
         slot = _slot(code)
         bins = np.bincount(slot, minlength=1 << _TABLE_BITS)  # a pair is at most as frequent as its slot
@@ -54,7 +53,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray, least: int = LEAST, rounds: i
         hot &= code != 2**64 - 1
         pairs, count = np.unique(code[hot], return_counts=True)
         enough = np.flatnonzero(count >= least)
-        pick = enough[np.argsort(-count[enough], kind="stable")[:ROUND_RULES]]
+        pick = enough[np.argsort(-count[enough], kind="stable")]
         if len(pick) == 0:
             break
         at = _slot(pairs[pick])
@@ -138,10 +137,20 @@ class Shard:
     def all_ids(self) -> np.ndarray:
         return expand(self.symbols, self.rules, self.levels, self.base)
 
-    def ids(self, k: int) -> np.ndarray:
-        """The ids of the k-th document alone."""
+    def ids(self, k: int, i: int = 0, j: int | None = None) -> np.ndarray:
+        """The ids i..j (exclusive) of the k-th document alone; only symbols that reach into them are expanded."""
         start = int(self.sizes[:k].sum())
-        return expand(self.symbols[start : start + int(self.sizes[k])], self.rules, self.levels, self.base)
+        s = self.symbols[start : start + int(self.sizes[k])].astype(np.int64)
+        i, j, _ = slice(i, j).indices(int(self.lengths[k]))
+        n = np.ones(len(s), np.int64)
+        rule = s >= self.base
+        n[rule] = self.expansions[s[rule] - self.base]
+        ends = np.cumsum(n)
+        first, last = np.searchsorted(ends, i, "right"), np.searchsorted(ends, j, "left") + 1
+        if i >= j:
+            return np.zeros(0, np.uint32)
+        skipped = i - int(ends[first] - n[first])
+        return expand(s[first:last], self.rules, self.levels, self.base)[skipped : skipped + j - i]
 
 
 def _write(path: str, end_id: int):

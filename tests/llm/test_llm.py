@@ -178,6 +178,20 @@ def test_re_pair_round_trip(lists):
     assert [shard.ids(k).tolist() for k in range(len(n))] == lists
 
 
+def test_re_pair_goes_on_until_no_pair_is_frequent_and_reads_parts():
+    g = np.random.default_rng(2)
+    passage = g.integers(0, 500, 900)
+    docs = [np.concatenate((g.integers(0, 500, 50), passage, g.integers(0, 500, 7))) for _ in range(40)]
+    n, ids = np.array([len(x) for x in docs]), np.concatenate(docs).astype(np.uint32)
+    s, sizes, rules, levels, base = R.compress(ids, n)
+    ends = np.cumsum(sizes) - 1
+    pairs = np.delete(np.column_stack((s[:-1], s[1:])), ends[:-1], axis=0)
+    assert np.unique(pairs, axis=0, return_counts=True)[1].max() < R.LEAST and len(levels) > 6
+    shard = R.Shard(R.pack(np.arange(40), ids, n))
+    for i, j in ((0, None), (0, 1), (60, 61), (49, 700), (940, 957), (5, 5), (900, 5000)):
+        assert shard.ids(7, i, j).tolist() == docs[7][i:j].tolist()
+
+
 def test_token_counts_and_cache(spark, docs, texts, tmp_path):
     cache = str(tmp_path / "cache")
     for _ in range(2):
