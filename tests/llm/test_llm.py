@@ -148,11 +148,35 @@ def test_common_line_is_spread(spark, monkeypatch):
 def test_perfect_hash(keys):
     k = np.array(sorted(keys), np.uint64)
     mph, prints, count, first = L.load_shard(L.pack_shard(k, T.mix64(k), np.arange(len(k)), np.arange(len(k))))
-    slots = mph.slots(k)
+    slots = mph.slots(k, T.mix64(k))
     assert sorted(slots) == list(range(len(k)))
     assert (prints[slots] == T.mix64(k)).all() and (first[slots] == np.arange(len(k))).all()
 
 
+def test_perfect_hash_of_keys_that_share_a_half():
+    h1, h2 = np.array([1, 2, 3, 3, 3], np.uint64), np.array([7, 7, 7, 8, 9], np.uint64)
+    mph = L.PerfectHash.build(h1, h2)
+    assert sorted(mph.slots(h1, h2)) == list(range(5))
+    with pytest.raises(ValueError):
+        L.PerfectHash.build(h1[[3, 3]], h2[[3, 3]])
+
+
+def test_line_dedup_of_one_id_with_several_texts(spark):
+    """A row loses lines of its own text only; rows of one id count as one document."""
+    rows = [(1, "a line of two documents\nfirst"), (2, "a line of two documents\nown text alpha beta"), (2, "own text alpha beta\nmore own text here"), (2, None), (2, "")]
+    got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, rows[0][1], 0), (2, "own text alpha beta", 1), (2, rows[2][1], 0), (2, "", 0), (2, "", 0)]
+    assert sorted((r.doc_id, r.text, r.n_dropped) for r in got) == sorted(want)
+
+
+def test_line_dedup_counts_decide(spark):
+    rows = [(i, f"in all four documents\nheld by pair {i // 2}") for i in range(4)] + [(3, "in all four documents")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.n_dropped for r in L.dedup_lines(df, min_docs=2).collect()) == [0, 1, 1, 2, 2]
+    assert sorted(r.n_dropped for r in L.dedup_lines(df, min_docs=4).collect()) == [0, 1, 1, 1, 1]
+    assert sorted(r.n_dropped for r in L.dedup_lines(df, min_docs=5).collect()) == [0] * 5
+
+
 def test_token_files_round_trip(spark, docs, texts, tmp_path, monkeypatch):
     path = str(tmp_path / "ids")
     R.write_token_files(clash(docs, "start"), path, BYTE_BPE)
