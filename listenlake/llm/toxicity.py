@@ -1,25 +1,34 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-A word's input is a hashed word embedding beside the mean of hashed character 4-gram embeddings. A window of
-words runs through a gated recurrent unit in either direction; attention pools the states, and the pooled
-state gives the window's logit. Every window of a text is scored, one for each start; the text's score is the highest.
-Training is plain numpy on a bounded, documented sample of labelled rows; scoring runs in the tasks that hold
-the texts, with the model broadcast (about 1 MB whatever the corpus).
+A word's input is a hashed word embedding, the mean of its hashed character 4-gram embeddings, and three shrunken
+log-odds of the label: of the word, of its beginning, and the greatest of its 4-grams. A window of words runs through a gated
+recurrent unit in either direction; attention pools the states, and the pooled state gives the window's logit. Every
+window of a text is scored, one for each start; the text's score is the highest. Training is plain numpy on a bounded,
+documented sample of labelled rows, each with all windows of its whole text; the log-odds that a row trains with are
+counted over other rows, so that words of one text teach nothing. Scoring runs in the tasks that hold the texts,
+with the model broadcast (about 3 MB whatever the corpus).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from listenlake.llm import _text as T
 from listenlake.runtime import ship_package
 
-#: Words of a window, words between training windows' starts (scoring takes every start), hidden units of a direction, embedding width of a half, hash buckets of a half.
-WIDTH, STRIDE, HIDDEN, DIM, BUCKETS = 32, 24, 8, 8, 1 << 14
-#: Bound of the training sample: documents with label 1 and 0, and windows of one document.
-SAMPLE_1, SAMPLE_0, SAMPLE_WINDOWS = 800, 1200, 16
+#: Words of a window, words between training windows' starts (every word is in one; scoring takes every start), hidden units of a direction.
+WIDTH, STRIDE, HIDDEN = 16, 12, 8
+#: Width of an embedding, its hash buckets, those of the log-odds, bytes of a word's beginning with its mark, width of a word's input.
+DIM, BUCKETS, ODDS, HEAD = 8, 1 << 13, 1 << 18, 6
+INPUT = 2 * DIM + 3
+#: Rows that the log-odds are shrunk by, and parts of the sample whose rows train with the others' counts.
+SHRINK, FOLDS = 3, 10
+#: Defaults of the training sample's bounds: documents with label 1, with label 0, and bytes of text.
+SAMPLE_1, SAMPLE_0, SAMPLE_BYTES = 800, 1200, 64 << 20
+#: Windows whose states are held at once in training.
+_CHUNK = 4096
 #: Fixed value: held out is the row whose crc32(doc_id as text) leaves this remainder modulo 4.
 HELD_OUT = 2
 _BLOCK, _FULL, _GRAM = 4096, 2048, 4
@@ -30,7 +39,8 @@ class Words:
 
     def __init__(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         h, first, self.inverse = np.unique(T.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        self.word = (h % np.uint64(BUCKETS)).astype(np.int64)
+        bucket = lambda x, n: (x % np.uint64(n)).astype(np.int64)
+        self.word, self.word_odds = bucket(h, BUCKETS), bucket(h, ODDS)
         s, e = starts[first], ends[first]
         n = e - s + 2  # with a mark at each end
         cum = np.cumsum(n) - n
@@ -42,8 +52,13 @@ class Words:
             code = code * np.uint64(257) + marked[j : j + len(code)]
         grams = np.maximum(n - _GRAM + 1, 1)
         at = np.arange(int(grams.sum())) - np.repeat(np.cumsum(grams) - grams, grams)
-        self.gram = (T.mix64(code[np.repeat(cum, grams) + at]) % np.uint64(BUCKETS)).astype(np.int64)
+        code = T.mix64(code[np.repeat(cum, grams) + at])
+        self.gram, self.gram_odds = bucket(code, BUCKETS), bucket(code, ODDS)
         self.gram_start, self.grams = np.cumsum(grams) - grams, grams
+        head = np.zeros(len(s), np.uint64)
+        for j in range(HEAD):
+            head = head * np.uint64(257) + np.where(j < n, marked[np.minimum(cum + j, len(marked) - 1)], 0).astype(np.uint64)
+        self.head_odds = bucket(T.mix64(head + np.uint64(1)), ODDS)
 
 
 def windows(counts: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,16 +91,21 @@ class Network:
     def __init__(self, seed: int = 7):
         g = np.random.default_rng(seed)
         r = lambda *shape, s=0.1: g.normal(0, s, shape).astype(np.float32)
-        self.p = {"word": r(BUCKETS, DIM), "gram": r(BUCKETS, DIM, s=0.2), "att": r(2 * HIDDEN), "out": r(2 * HIDDEN, s=0.3), "bias": np.full(1, -2, np.float32)}
+        self.odds = {k: np.zeros(ODDS, np.float32) for k in ("word", "head", "gram")}
+        self.p = {"word": r(BUCKETS, DIM, s=0.02), "gram": r(BUCKETS, DIM, s=0.02), "att": r(2 * HIDDEN), "out": r(2 * HIDDEN, s=0.3), "bias": np.full(1, -2, np.float32)}
         for d in "fb":
-            self.p |= {f"W{d}": r(2 * DIM, 3 * HIDDEN, s=0.4), f"U{d}": r(HIDDEN, 3 * HIDDEN, s=0.3), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
+            self.p |= {f"W{d}": r(INPUT, 3 * HIDDEN, s=0.4), f"U{d}": r(HIDDEN, 3 * HIDDEN, s=0.3), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
 
-    def inputs(self, w: Words) -> np.ndarray:
-        """Each distinct word's input; one row more, of zeros, for places past a window's end."""
-        x = np.zeros((len(w.word) + 1, 2 * DIM), np.float32)
+    def inputs(self, w: Words, odds: dict | None = None) -> np.ndarray:
+        """Each distinct word's input; one row more, of zeros, for places past a window's end. odds: others than the network's."""
+        odds = odds or self.odds
+        x = np.zeros((len(w.word) + 1, INPUT), np.float32)
         if len(w.word):
             x[:-1, :DIM] = self.p["word"][w.word]
-            x[:-1, DIM:] = np.add.reduceat(self.p["gram"][w.gram], w.gram_start) / w.grams[:, None]
+            x[:-1, DIM : 2 * DIM] = np.add.reduceat(self.p["gram"][w.gram], w.gram_start) / w.grams[:, None]
+            x[:-1, 2 * DIM] = odds["word"][w.word_odds]
+            x[:-1, 2 * DIM + 1] = odds["head"][w.head_odds]
+            x[:-1, 2 * DIM + 2] = np.maximum.reduceat(odds["gram"][w.gram_odds], w.gram_start)
         return x
 
     def _direction(self, d: str, gates: np.ndarray, ids: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
@@ -172,12 +192,18 @@ class Network:
             np.maximum.at(best, row[i : i + _FULL], self._full(placed, at - at[0]))
         return 1 / (1 + np.exp(-best.astype(np.float64)))
 
-    def gradients(self, w: Words, ids: np.ndarray, lengths: np.ndarray, row: np.ndarray, label: np.ndarray) -> tuple[float, dict]:
-        """Mean loss of the rows' labels and its gradients. A row's logit is its windows' softmax-weighted mean logit."""
-        x = self.inputs(w)
-        keep: dict = {}
-        z = self.logits(self.gates(x), ids, lengths, keep)
-        n = len(label)
+    def gradients(self, w: Words, ids: np.ndarray, lengths: np.ndarray, row: np.ndarray, label: np.ndarray, mask: np.ndarray | None = None, odds: dict | None = None) -> tuple[float, dict]:
+        """Mean loss of the rows' labels and its gradients. A row's logit is its windows' softmax-weighted mean logit.
+
+        Windows pass in chunks of a bounded number. mask: factors on the distinct words' inputs (dropout).
+        """
+        x = self.inputs(w, odds)
+        if mask is not None:
+            x[:-1] *= mask
+        gates, n = self.gates(x), len(label)
+        cuts = [slice(i, i + _CHUNK) for i in range(0, len(ids), _CHUNK)]
+        keeps: list[dict] = [{} for _ in cuts]
+        z = np.concatenate([self.logits(gates, ids[c], lengths[c], keep if len(cuts) == 1 else None) for c, keep in zip(cuts, keeps, strict=True)])
         top = np.full(n, -np.inf, np.float32)
         np.maximum.at(top, row, z)
         q = np.exp(z - top[row])
@@ -185,7 +211,26 @@ class Network:
         doc = np.bincount(row, q * z, n)
         p = 1 / (1 + np.exp(-doc))
         loss = float(-np.mean(label * np.log(p + 1e-7) + (1 - label) * np.log(1 - p + 1e-7)))
-        dz = (((p - label) / n)[row] * q * (1 + z - doc[row])).astype(np.float32)
+        dz = (((p - label) / n)[row] * q * (1 + z - doc[row])).astype(self.p["out"].dtype)
+        g: dict = {}
+        dgates = {d: np.zeros((len(x), 3 * HIDDEN), np.float32) for d in "fb"}
+        for c, keep in zip(cuts, keeps, strict=True):
+            if not keep:
+                self.logits(gates, ids[c], lengths[c], keep)
+            for k, v in self._backward(keep, ids[c], dz[c], dgates).items():
+                g[k] = g[k] + v if k in g else v
+        dx = np.zeros_like(x)
+        for d in "fb":
+            g[f"W{d}"], g[f"c{d}"] = x.T @ dgates[d], dgates[d][:-1].sum(0)
+            dx += dgates[d] @ self.p[f"W{d}"].T
+        if mask is not None:
+            dx[:-1] *= mask
+        g["word"] = _sums(dx[:-1, :DIM], w.word, BUCKETS)
+        g["gram"] = _sums(np.repeat(dx[:-1, DIM : 2 * DIM] / w.grams[:, None], w.grams, axis=0), w.gram, BUCKETS)
+        return loss, g
+
+    def _backward(self, keep: dict, ids: np.ndarray, dz: np.ndarray, dgates: dict) -> dict:
+        """Gradients of a chunk's windows; those of the distinct words' gates are added to ``dgates``."""
         g = {"out": keep["pooled"].T @ dz, "bias": np.array([dz.sum()], np.float32)}
         dpool = dz[:, None] * self.p["out"]
         s, a = keep["s"], keep["a"]
@@ -193,7 +238,6 @@ class Network:
         de = a * (da - (a * da).sum(0))
         g["att"] = np.einsum("tb,tbk->k", de, s)
         ds = a[:, :, None] * dpool + de[:, :, None] * self.p["att"]
-        dx = np.zeros_like(x)
         k = HIDDEN
         for d, part in (("f", slice(0, k)), ("b", slice(k, 2 * k))):
             u = self.p[f"U{d}"]
@@ -212,13 +256,9 @@ class Network:
                 du += h.T @ dhu
                 each[t] = dg
                 dh = np.where(m, dn_ * zz, dh) + dhu @ u.T
-            dgates = _sums(each.reshape(-1, 3 * k), ids.T.ravel(), len(x))
+            dgates[d] += _sums(each.reshape(-1, 3 * k), ids.T.ravel(), len(dgates[d]))
             g[f"U{d}"] = du
-            g[f"W{d}"], g[f"c{d}"] = x.T @ dgates, dgates[:-1].sum(0)
-            dx += dgates @ self.p[f"W{d}"].T
-        g["word"] = _sums(dx[:-1, :DIM], w.word, BUCKETS)
-        g["gram"] = _sums(np.repeat(dx[:-1, DIM:] / w.grams[:, None], w.grams, axis=0), w.gram, BUCKETS)
-        return loss, g
+        return g
 
 
 def _words_of(texts: pa.Array) -> tuple[Words, np.ndarray]:
@@ -228,84 +268,109 @@ def _words_of(texts: pa.Array) -> tuple[Words, np.ndarray]:
     return Words(buf, starts, ends), np.diff(first)
 
 
-def train(texts: list[str], owner: np.ndarray, labels: np.ndarray, epochs: int = 3, batch: int = 40, rate: float = 0.015, seed: int = 7) -> Network:
-    """Fit a network to window texts; owner: each window's row, labels: each row's label."""
+def _windows_of(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, row, word ids and length of each training window) of whole texts."""
+    w, counts = _words_of(texts)
+    row, first, length = windows(counts)
+    padded = np.concatenate((w.inverse, np.full(WIDTH, len(w.word))))
+    return w, row, np.where(np.arange(WIDTH) < length[:, None], padded[first[:, None] + np.arange(WIDTH)], len(w.word)), length
+
+
+def _odds(texts: list[str], labels: np.ndarray, part: np.ndarray) -> list[dict]:
+    """Log-odds of the label by bucket, as tables for words, beginnings and 4-grams: all rows', then those without each part's."""
+    n = np.zeros((FOLDS, 2))
+    held = {k: np.zeros((FOLDS, 2, ODDS), np.float32) for k in ("word", "head", "gram")}
+    for x, y, f in zip(texts, labels.astype(int).tolist(), part.tolist(), strict=True):
+        w, _ = _words_of(pa.array([x], pa.large_string()))
+        n[f, y] += 1
+        for k in held:
+            held[k][f, y][np.unique(getattr(w, f"{k}_odds"))] += 1
+
+    def table(c: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        prior = (rows[1] + 1) / (rows.sum() + 2)
+        return np.log((c[1] + SHRINK * prior) / (c[0] + SHRINK * (1 - prior)) * ((1 - prior) / prior)).astype(np.float32)
+
+    whole = {k: c.sum(0) for k, c in held.items()}
+    return [{k: table(c - (held[k][f] if f >= 0 else 0), n.sum(0) - (n[f] if f >= 0 else 0)) for k, c in whole.items()} for f in range(-1, FOLDS)]
+
+
+def train(texts: list[str], labels: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.01, decay: float = 0.1, drop: float = 0.8, seed: int = 7) -> Network:
+    """Fit a network to whole texts and their labels, by all windows of each.
+
+    Against learning texts by heart, embeddings of a distinct word are dropped at random in a step, weights decay, and
+    log-odds are those of other parts of the sample. The order, the dropout and the start come from ``seed``.
+    """
     net = Network(seed)
     g = np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
-    order_of = np.argsort(owner, kind="stable")
-    cut = np.searchsorted(owner[order_of], np.arange(len(labels) + 1))
-    step = 0
+    labels = np.asarray(labels, np.float64)
+    part = np.empty(len(texts), np.int64)
+    for y in (0, 1):  # both labels spread evenly
+        own = g.permutation(np.flatnonzero(labels == y))
+        part[own] = np.arange(len(own)) % FOLDS
+    net.odds, *others = _odds(texts, labels, part)
+    step, steps = 0, 0
     for _ in range(epochs):
-        rows = g.permutation(len(labels))
-        for i in range(0, len(rows), batch):
-            pick = [r for r in rows[i : i + batch].tolist() if cut[r] < cut[r + 1]]
-            if not pick:
+        batches = []
+        for f in range(FOLDS):
+            own = g.permutation(np.flatnonzero(part == f))
+            batches += [(f, own[i : i + batch]) for i in range(0, len(own), batch)]
+        steps = steps or epochs * len(batches)
+        for i in g.permutation(len(batches)):
+            f, pick = batches[i]
+            w, row, ids, length = _windows_of(pa.array([texts[j] for j in pick], pa.large_string()))
+            some, own = np.unique(row, return_inverse=True)
+            if len(some) == 0:
                 continue
-            at = np.concatenate([order_of[cut[r] : cut[r + 1]] for r in pick])
-            own = np.repeat(np.arange(len(pick)), [cut[r + 1] - cut[r] for r in pick])
-            w, counts = _words_of(pa.array([texts[j] for j in at], pa.large_string()))
-            some = counts > 0
-            first = (np.cumsum(counts) - counts)[some]
-            length = np.minimum(counts, WIDTH)[some]
-            padded = np.concatenate((w.inverse, np.full(WIDTH, len(w.word))))
-            ids = np.where(np.arange(WIDTH) < length[:, None], padded[first[:, None] + np.arange(WIDTH)], len(w.word))
-            _, grad = net.gradients(w, ids, length, own[some], labels[pick].astype(np.float64))
+            mask = np.ones((len(w.word), INPUT), np.float32)
+            mask[:, : 2 * DIM] = np.repeat((g.random((len(w.word), 2)) >= drop) / (1 - drop), DIM, axis=1)
+            _, grad = net.gradients(w, ids, length, own, labels[pick[some]], mask, others[f])
             step += 1
+            now = rate * (1 - step / (steps + 1))
             for k, x in grad.items():
                 m[k] += 0.1 * (x - m[k])
                 v[k] += 0.01 * (x * x - v[k])
-                net.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                net.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                if k != "bias":
+                    net.p[k] *= np.float32(1 - now * decay)
     return net
 
 
-def _window_texts(most: int):
-    """Rows (doc_id, toxic, window): evenly spread windows of each text, ``most`` at most."""
-
-    def run(batches):
-        for b in T.pieces(batches):
-            buf, offs = T.flat(b.column(1))
-            starts, ends, first = T.words(T.LOWER[buf], offs, T.NOT_ALNUM)
-            row, at, n = windows(np.diff(first))
-            count = np.bincount(row, minlength=b.num_rows)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            of = count[row]
-            keep = (of <= most) | (place * most // np.maximum(of, 1) != (place - 1) * most // np.maximum(of, 1))
-            raw = buf.tobytes()
-            text = [raw[starts[i] : ends[i + k - 1]].decode() for i, k in zip(at[keep].tolist(), n[keep].tolist(), strict=True)]
-            yield pa.record_batch([b.column(0).take(pa.array(row[keep])), b.column(2).take(pa.array(row[keep])), pa.array(text, pa.string())], names=["doc_id", "toxic", "window"])
-
-    return run
-
-
 def held_out(id_col: str):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == HELD_OUT
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network:
-    """Train on labelled documents that are not held out: at most SAMPLE_1 and SAMPLE_0 of either label, the least by a hash of the id, and SAMPLE_WINDOWS windows of each.
+def train_toxicity(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    sample_1: int | None = None, sample_0: int | None = None, sample_bytes: int | None = None,
+) -> Network:
+    """Train on whole texts of labelled documents that are not held out.
 
-    Rows without id or label, and further labels of one id, are left out. Without any label the network stays untrained.
-    Both labels are counted over all permitted rows; where a bound changes their ratio, the bias is set back by the
-    log of the odds' ratio, so that scores mean the same at every size.
+    Bounds of the sample: at most ``sample_1`` and ``sample_0`` documents of either label (SAMPLE_1, SAMPLE_0), the least by
+    a hash of the id, and of these, in that order, as many as hold ``sample_bytes`` of text together (SAMPLE_BYTES).
+    Rows without id or label are left out; of several labels of one id the greatest counts, of several texts
+    the least. Without any label the network stays untrained. Both labels are counted over all permitted rows; where
+    a bound changes their ratio, the bias is set back by the log of the odds' ratio, so that scores mean the same at every size.
     """
     ship_package(docs.sparkSession)
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id"))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    least = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    some = F.broadcast(least(1, SAMPLE_1).union(least(0, SAMPLE_0)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(some, "doc_id")
-    held = rows.mapInArrow(_window_texts(SAMPLE_WINDOWS), "doc_id long, toxic int, window string").orderBy("doc_id", "window").toPandas()
-    if held.empty:
+    most = {1: SAMPLE_1 if sample_1 is None else sample_1, 0: SAMPLE_0 if sample_0 is None else sample_0}
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
+    known = known.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    least = lambda y: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[y])
+    some = F.broadcast(least(1).union(least(0)))  # at most sample_1 + sample_0 rows
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.join(some, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = rows.select("doc_id", "toxic", "text", F.sum(F.octet_length("text").cast("long")).over(order).alias("held"))
+    kept = sizes.where(F.col("held") <= (SAMPLE_BYTES if sample_bytes is None else sample_bytes)).select("doc_id", "toxic", "text").toPandas()
+    if kept.empty:
         return Network()
-    ids, owner = np.unique(held.doc_id.to_numpy(), return_inverse=True)
-    label = np.zeros(len(ids), np.int64)
-    label[owner] = held.toxic.to_numpy()
-    net = train(held.window.tolist(), owner, label)
+    kept = kept.sort_values("doc_id")
+    net = train(kept.text.tolist(), kept.toxic.to_numpy())
     n = dict(known.groupBy("toxic").count().collect())
-    if len(n) == 2:
-        net.p["bias"] += np.float32(np.log(n[1] / n[0] * min(n[0], SAMPLE_0) / min(n[1], SAMPLE_1)))
+    if len(n) == 2 and min(most.values()) > 0:
+        net.p["bias"] += np.float32(np.log(n[1] / n[0] * min(n[0], most[0]) / min(n[1], most[1])))
     return net
 
 

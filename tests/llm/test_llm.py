@@ -248,7 +248,7 @@ def test_toxicity_learns_and_scores_odd_rows(spark, docs):
 
 def test_toxicity_scores_every_window():
     net, g = X.Network(3), np.random.default_rng(5)
-    net.p["word"] *= 20
+    net.p["word"] *= 100
     w, counts = X._words_of(pa.array([" ".join(f"w{x}" for x in g.integers(0, 400, n)) for n in (300, 0, 5, 32, 33, 2500)]))
     cum, pos = np.cumsum(counts) - counts, np.arange(X.WIDTH)
     best = []
@@ -260,6 +260,79 @@ def test_toxicity_scores_every_window():
     assert net.score(w, counts) == pytest.approx(best, abs=1e-5)
 
 
+def test_toxicity_score_matches_plain_equations():
+    """Every window of WIDTH words, step by step in scalars: gated units in both directions, attention, the highest logit."""
+    net, g = X.Network(11), np.random.default_rng(4)
+    for k in net.odds:
+        net.odds[k][:] = g.normal(0, 1, X.ODDS)
+    net.p["word"] *= 40
+    net.p["gram"] *= 40
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def vector(word):
+        w, _ = X._words_of(pa.array([word]))
+        marked = b"\x00" + word.lower().encode() + b"\x00"
+        assert len(w.gram) == max(1, len(marked) - 3)
+        return np.concatenate((net.p["word"][w.word[0]], net.p["gram"][w.gram].mean(0), [net.odds["word"][w.word_odds[0]], net.odds["head"][w.head_odds[0]], net.odds["gram"][w.gram_odds].max()]))
+
+    def unit(d, xs):
+        h, out, k = np.zeros(X.HIDDEN), [], X.HIDDEN
+        for x in xs:
+            a, b = x @ net.p[f"W{d}"] + net.p[f"c{d}"], h @ net.p[f"U{d}"]
+            r, z = sig(a[:k] + b[:k]), sig(a[k : 2 * k] + b[k : 2 * k])
+            h = (1 - z) * np.tanh(a[2 * k :] + r * b[2 * k :]) + z * h
+            out.append(h)
+        return out
+
+    def logit(xs):
+        s = np.array([np.concatenate(p) for p in zip(unit("f", xs), unit("b", xs[::-1])[::-1], strict=True)])
+        e = np.exp(s @ net.p["att"])
+        return (e / e.sum()) @ s @ net.p["out"] + net.p["bias"][0]
+
+    texts = ["", "One", "zwei wörter", " ".join(f"w{i % 9} réeux{i % 5}" for i in range(21)), " ".join(f"x{i}" for i in range(X.WIDTH))]
+    for x, got in zip(texts, net.score(*X._words_of(pa.array(texts))), strict=True):
+        xs = [vector(y) for y in x.split()]
+        want = max([logit(xs[i : i + X.WIDTH]) for i in range(max(1, len(xs) - X.WIDTH + 1))]) if xs else net.p["bias"][0]
+        assert got == pytest.approx(sig(want), abs=1e-5)
+
+
+def test_toxicity_trains_on_every_window_and_in_chunks(monkeypatch):
+    long = " ".join(f"v{i}" for i in range(3000))
+    w, row, ids, length = X._windows_of(pa.array([long, "a b", ""]))
+    assert set(ids[row == 0].ravel()) | {len(w.word)} >= set(w.inverse[:3000]) and sorted(set(row)) == [0, 1]
+    net, y = X.Network(2), np.array([1.0, 0.0])
+    whole = net.gradients(w, ids, length, row, y)
+    monkeypatch.setattr(X, "_CHUNK", 50)
+    parts = net.gradients(w, ids, length, row, y)
+    assert whole[0] == pytest.approx(parts[0], rel=1e-5)
+    assert all(np.allclose(whole[1][k], parts[1][k], rtol=1e-3, atol=1e-6) for k in whole[1])
+
+
+def test_toxicity_sample_bounds_and_repeated_labels(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "ab " * 10) for i in range(40)] + [(1, "other text"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(40)] + [(0, 1), (1, None), (None, 1)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(X, "train", lambda texts, y: seen.append((len(texts), int(y.sum()))) or X.Network(1))
+    free = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    X.train_toxicity(rows, labels)
+    assert seen.pop() == (len(free), int(0 in free))
+    X.train_toxicity(rows, labels, sample_0=5, sample_1=0)
+    assert seen.pop()[1] == 0
+    X.train_toxicity(rows, labels, sample_bytes=95)
+    assert 1 <= seen.pop()[0] <= 4
+
+
+def test_toxicity_catches_held_out_rows(spark):
+    """Recall and share of clean rows flagged at the threshold of 0.3, on rows that training never saw."""
+    for sf, least, most in (("sf0.01", 0.6, 0.06), ("sf0.1", 0.9, 0.03)):
+        base = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").join(spark.read.parquet(f"/root/testdata/{sf}/labels.parquet"), "doc_id")
+        net = X.train_toxicity(base.select("doc_id", "text"), base.select("doc_id", "toxic"))
+        some = base.where(X.held_out("doc_id"))
+        rows = X.score_toxicity(some.select("doc_id", "text"), net).join(some.select("doc_id", "toxic"), "doc_id").toPandas()
+        hit = rows.score >= 0.3
+        assert hit[rows.toxic == 1].mean() >= least and hit[rows.toxic == 0].mean() <= most
+
+
 def test_toxicity_bias_follows_all_labels(spark, monkeypatch):
     rows = spark.range(400).selectExpr("id AS doc_id", "'some words' AS text", "CAST(id % 10 = 0 AS INT) AS toxic")
     n = {r.toxic: r["count"] for r in rows.where(~X.held_out("doc_id")).groupBy("toxic").count().collect()}
@@ -279,7 +352,7 @@ def test_toxicity_gradient():
     ids = np.where(np.arange(X.WIDTH) < n[:, None], padded[first[:, None] + np.arange(X.WIDTH)], len(w.word))
     args = (w, ids, n, np.array([0, 0, 1]), np.array([1.0, 0.0]))
     _, g = net.gradients(*args)
-    for name in ("out", "att", "Uf", "Wb", "cf", "gram", "word"):
+    for name in net.p:
         at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
         old = net.p[name][at]
         loss = []
