@@ -267,7 +267,8 @@ def test_toxicity_score_matches_plain_equations():
         net.odds[k][:] = g.normal(0, 1, X.ODDS)
     net.p["word"] *= 40
     net.p["gram"] *= 40
-    sig = lambda v: 1 / (1 + np.exp(-v))
+    curve = lambda v: v / (1 + np.abs(v))
+    sig = lambda v: (1 + curve(v)) / 2
 
     def vector(word):
         w, _ = X._words_of(pa.array([word]))
@@ -280,7 +281,7 @@ def test_toxicity_score_matches_plain_equations():
         for x in xs:
             a, b = x @ net.p[f"W{d}"] + net.p[f"c{d}"], h @ net.p[f"U{d}"]
             r, z = sig(a[:k] + b[:k]), sig(a[k : 2 * k] + b[k : 2 * k])
-            h = (1 - z) * np.tanh(a[2 * k :] + r * b[2 * k :]) + z * h
+            h = (1 - z) * curve(a[2 * k :] + r * b[2 * k :]) + z * h
             out.append(h)
         return out
 
@@ -293,7 +294,7 @@ def test_toxicity_score_matches_plain_equations():
     for x, got in zip(texts, net.score(*X._words_of(pa.array(texts))), strict=True):
         xs = [vector(y) for y in x.split()]
         want = max([logit(xs[i : i + X.WIDTH]) for i in range(max(1, len(xs) - X.WIDTH + 1))]) if xs else net.p["bias"][0]
-        assert got == pytest.approx(sig(want), abs=1e-5)
+        assert got == pytest.approx(1 / (1 + np.exp(-want)), abs=1e-5)
 
 
 def test_toxicity_trains_on_every_window_and_in_chunks(monkeypatch):
