@@ -13,10 +13,13 @@ from listenlake.llm import _text as T
 
 #: Text bytes that one call handles.
 BATCH_BYTES = 2 << 20
-#: Distinct chunks whose ids a Python worker keeps from batch to batch; beyond that it starts anew.
-KEPT_CHUNKS = 800_000
-#: Marks that end a run of letters.
+#: Distinct chunks, and ids of them, that a Python worker keeps from batch to batch; beyond either it starts anew.
+KEPT_CHUNKS, KEPT_IDS = 800_000, 8_000_000
+#: Bytes beyond which a chunk is encoded whenever it comes and not kept.
+LONG = 256
+#: Marks that end a run of letters, in ASCII and in three bytes (full stop and commas of East Asian scripts, full-width marks).
 MARKS = np.isin(np.arange(256), list(b",.;:!?"))
+WIDE_MARKS = ("\u3001", "\u3002", "\uff01", "\uff0c", "\uff1a", "\uff1b", "\uff1f")
 
 
 @functools.cache
@@ -38,31 +41,60 @@ def sentence_pieces(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+def _solid_ends(buf: np.ndarray) -> np.ndarray:
+    """True at the lead byte of a character that is certainly no white space: printable ASCII, two bytes from U+00C0 on, three
+    bytes but for U+1000 to U+303F (which hold the wide spaces) and U+E000 to U+FEFF, and all of four bytes.
+    """
+    second = np.append(buf[1:], 0) if len(buf) else buf
+    three = (buf == 0xE0) | (buf >= 0xE4) & (buf <= 0xED) | (buf == 0xE3) & (second >= 0x81) | (buf == 0xEF) & (second >= 0xBC)
+    return (buf > 0x20) & (buf < 0x7F) | (buf >= 0xC3) & (buf <= 0xDF) | three | (buf >= 0xF0)
+
+
+def _wide_letters(buf: np.ndarray) -> np.ndarray:
+    """True at the lead byte of three-byte characters that are certainly letters: most Han characters and kana, and Hangul of two lead bytes."""
+    out = np.zeros(len(buf), bool)
+    if len(buf) > 2:
+        a, b, c = buf[:-2], buf[1:-1], buf[2:]
+        han = (a >= 0xE5) & (a <= 0xE8) | (a == 0xE9) & (b < 0xBF)
+        kana = (a == 0xE3) & ((b == 0x81) & (c >= 0x81) | (b == 0x82) & ((c <= 0x96) | (c >= 0xA1)) | (b == 0x83) & (c <= 0xBA))
+        out[:-2] = han | kana | (a == 0xEB) | (a == 0xEC)
+    return out
+
+
 def byte_bpe_breaks(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """True where a chunk starts: before a space, and on both sides of a line break, between two other characters, and between a letter and a mark.
 
-    The byte-level pattern ends a token at each of these places whatever surrounds them. A neighbour counts as
-    no white space if it is printable ASCII or a two-byte character from U+00C0 on; beside others nothing is cut.
+    The byte-level pattern ends a token at each of these places whatever surrounds them. Where a neighbour may be white
+    space, or a letter may be none, nothing is cut.
     """
     n = len(buf)
-    solid = (buf > 0x20) & (buf < 0x7F)
-    lead = (buf >= 0xC3) & (buf <= 0xDF)
+    if n == 0:
+        return np.zeros(0, bool)
+    solid = _solid_ends(buf)
+    width = 1 + (buf >= 0xC0) + (buf >= 0xE0) + (buf >= 0xF0)
     before, after = np.zeros(n + 1, bool), np.zeros(n + 1, bool)  # what ends, or starts, at i is no white space
-    before[1:] = solid
-    before[2:] |= lead[:-1]
-    after[:n] = solid | lead
+    at = np.flatnonzero(solid)
+    before[np.minimum(at + width[at], n)] = True
+    after[:n] = solid
     head = np.zeros(n + 1, bool)
     head[offs] = True
     lone = np.zeros(n + 1, bool)
     lone[:n] = before[:n] & after[1:] & ~head[:n] & ~head[1:]
-    out = head[:n].copy() if n else np.zeros(0, bool)
+    out = head[:n].copy()
     out |= lone[:n] & (buf == 0x20)
     line = lone[:n] & (buf == 0x0A)
     out |= line
     out[1:] |= line[:-1]
     letter = (buf & 0xDF >= 0x41) & (buf & 0xDF <= 0x5A) & (buf < 0x80)
     letter[1:] |= (buf[:-1] == 0xC3) & (buf[1:] != 0x97) & (buf[1:] != 0xB7) & (buf[1:] >= 0x80)  # U+00C0 to U+00FF
-    out[1:] |= letter[:-1] & MARKS[buf[1:]]
+    wide = np.flatnonzero(_wide_letters(buf))
+    letter[wide + 2] = True  # as all bytes of one character, its last is meant
+    mark = MARKS[buf]
+    if len(wide):
+        last = [tuple(x.encode()) for x in WIDE_MARKS]
+        for a, b, c in last:
+            mark[:-2] |= (buf[:-2] == a) & (buf[1:-1] == b) & (buf[2:] == c)
+    out[1:] |= letter[:-1] & mark[1:] & ~head[1:n]
     return out
 
 
@@ -93,16 +125,20 @@ def held(key: tuple[str, str], make):
 
 
 class ChunkIds:
-    """The ids of chunks by their 64-bit hashes, kept from batch to batch.
+    """The ids of chunks by their 64-bit hashes, kept from batch to batch within bounds of chunks and of ids.
 
     Hashes lie in two sorted tables, an old one and a young one that is merged into it now and then, so that a small
-    batch costs little.
+    batch costs little. Long chunks lie behind the kept ids until the next batch.
     """
 
     def __init__(self, encode):
         self.encode = encode
-        self.old = self.young = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))  # hashes, starts, lengths
-        self.values = np.zeros(0, np.uint16)
+        self.values, self.kept = np.zeros(1 << 16, np.uint32), 0
+        self.old = self.young = self._table()
+
+    @staticmethod
+    def _table(hashes=(), starts=(), lengths=()):
+        return np.asarray(hashes, np.uint64), np.asarray(starts, np.int32), np.asarray(lengths, np.int32)
 
     @staticmethod
     def _find(table, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,28 +154,40 @@ class ChunkIds:
         order = np.argsort(keys, kind="stable")
         return keys[order], np.concatenate((a[1], b[1]))[order], np.concatenate((a[2], b[2]))[order]
 
+    def _encoded(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the chunks' ids start, and how many there are; they are written from ``at`` on."""
+        found = self.encode([buf[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]) if len(starts) else []
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        need = at + int(lengths.sum())
+        if need > len(self.values):
+            grown = np.zeros(1 << need.bit_length(), np.uint32)
+            grown[:at] = self.values[:at]
+            self.values = grown
+        self.values[at:need] = np.fromiter((i for x in found for i in x), np.uint32, need - at)
+        return at + np.cumsum(lengths) - lengths, lengths
+
     def __call__(self, buf: np.ndarray, offs: np.ndarray, breaks: np.ndarray):
         """(where each chunk's ids start in ``values``, how many there are, each row's first chunk and one more)."""
         starts = np.flatnonzero(breaks)
         ends = np.append(starts[1:], len(buf)).astype(np.int64) if len(starts) else starts
         h, first, inverse = np.unique(T.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.old[0]) > KEPT_CHUNKS:
+        if len(self.old[0]) > KEPT_CHUNKS or self.kept > KEPT_IDS:
             self.__init__(self.encode)
         new = ~(self._find(self.old, h)[1] | self._find(self.young, h)[1])
+        long = new & (ends[first] - starts[first] > LONG)
+        new &= ~long
         if new.any():
-            at = first[new]
-            found = self.encode([buf[a:b].tobytes() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            lengths = np.fromiter(map(len, found), np.int32, len(found))
-            values = np.fromiter((i for x in found for i in x), np.uint16, int(lengths.sum()))
-            self.young = self._merged(self.young, (h[new], (len(self.values) + np.cumsum(lengths) - lengths).astype(np.int32), lengths))
-            self.values = np.concatenate((self.values, values))
-        a, in_old = self._find(self.old, h)
-        b, _ = self._find(self.young, h)
-        pick = lambda k: np.where(in_old, self.old[k][a] if len(self.old[0]) else 0, self.young[k][b] if len(self.young[0]) else 0)
-        start, n = pick(1)[inverse], pick(2)[inverse]
+            at, n = self._encoded(buf, starts[first[new]], ends[first[new]], self.kept)
+            self.kept += int(n.sum())
+            self.young = self._merged(self.young, self._table(h[new], at, n))
+        once = self._table(h[long], *self._encoded(buf, starts[first[long]], ends[first[long]], self.kept))
+        start, count = np.zeros(len(h), np.int32), np.zeros(len(h), np.int32)
+        for table in (self.old, self.young, once):
+            at, known = self._find(table, h)
+            start[known], count[known] = table[1][at[known]], table[2][at[known]]
         if len(self.young[0]) > 50_000 + len(self.old[0]) // 8:
-            self.old, self.young = self._merged(self.old, self.young), (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
-        return start, n, np.searchsorted(starts, offs)
+            self.old, self.young = self._merged(self.old, self.young), self._table()
+        return start[inverse], count[inverse], np.searchsorted(starts, offs)
 
     def ids(self, buf: np.ndarray, offs: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids, and each row's number of ids."""

@@ -424,6 +424,10 @@ def test_trie_encoding_matches_the_library(spark, docs, texts):
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("ab eE\n',.é▁<|> 1"), st.characters(exclude_categories=["Cs"])), max_size=40), max_size=6))
 def test_chunked_encoders_agree_with_the_libraries(items):
     a = pa.array(items, pa.large_string())
+    check_encoders(a, items)
+
+
+def check_encoders(a, items):
     for got, want in (
         (V.byte_bpe_ids(a, BYTE_BPE), [e.ids for e in V.byte_bpe(BYTE_BPE).encode_batch(items, add_special_tokens=False)]),
         (bpe_trie.encode(a, BYTE_BPE), [e.ids for e in V.byte_bpe(BYTE_BPE).encode_batch(items, add_special_tokens=False)]),
@@ -433,6 +437,36 @@ def test_chunked_encoders_agree_with_the_libraries(items):
         assert [got[0][p:q].tolist() for p, q in zip(cut[:-1], cut[1:], strict=True)] == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("न म कख ะไท。，、！？漢字かなカナー・゛한국，.;:!\u3000\u2009\u1680\ufeff\u200b\u00a0 \n aé1𝐀😀'st"), max_size=30), max_size=5))
+def test_chunks_of_other_scripts(items):
+    check_encoders(pa.array(items, pa.large_string()), items)
+
+
+def test_long_texts_of_other_scripts_stay_bounded():
+    """Words of Hindi and clauses of Chinese are chunks of their own; an unbroken text is encoded but not kept."""
+    g = np.random.default_rng(1)
+    hindi = [" ".join("".join(chr(0x915 + c) for c in g.integers(0, 30, 5)) for _ in range(3000)) for _ in range(3)]
+    chinese = ["。".join("".join(chr(0x4E00 + 0x200 + c) for c in g.integers(0, 3000, 12)) for _ in range(800)) for _ in range(3)]
+    unbroken = ["".join(chr(0x5000 + c) for c in g.integers(0, 2000, 9000))]
+    for items, least in ((hindi, 5000), (chinese, 1500), (unbroken, 1)):
+        a = pa.array(items, pa.large_string())
+        buf, offs = T.flat(a)
+        assert V.byte_bpe_breaks(buf, offs).sum() >= least
+        check_encoders(a, items)
+    V._held[:] = [None, None]
+    V.byte_bpe_ids(pa.array(unbroken), BYTE_BPE)
+    assert V._byte_bpe_chunks(BYTE_BPE).kept == 0
+
+
+def test_kept_ids_are_bounded(monkeypatch):
+    monkeypatch.setattr(V, "KEPT_IDS", 50)
+    for k in range(5):
+        items = [f"word{k}{i} other{i * k}" for i in range(30)]
+        check_encoders(pa.array(items, pa.large_string()), items)
+        assert V._held[1].kept <= 50 + 400
+
+
 KINDS = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)), ("access", re.compile("AKIA[A-Z0-9]+")), ("hex", re.compile("[0-9a-f]+"))]
 
 
