@@ -41,13 +41,21 @@ def sentence_pieces(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+_SOLID = np.zeros(256, bool)
+for _a, _b in ((0x21, 0x7F), (0xC3, 0xE1), (0xE4, 0xEE), (0xF0, 0xF5)):
+    _SOLID[_a:_b] = True
+_WIDTH = np.array([1 + (i >= 0xC0) + (i >= 0xE0) + (i >= 0xF0) for i in range(256)])
+
+
 def _solid_ends(buf: np.ndarray) -> np.ndarray:
     """True at the lead byte of a character that is certainly no white space: printable ASCII, two bytes from U+00C0 on, three
     bytes but for U+1000 to U+303F (which hold the wide spaces) and U+E000 to U+FEFF, and all of four bytes.
     """
-    second = np.append(buf[1:], 0) if len(buf) else buf
-    three = (buf == 0xE0) | (buf >= 0xE4) & (buf <= 0xED) | (buf == 0xE3) & (second >= 0x81) | (buf == 0xEF) & (second >= 0xBC)
-    return (buf > 0x20) & (buf < 0x7F) | (buf >= 0xC3) & (buf <= 0xDF) | three | (buf >= 0xF0)
+    out = _SOLID[buf]
+    for lead, least in ((0xE3, 0x81), (0xEF, 0xBC)):
+        at = np.flatnonzero(buf == lead)
+        out[at] = buf[np.minimum(at + 1, len(buf) - 1)] >= least
+    return out
 
 
 def _wide_letters(buf: np.ndarray) -> np.ndarray:
@@ -71,10 +79,10 @@ def byte_bpe_breaks(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     if n == 0:
         return np.zeros(0, bool)
     solid = _solid_ends(buf)
-    width = 1 + (buf >= 0xC0) + (buf >= 0xE0) + (buf >= 0xF0)
     before, after = np.zeros(n + 1, bool), np.zeros(n + 1, bool)  # what ends, or starts, at i is no white space
-    at = np.flatnonzero(solid)
-    before[np.minimum(at + width[at], n)] = True
+    before[1:] = solid & (buf < 0x80)
+    at = np.flatnonzero(solid & (buf >= 0x80))
+    before[np.minimum(at + _WIDTH[buf[at]], n)] = True
     after[:n] = solid
     head = np.zeros(n + 1, bool)
     head[offs] = True
@@ -87,10 +95,9 @@ def byte_bpe_breaks(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     out[1:] |= line[:-1]
     letter = (buf & 0xDF >= 0x41) & (buf & 0xDF <= 0x5A) & (buf < 0x80)
     letter[1:] |= (buf[:-1] == 0xC3) & (buf[1:] != 0x97) & (buf[1:] != 0xB7) & (buf[1:] >= 0x80)  # U+00C0 to U+00FF
-    wide = np.flatnonzero(_wide_letters(buf))
-    letter[wide + 2] = True  # as all bytes of one character, its last is meant
     mark = MARKS[buf]
-    if len(wide):
+    if (buf >= 0xE3).any():
+        letter[np.flatnonzero(_wide_letters(buf)) + 2] = True  # a letter is marked at its last byte
         last = [tuple(x.encode()) for x in WIDE_MARKS]
         for a, b, c in last:
             mark[:-2] |= (buf[:-2] == a) & (buf[1:-1] == b) & (buf[2:] == c)
