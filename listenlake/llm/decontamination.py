@@ -3,22 +3,30 @@
 A task cuts its documents into shards of a bounded number of words. Over each shard's word sequence it sorts
 the suffixes, takes the Burrows-Wheeler transform, and ranks it with a wavelet matrix; words that no test
 phrase holds share one symbol. All test phrases are then searched backwards at once, and the occurrences are
-located by walking to sampled suffix positions. Hit words merge into removal spans. Nothing is shuffled, so
-no frequent passage can gather in one task; test phrases come in blocks of a bounded size, each broadcast.
+located by walking to sampled suffix positions. Hit words merge into removal spans. No document is shuffled, so
+no frequent passage can gather in one task.
+
+Tasks cut the benchmark into phrases. Pairs of a phrase and an item are dealt into blocks by hash, so a block is
+bounded however long an item is and however many items hold a phrase. A pass over the documents searches a bounded
+number of broadcast blocks in each shard's one index; only a benchmark beyond that takes a further pass.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from listenlake.llm import _text as T
-from listenlake.runtime import materialize, ship_package
+from listenlake.runtime import discard, materialize, ship_package
 
 _U = np.uint64
-#: Text bytes of a shard (a longer document is a shard of its own), rows between sampled positions, phrases in a broadcast.
-SHARD_BYTES, SAMPLE, BLOCK = 4 << 20, 8, 50_000
+#: Text bytes of a shard (a longer document is a shard of its own), rows between sampled positions.
+SHARD_BYTES, SAMPLE = 4 << 20, 8
+#: Pairs of a phrase and an item in a broadcast block (about 5 MB), blocks searched in one pass over the documents.
+BLOCK, PASS_BLOCKS = 50_000, 16
 
 
 def suffix_order(s: np.ndarray) -> np.ndarray:
@@ -122,34 +130,45 @@ class FMIndex:
         return out
 
 
-def windows(texts: list[str | None], width: int) -> list[list[np.ndarray]]:
-    """Per text the word hashes of each window of ``width`` words; of the whole text if it has fewer words."""
-    buf, offs = T.flat(pa.array(texts, pa.large_string()))
-    buf = T.LOWER[buf]
-    starts, ends, first = T.words(buf, offs, T.NOT_ALNUM)
-    h = T.span_hashes(buf, starts, ends)
-    out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        out.append([h[i : i + width] for i in range(a, b - width + 1)] if b - a >= width else [h[a:b]] if b > a else [])
-    return out
+def _windows(width: int):
+    """Rows (item, text) to rows (item, phrase): the word hashes of each window of ``width`` words, or of all words if there are fewer."""
+
+    def run(batches):
+        for b in T.pieces(batches):
+            buf, offs = T.flat(b.column(1))
+            buf = T.LOWER[buf]
+            starts, ends, first = T.words(buf, offs, T.NOT_ALNUM)
+            h = T.span_hashes(buf, starts, ends)
+            for item, a, z in zip(b.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                for i in range(a, max(z - width, a) + 1, 1 << 16):
+                    part = [h[j : min(j + width, z)].tobytes() for j in range(i, min(i + (1 << 16), max(z - width, a) + 1))] if z > a else []
+                    yield pa.record_batch([pa.array([item] * len(part), pa.string()), pa.array(part, pa.binary())], names=["item", "phrase"])
+
+    return run
 
 
 class Phrases:
-    """A block of test phrases: distinct windows as rows of symbols, and the items that hold each."""
+    """A block of test phrases: distinct windows as rows of words, and the items that hold each."""
 
-    def __init__(self, items: list[tuple[str, list[np.ndarray]]]):
+    def __init__(self, pairs: list[tuple[bytes, str]]):
         held: dict[bytes, set[str]] = {}
-        for item, wins in items:
-            for w in wins:
-                held.setdefault(w.tobytes(), set()).add(item)
+        for window, item in pairs:
+            held.setdefault(window, set()).add(item)
         wins = [np.frombuffer(k, np.uint64) for k in held]
         self.items = [sorted(v) for v in held.values()]
-        self.words = np.unique(np.concatenate(wins)) if wins else np.zeros(0, np.uint64)
+        self.words, at = np.unique(np.concatenate(wins), return_inverse=True) if wins else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         self.lengths = np.array([len(w) for w in wins], np.int64)
         self.rows = np.zeros((len(wins), int(self.lengths.max(initial=0))), np.int64)
-        for i, w in enumerate(wins):
-            self.rows[i, : len(w)] = self.symbols(w)
-        self.sigma = len(self.words) + 2  # 0: any other word, 1: a document's end
+        self.rows[np.arange(self.rows.shape[1]) < self.lengths[:, None]] = at
+
+
+class Search:
+    """Blocks of test phrases over one alphabet. Symbols: 0 is any word of no phrase, 1 a document's end, 2 and on the phrases' words."""
+
+    def __init__(self, blocks: list[Phrases]):
+        self.words = np.unique(np.concatenate([np.zeros(0, np.uint64), *(b.words for b in blocks)]))
+        self.sigma = len(self.words) + 2
+        self.blocks = [(b, np.searchsorted(self.words, b.words)[b.rows] + 2) for b in blocks if len(b.lengths)]
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
         if len(self.words) == 0:
@@ -158,7 +177,7 @@ class Phrases:
         return np.where(self.words[at] == h, at + 2, 0)
 
 
-def shard_hits(texts: pa.Array, phrases: Phrases):
+def shard_hits(texts: pa.Array, search: Search):
     """One shard: each row's word count, hit words' starts and ends in bytes, and items found."""
     buf, offs = T.flat(texts)
     buf = T.LOWER[buf]
@@ -167,7 +186,7 @@ def shard_hits(texts: pa.Array, phrases: Phrases):
     s = np.ones(len(starts) + n_docs, np.int64)
     doc = np.repeat(np.arange(n_docs), np.diff(first))
     at = np.arange(len(starts)) + doc  # a document's end follows its words
-    s[at] = phrases.symbols(T.span_hashes(buf, starts, ends))
+    s[at] = search.symbols(T.span_hashes(buf, starts, ends))
     # Runs of words that no phrase holds can't be hit: one of each run is enough.
     other = s == 0
     keep = np.ones(len(s), bool)
@@ -176,20 +195,19 @@ def shard_hits(texts: pa.Array, phrases: Phrases):
     short = s[place]
     items: list[set[str]] = [set() for _ in range(n_docs)]
     hit = np.zeros(len(short) + 1, np.int64)
-    if len(phrases.lengths) and len(short):
-        index = FMIndex(short, phrases.sigma)
-        lo, hi = index.search(phrases.rows, phrases.lengths)
+    index = FMIndex(short, search.sigma) if search.blocks and len(short) else None
+    for block, rows in search.blocks if index else ():
+        lo, hi = index.search(rows, block.lengths)
         found = np.flatnonzero(hi > lo)
         if len(found):
             count = (hi - lo)[found]
             which = np.repeat(found, count)
-            rows = np.repeat(lo[found] - np.cumsum(count) + count, count) + np.arange(count.sum())
-            pos = index.locate(rows)
+            pos = index.locate(np.repeat(lo[found] - np.cumsum(count) + count, count) + np.arange(count.sum()))
             np.add.at(hit, pos, 1)
-            np.add.at(hit, pos + phrases.lengths[which], -1)
+            np.add.at(hit, pos + block.lengths[which], -1)
             of = np.searchsorted(first + np.arange(n_docs + 1), place[pos], "right") - 1
             for d, w in set(zip(of.tolist(), which.tolist(), strict=True)):
-                items[d].update(phrases.items[w])
+                items[d].update(block.items[w])
     on = np.zeros(len(s), bool)
     on[place] = np.cumsum(hit)[:-1] > 0
     word_hit = on[at]
@@ -200,16 +218,16 @@ _SPAN = "struct<first:int,last:int,start:int,end:int>"
 _SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _scan(phrases, text_at: int, passed: int, clean: bool):
-    """Rows of ``passed`` columns plus earlier blocks' items and spans, to the same with this block's added."""
+def _scan(blocks: list, text_at: int, passed: int, clean: bool):
+    """Rows of ``passed`` columns plus earlier passes' items and spans, to the same with these blocks' added."""
 
     def run(batches):
-        block = phrases.value
+        block = Search([pickle.loads(b.value) for b in blocks])
         for b in batches:
             for start, length in T.byte_slices(b.column(text_at), SHARD_BYTES) if b.num_rows else ():
                 yield one(b.slice(start, length), block)
 
-    def one(b: pa.RecordBatch, block: Phrases) -> pa.RecordBatch:
+    def one(b: pa.RecordBatch, block: Search) -> pa.RecordBatch:
         n, word_hit, starts, ends, first, offs, items = shard_hits(b.column(text_at), block)
         hits, spans, found = [], [], []
         for d, (old_items, old_spans) in enumerate(zip(b.column(passed).to_pylist(), b.column(passed + 1).to_pylist(), strict=True)):
@@ -240,18 +258,30 @@ def _scan(phrases, text_at: int, passed: int, clean: bool):
     return run
 
 
-def _blocks(benchmark: DataFrame, width: int, item_col: str, text_col: str):
-    """Test items in blocks of about BLOCK phrases, read through an iterator that holds one partition at a time."""
-    held, size = [], 0
-    for r in benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator():
-        w = windows([r[1]], width)[0]
-        if r[0] is not None and w:
-            held.append((r[0], w))
-            size += len(w)
-        if size >= BLOCK:
-            yield Phrases(held)
-            held, size = [], 0
-    yield Phrases(held)
+def _build(batches):
+    """Rows (block, item, phrase), sorted by block, to rows (block, blob): a pickled block each."""
+    held, pairs = None, []
+    done = lambda: pa.record_batch([pa.array([held], pa.int64()), pa.array([pickle.dumps(Phrases(pairs))], pa.binary())], names=["block", "blob"])
+    for b in batches:
+        for block, item, phrase in zip(*(b.column(k).to_pylist() for k in ("block", "item", "phrase")), strict=True):
+            if pairs and block != held:
+                yield done()
+                pairs = []
+            held = block
+            pairs.append((phrase, item))
+    if pairs:
+        yield done()
+
+
+def _blocks(benchmark: DataFrame, width: int, item_col: str, text_col: str) -> DataFrame:
+    """A table (block, blob) of the benchmark's phrases in blocks of about BLOCK pairs."""
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item IS NOT NULL")
+    pairs = materialize(rows.mapInArrow(_windows(width), "item string, phrase binary").distinct(), "phrases")
+    n = max(1, -(-pairs.count() // BLOCK))
+    dealt = pairs.withColumn("block", F.pmod(F.xxhash64("phrase", "item"), F.lit(n)).cast("long"))
+    blocks = materialize(dealt.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_build, "block long, blob binary"), "phrase-blocks")
+    discard(pairs)
+    return blocks
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, clean: bool = True, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -272,12 +302,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, clean:
     out, schema = kept.withColumns({"items": F.lit(None).cast("array<string>"), "spans": F.lit(None).cast(f"array<{_SPAN}>")}), kept.schema
     full = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + f", items array<string>, spans array<{_SPAN}>, n_words long, n_hit long"
     blocks = _blocks(benchmark, width, item_col, item_text_col)
-    block = next(blocks)
-    while block is not None:
-        following = next(blocks, None)
-        last = following is None
-        out = out.select(*kept.columns, "items", "spans").mapInArrow(_scan(spark.sparkContext.broadcast(block), text_at, passed, clean and last), full)
-        if not last:
-            out = materialize(out, "decontamination")
-        block = following
-    return out
+    ready, one_pass = blocks.select("blob").toLocalIterator(), []  # a partition, of a block or few, at a time
+    earlier = None
+
+    def scanned(last: bool) -> DataFrame:
+        return out.select(*kept.columns, "items", "spans").mapInArrow(_scan(one_pass, text_at, passed, clean and last), full)
+
+    for r in ready:
+        if len(one_pass) == PASS_BLOCKS:
+            out = materialize(scanned(False), "decontamination")
+            discard(*[earlier] if earlier is not None else [])
+            earlier, one_pass = out, []
+        one_pass.append(spark.sparkContext.broadcast(bytes(r.blob)))
+    discard(blocks)
+    return scanned(True)

@@ -513,8 +513,9 @@ def test_decontamination_matches_brute_force(spark, sf, docs, texts, monkeypatch
         if i is not None and w:
             for k in range(max(1, len(w) - 9)):
                 wins[tuple(w[k : k + 10])].add(i)
-    for block in (50_000, 5):
+    for block, together in ((50_000, 16), (5, 16), (5, 2)):
         monkeypatch.setattr(D, "BLOCK", block)
+        monkeypatch.setattr(D, "PASS_BLOCKS", together)
         rows = D.decontaminate(clash(docs, "items", "n_hit"), bench).collect()
         assert len(rows) == docs.count()
         for r in rows:
@@ -543,6 +544,17 @@ def test_decontamination_matches_brute_force(spark, sf, docs, texts, monkeypatch
     assert D.decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_many_phrases_one_long_item_and_a_phrase_of_many_items(spark):
+    """200,000 phrases of one item, and a phrase that 3,000 items share, in one pass of bounded blocks."""
+    long = " ".join(f"q{i}" for i in range(200_009))
+    items = [("long", long)] + [(f"i{k}", "the very same ten words are in each of these items") for k in range(3000)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    assert D._blocks(bench, 10, "item_id", "text").count() == -(-(200_000 + 6000) // D.BLOCK)
+    docs = [(1, " ".join(f"q{i}" for i in range(777, 790))), (2, "x " + items[1][1] + " y"), (3, " ".join(f"q{i}" for i in range(9))), (4, None)]
+    got = {r.doc_id: (r.n_hit, len(r.items), r.text) for r in D.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {1: (13, 1, ""), 2: (11, 3000, "x  y"), 3: (0, 0, docs[2][1]), 4: (0, 0, None)}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=80))
 def test_fm_index(symbols):
