@@ -407,6 +407,34 @@ def test_warc_round_trip(spark, tmp_path):
     assert W.read_warc(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_digests_dates_and_places(spark, tmp_path, monkeypatch):
+    """Digests against hashlib, a record read alone at its offset, dates of revisits, files bounded by bytes, very long payloads."""
+    import base64
+
+    monkeypatch.setattr(W, "FILE_BYTES", 200_000)
+    rows = [(i, f"http://x/{i}", "same" if i % 4 == 0 else f"page {i} " * (1 + i % 7 * 900), f"2024-01-{1 + i % 28:02d}T00:00:00Z") for i in range(60)]
+    rows += [(100, "u", "é<p>" * 400_000, None), (101, "u", "é<p>" * 400_000, None), (102, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, at string")
+    for k, keys in enumerate((250_000, 0)):  # revisits by broadcast and by a shuffle
+        monkeypatch.setattr(W, "BROADCAST_KEYS", keys)
+        path = str(tmp_path / f"w{k}")
+        W.write_warc(pages, path, date_col="at")
+        got = {r.page_id: r for r in W.read_warc(spark, path).collect()}
+        for i, url, html, at in rows:
+            raw = (html or "").encode()
+            r = got[i]
+            assert (r.payload_digest, r.payload_bytes, r.target_uri) == (base64.b32encode(hashlib.sha1(raw).digest()).decode(), len(raw), url or "")
+            assert (bytes(r.payload) if r.payload is not None else None) == (None if r.record_type == "revisit" else raw)
+            with open(r.file.removeprefix("file:"), "rb") as f:
+                f.seek(r.offset)
+                (only,) = W.members(f.read(r.length))
+            headers, _ = W.parse_record(only[2])
+            assert headers["X-Page"] == str(i) and headers["WARC-Date"] == (at or "2024-01-31T00:00:00Z")
+            if r.record_type == "revisit" and i < 60:
+                assert (r.refers_to, headers["WARC-Refers-To-Date"]) == (0, rows[0][3])
+        assert got[101].refers_to == 100 and len({r.file for r in got.values()}) > 2
+
+
 def test_trie_encoding_matches_the_library(spark, docs, texts):
     rows = bpe_trie.encode_decode(clash(docs, "ids", "n_tokens"), BYTE_BPE).collect()
     assert len(rows) == docs.count()
