@@ -90,8 +90,8 @@ def _files(date: str):
         parts, held = [], 0
         close = lambda: pa.record_batch([pa.array([b"".join([info, *parts])], pa.binary())], names=["value"])
         for b in batches:
-            for i in range(b.num_rows):
-                member, size = _page_record({k: b.column(j)[i].as_py() for j, k in enumerate(_FIELDS)})
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                member, size = _page_record(dict(zip(_FIELDS, row, strict=True)))
                 if parts and held + size > FILE_BYTES:
                     yield close()
                     parts, held = [], 0
