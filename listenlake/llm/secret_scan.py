@@ -4,6 +4,9 @@ Base patterns are found with regular expressions. Beyond them, candidate strings
 entropy of a sliding window, kept up to date by incremental counts: a window's step changes two counts, and
 with them the sum of c * log2(c). The threshold depends on the candidate's character class; windows that overlap a
 match of the allow-list are suppressed.
+
+Work is linear in a text: it is split around a pattern's matches once and offsets are carried along, in blocks, so that
+no list of matches is copied for every match. A window's counts are fields of five bits in six words.
 """
 
 from __future__ import annotations
@@ -31,21 +34,42 @@ ALLOW = [
 ]
 
 
-def _spans(text: str | Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as structs (start, end, m), in code points.
+#: Matches whose spans are listed together; fixed values: characters of candidates, in the order of their count fields.
+BLOCK = 64
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+_FIELDS = 12  # counts in a word
+_SPAN = "array<struct<start:int,end:int,m:string>>"
 
-    A match's text can't occur earlier after the previous match, as the pattern would match there.
-    """
+
+def _let(value: Column, f) -> Column:
+    """f(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _spans(text: str | Column, pattern: str) -> Column:
+    """Leftmost non-overlapping matches as structs (start, end, m), in code points: running sums of the lengths of gaps and matches."""
     text = F.col(text) if isinstance(text, str) else text
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.struct(F.lit(1).alias("p"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("s"))
+    none = F.array().cast(_SPAN)
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["p"] + x["gap"]
+        end = start + x["length"]
+        return F.struct(end.alias("p"), F.concat(acc["s"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m")))).alias("s"))
+
+    def block(pieces: Column, p: Column, k: Column) -> Column:
+        return F.aggregate(F.slice(pieces, k * BLOCK + 1, F.lit(BLOCK)), F.struct(p.alias("p"), none.alias("s")), step)
 
-    def step(acc: Column, m: Column) -> Column:
-        at = F.call_function("locate", m, text, acc["p"])
-        end = at + F.length(m)
-        return F.struct(end.alias("p"), F.concat(acc["s"], F.array(F.struct((at - 1).alias("start"), (end - 1).alias("end"), m.alias("m")))).alias("s"))
+    def spans(pieces: Column) -> Column:
+        start = F.struct(F.lit(0).alias("p"), F.array().cast(f"array<{_SPAN}>").alias("s"))
+        joined = lambda acc, own: F.struct(own["p"].alias("p"), F.concat(acc["s"], F.array(own["s"])).alias("s"))
+        blocks = F.sequence(F.lit(0), ((F.size(pieces) - 1) / BLOCK).cast("int"))
+        return F.aggregate(blocks, start, lambda acc, k: _let(block(pieces, acc["p"], k), lambda own: joined(acc, own)), lambda acc: F.flatten(acc["s"]))
 
-    return F.aggregate(found, empty, step, lambda acc: acc["s"])
+    def pieces(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        return F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("length"), m.alias("m")))
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(_let(pieces(found), spans)))
 
 
 def _log_sum(c: Column) -> Column:
@@ -63,35 +87,56 @@ def _hot(m: Column) -> Column:
         .when(lower & upper, THRESHOLDS["letters"])
         .otherwise(99.0)
     )
-    code = lambda i: F.ascii(F.substring(m, i, 1))
-    start = F.struct(
-        F.concat(*[_spans(m, pattern) for pattern in ALLOW]).alias("allowed"),
-        F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"), F.lit(-1).alias("first"), F.lit(-1).alias("last")
-    )
+    one = F.lit(1).cast("long")
+    words = -(-len(ALPHABET) // _FIELDS)
+    shift = lambda c: (c % _FIELDS) * 5
+    word = lambda c: (c / _FIELDS).cast("int")
+    count = lambda counts, c: F.call_function("shiftright", F.get(counts, word(c)), shift(c)).bitwiseAND(F.lit(31).cast("long")).cast("int")
+    added = lambda c, k: F.when(word(c) == k, F.call_function("shiftleft", one, shift(c))).otherwise(0)
+
+    def scored(allowed: Column, at_least: Column) -> Column:
+        codes = F.transform(F.split(m, "", -1), lambda c: F.when(c == "", -1).otherwise(F.call_function("instr", F.lit(ALPHABET), c) - 1))
+        codes = F.filter(codes, lambda c: c >= 0)
+        nexts = F.struct(*[F.lit(0).alias(f"p{j}") for j in range(len(ALLOW))])
+        start = F.struct(
+            F.lit(0).alias("i"), F.array_repeat(F.lit(0).cast("long"), words).alias("counts"), F.lit(0.0).alias("s"), nexts.alias("next"),
+            F.lit(0).alias("until"), F.lit(0.0).alias("best"), F.lit(-1).alias("first"), F.lit(-1).alias("last"),
+        )
+
+        def step(acc: Column, x: Column) -> Column:
+            new, old, i = x["new"], x["old"], acc["i"] + 1
+            # The matches of one allowed pattern start at different places, in order: one may start here.
+            here = [F.get(allowed[j], acc["next"][f"p{j}"]) for j in range(len(ALLOW))]
+            begins = [F.coalesce(h["start"] == acc["i"], F.lit(False)) for h in here]
+            until = F.greatest(acc["until"], *[F.when(b, h["end"]).otherwise(0) for b, h in zip(begins, here, strict=True)])
+            following = F.struct(*[(acc["next"][f"p{j}"] + b.cast("int")).alias(f"p{j}") for j, b in enumerate(begins)])
+            same = new == old
+            was_new, was_old = count(acc["counts"], new), F.when(old >= 0, count(acc["counts"], F.greatest(old, F.lit(0)))).otherwise(0)
+            grown = F.when(same, 0.0).otherwise(_log_sum(was_new + 1) - _log_sum(was_new))
+            shrunk = F.when(same | (old < 0), 0.0).otherwise(_log_sum(was_old - 1) - _log_sum(was_old))
+            counts = F.transform(acc["counts"], lambda c, k: c + added(new, k) - F.when(old >= 0, added(old, k)).otherwise(0))
+
+            def moved(v: Column) -> Column:
+                over = (i >= WINDOW) & (v["h"] >= at_least) & (v["until"] <= i - WINDOW)
+                return F.struct(
+                    i.alias("i"), counts.alias("counts"), v["s"].alias("s"), following.alias("next"), v["until"].alias("until"), F.greatest(acc["best"], v["h"]).alias("best"),
+                    F.when(over & (acc["first"] < 0), i - WINDOW).otherwise(acc["first"]).alias("first"), F.when(over, i).otherwise(acc["last"]).alias("last"),
+                )
+
+            entropy = lambda v: F.struct(v["s"].alias("s"), v["until"].alias("until"), F.when(i >= WINDOW, F.log2(F.lit(float(WINDOW))) - v["s"] / WINDOW).otherwise(0.0).alias("h"))
+            return _let(_let(F.struct((acc["s"] + grown + shrunk).alias("s"), until.alias("until")), entropy), moved)
+
+        return _let(
+            codes,
+            lambda own: F.aggregate(
+                F.zip_with(own, F.slice(F.concat(F.array_repeat(F.lit(-1), WINDOW), own), F.lit(1), F.size(own)), lambda new, old: F.struct(new.alias("new"), old.alias("old"))),
+                start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last"), a["best"].alias("best")),
+            ),
+        )
 
-    def step(acc: Column, i: Column) -> Column:
-        new, old = code(i), F.when(i > WINDOW, code(i - WINDOW)).otherwise(-1)
-        was_new = F.get(acc["counts"], new)
-        same = new == old
-        was_old = F.when(old >= 0, F.get(acc["counts"], F.greatest(old, F.lit(0)))).otherwise(0)
-        grown = F.when(same, 0.0).otherwise(_log_sum(was_new + 1) - _log_sum(was_new))
-        shrunk = F.when(same | (old < 0), 0.0).otherwise(_log_sum(was_old - 1) - _log_sum(was_old))
-        s = acc["s"] + grown + shrunk
-        counts = F.transform(acc["counts"], lambda c, j: c + (j == new).cast("int") - (j == old).cast("int"))
-        h = F.when(i >= WINDOW, F.log2(F.lit(float(WINDOW))) - s / WINDOW).otherwise(0.0)
-        over = (i >= WINDOW) & (h >= least) & ~F.exists(acc["allowed"], lambda x: (x["start"] < i) & (x["end"] > i - WINDOW))
-        return F.struct(
-            acc["allowed"].alias("allowed"),
-            counts.alias("counts"),
-            s.alias("s"),
-            F.greatest(acc["best"], h).alias("best"),
-            F.when(over & (acc["first"] < 0), i - WINDOW).otherwise(acc["first"]).alias("first"),
-            F.when(over, i).otherwise(acc["last"]).alias("last"),
-        )
-
-    scored = F.aggregate(F.sequence(F.lit(1), F.length(m)), start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last"), a["best"].alias("best")))
     none = F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last"), F.lit(0.0).alias("best"))
-    return F.when(least > 90, none).otherwise(scored)
+    allowed = F.array(*[_spans(m, pattern) for pattern in ALLOW])
+    return _let(least, lambda at_least: F.when(at_least > 90, none).otherwise(_let(allowed, lambda a: scored(a, at_least))))
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -522,6 +522,71 @@ def test_secrets(spark, docs):
     assert S.secret_digest(empty(spark)).count() == 0
 
 
+def entropy_spans(x):
+    """Each candidate's hull of windows at or over its class's threshold that overlap no allowed match, window by window."""
+    out = []
+    for m in re.finditer(S.CANDIDATE, x):
+        c = m[0]
+        lower, upper, digit = (bool(re.search(p, c)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
+        if re.fullmatch("[0-9a-f]+|[0-9A-F]+", c) and (lower or upper):
+            least = S.THRESHOLDS["hex"]
+        elif lower and upper:
+            least = S.THRESHOLDS["mixed" if digit else "letters"]
+        elif (lower or upper) and digit:
+            least = S.THRESHOLDS["one_case"]
+        else:
+            continue
+        covered = set()
+        for p in S.ALLOW:
+            for a in re.finditer(p, c):
+                covered.update(range(a.start(), a.end()))
+        over = []
+        for i in range(len(c) - S.WINDOW + 1):
+            n = np.array(list(collections.Counter(c[i : i + S.WINDOW]).values())) / S.WINDOW
+            if -(n * np.log2(n)).sum() >= least - 1e-12 and not covered & set(range(i, i + S.WINDOW)):
+                over.append(i)
+        if over:
+            out.append((m.start() + over[0], 3, m.start() + over[-1] + S.WINDOW, "entropy"))
+    return out
+
+
+def all_spans(x):
+    base = [(int(a), [k[0] for k in KINDS].index(n), int(b), n) for n, a, b in (y.split(":") for y in base_spans(x).split(",") if y)]
+    return ",".join(f"{n}:{a}:{b}" for a, _, b, n in sorted(base + entropy_spans(x)))
+
+
+def test_entropy_windows_match_brute_force(spark, docs):
+    g = np.random.default_rng(6)
+    alphabets = [S.ALPHABET, "abcdef0123456789", "ABCDEF0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", S.ALPHABET[:52], "ab1", "=-_+/a"]
+    bits = ["example", "your-key", "abcdefghijklmnop", "========", "😀", " ", "AKIA", "token=", "123e4567-e89b-12d3-a456-426614174000"]
+    texts = []
+    for i in range(250):
+        parts = ["".join(g.choice(list(alphabets[int(g.integers(0, 7))]), int(g.integers(1, 60)))) if g.random() < 0.6 else bits[int(g.integers(0, len(bits)))] for _ in range(6)]
+        texts.append(("" if i % 2 else " ").join(parts))
+    df = docs.select("doc_id", "text").union(spark.createDataFrame([(9000 + i, x) for i, x in enumerate(texts)], "doc_id long, text string"))
+    want = collections.Counter()
+    for r in df.collect():
+        x = r.text or ""
+        kinds = collections.Counter(y.split(":")[0] for y in base_spans(x).split(","))
+        want[r.doc_id, all_spans(x), kinds["assign"], kinds["access"], kinds["hex"]] += 1
+    got = collections.Counter((r.doc_id, r.spans, r.n_assign, r.n_access, r.n_hex) for r in S.secret_digest(df).collect())
+    assert got == want and sum("entropy" in k[1] for k in want) > 40
+
+
+def test_secrets_in_linear_time(spark):
+    """100,000 matches in one text, and one candidate of half a million characters."""
+    import time
+
+    g = np.random.default_rng(8)
+    many = "deadbeefdeadbeef x " * 100_000
+    long = "".join(g.choice(list(S.ALPHABET), 500_000))
+    start = time.time()
+    rows = {r.doc_id: r for r in S.secret_digest(spark.createDataFrame([(1, many), (2, long)], "doc_id long, text string")).collect()}
+    assert rows[1].n_hex == 100_000 and rows[1].base_sha256 == hashlib.sha256(base_spans(many).encode()).hexdigest()
+    assert rows[2].spans.startswith("entropy:0:500000") or "entropy:" in rows[2].spans
+    assert time.time() - start < 60
+
+
 def test_allow_list_suppresses_only_what_it_matches(spark):
     key = "9aF3kQ7ZpLw0Xy2TuV8b"
     texts = [f"/your-key/{key}", "=" * 8 + key, "your-key-your-key-your-key", "123e4567-e89b-12d3-a456-426614174000", "qWzRtYpLkJhGfDsXcVbNmQaE", f"x{key}example{key}"]
