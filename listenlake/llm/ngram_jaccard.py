@@ -14,7 +14,10 @@ offered, never which links are found. Sets near an octave's upper end offer keys
 Candidates pass a second, bit-wise parity sketch (one bit flipped a shingle; Hamming distance is at most the
 symmetric difference) and are verified on the exact sets. Copies are folded into one representative first. Within a key
 each document is first paired with the key's least document only; the few that remain in other components
-are then paired with each other, so a group of n near copies costs about n pairs, not n * n.
+are then paired with each other, so a group of n near copies costs about n pairs, not n * n. A key that many documents
+of several components share (a passage that they have in common) is split by a second word first: the two fullest words
+that linked sets share untouched lie among either set's d + 2 fullest, in the same order, so a linked pair whose
+fullest such word is that key also meets under the key joined with the second word.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from listenlake.runtime import discard, materialize, ship_package
 _U = np.uint64
 #: Document ids (8 bytes each) up to which a set of them is broadcast.
 BROADCAST_IDS = 1_000_000
+#: Documents of a key beyond which it is split by a second word, if they are also this many times the words that a document offers.
+HOT_DOCS, HOT_RATIO = 64, 2
 
 
 def max_difference(size: int, num: int, den: int) -> int:
@@ -76,17 +81,17 @@ def hamming(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
 
 
-def signatures(u: np.ndarray, num: int, den: int, common: np.ndarray) -> np.ndarray:
-    """The join keys of one set: its d + 1 fullest sketch words, for one octave or two. common: frequent shingles, sorted."""
+def signatures(u: np.ndarray, num: int, den: int, common: np.ndarray) -> list[np.ndarray]:
+    """For one octave or two, one set's d + 2 fullest sketch words in order; all but the last are join keys. common: frequent shingles, sorted."""
     n = len(u)
     d = max_difference(n, num, den)
     if d == 0:
-        return np.zeros(0, np.uint64)  # only an equal set is similar enough
+        return []  # only an equal set is similar enough
     own = n.bit_length() - 1
     at = np.minimum(np.searchsorted(common, u), max(len(common) - 1, 0))
     rare = common[at] != u if len(common) else np.ones(n, bool)
     out = []
-    for octave in {own, (n + d).bit_length() - 1}:
+    for octave in sorted({own, (n + d).bit_length() - 1}):
         k = octave_words(octave, num, den)
         word = ((u >> _U(32)) * _U(k) >> _U(32)).astype(np.int64)  # ascends with u
         weight = np.bincount(word, minlength=k)
@@ -94,9 +99,9 @@ def signatures(u: np.ndarray, num: int, den: int, common: np.ndarray) -> np.ndar
         used = np.flatnonzero(weight)
         sketch[used] = np.bitwise_xor.reduceat(u, (np.cumsum(weight) - weight)[used])
         own_weight = np.bincount(word[rare], minlength=k)
-        top = np.argsort(-(own_weight * (n + 1) + weight), kind="stable")[: d + 1]
+        top = np.argsort(-(own_weight * (n + 1) + weight), kind="stable")[: d + 2]
         out.append(T.mix64(sketch[top] + top.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + _U(octave * 0xA24BAED4963EE407 % 2**64)))
-    return np.unique(np.concatenate(out))
+    return out
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -106,6 +111,12 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(ends, pa.array(values))
 
 
+def _nested(rows: list[list[np.ndarray]]) -> pa.ListArray:
+    """Lists of arrays of 64-bit integers as a column."""
+    ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, _lists([p for r in rows for p in r]))
+
+
 def _features(width: int, num: int, den: int, common):
     def run(batches):
         frequent = common.value
@@ -123,7 +134,7 @@ def _features(width: int, num: int, den: int, common):
                     pa.array(n, pa.int64()),
                     pa.array(np.array(d1, np.uint64).view(np.int64)),
                     pa.array(np.array(d2, np.uint64).view(np.int64)),
-                    _lists(sigs),
+                    _nested(sigs),
                     _lists(bits),
                 ],
                 names=["doc_id", "n", "d1", "d2", "sigs", "bits"],
@@ -163,6 +174,24 @@ def _plausible(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.where((den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & ((num + den) * hamming("ba", "bb") <= (den - num) * total))
 
 
+def _split(rows: DataFrame, offered: DataFrame) -> DataFrame:
+    """Rows (key, doc_id, c, docs) of open keys as (key, doc_id, c), the keys of many documents joined with each further word.
+
+    A large key is split only where its documents outnumber the words that any of them offers: then the split makes
+    fewer rows than the pairs that it saves.
+    """
+    words = offered.select("doc_id", "sigs").dropDuplicates(["doc_id"])
+    large = rows.where(F.col("docs") > HOT_DOCS).join(words, "doc_id")
+    own = F.filter("sigs", lambda x: F.array_contains(x, F.col("key")))[0]
+    large = large.select("key", "doc_id", "c", "docs", own.alias("own"))
+    pays = large.groupBy("key").agg(F.max(F.size("own")).alias("words"), F.first("docs").alias("docs")).where(F.col("docs") > HOT_RATIO * F.col("words")).select("key")
+    pays = materialize(pays, "jaccard-hot-keys")
+    later = large.join(pays, "key").select("key", "doc_id", "c", F.explode(F.expr("slice(own, array_position(own, key) + 1, size(own))")).alias("second"))
+    finer = materialize(later.select(F.xxhash64("key", "second").alias("key"), "doc_id", "c"), "jaccard-finer")
+    several = materialize(finer.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key"), "jaccard-finer-keys")
+    return rows.join(pays, "key", "left_anti").select("key", "doc_id", "c").union(finer.join(several, "key").select("key", "doc_id", "c"))
+
+
 def ngram_jaccard_components(
     docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 4096, sample_least: int = 5, sample_most: int = 50_000
 ) -> DataFrame:
@@ -180,14 +209,14 @@ def ngram_jaccard_components(
     ship_package(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     common = spark.sparkContext.broadcast(_frequent(rows, width, sample_docs, sample_least, sample_most))
-    feats = materialize(rows.mapInArrow(_features(width, num, den, common), "doc_id long, n long, d1 long, d2 long, sigs array<long>, bits array<long>"), "jaccard-features")
+    feats = materialize(rows.mapInArrow(_features(width, num, den, common), "doc_id long, n long, d1 long, d2 long, sigs array<array<long>>, bits array<long>"), "jaccard-features")
     # Tables that hold a row a group are written before they are joined: then Spark can split a hot group on the other side.
     reps = materialize(feats.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
     members = materialize(feats.select("doc_id", "n", "d1", "d2").join(reps, ["n", "d1", "d2"], "left").select("doc_id", "n", "rep"), "jaccard-members")
     alone = members.where("doc_id = rep").select("doc_id").distinct()
     offered = materialize(feats.select("doc_id", "n", "bits", "sigs").join(alone, "doc_id", "left_semi"), "jaccard-offered")
     discard(feats, reps)
-    keys = offered.select("doc_id", F.explode("sigs").alias("key"))
+    keys = offered.select("doc_id", F.explode(F.flatten(F.transform("sigs", lambda x: F.slice(x, F.lit(1), F.size(x) - 1)))).alias("key"))
     several = materialize(keys.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").drop("last"), "jaccard-keys")
     shared = materialize(keys.join(several, "key"), "jaccard-shared")
     some = shared.select("doc_id").distinct()
@@ -208,8 +237,9 @@ def ngram_jaccard_components(
     # Keys whose documents are still in several components: pair those across components.
     known = sketches.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", "bits", F.coalesce("component", "doc_id").alias("c"))
     labelled = materialize(shared.select("key", "doc_id").join(known.select("doc_id", "c"), "doc_id"), "jaccard-labelled")
-    open_keys = materialize(labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key"), "jaccard-open-keys")
-    rest = materialize(labelled.join(open_keys, "key").join(known.select("doc_id", "n", "bits"), "doc_id").select("key", "doc_id", "n", "bits", "c"), "jaccard-open")
+    grouped = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("docs"))
+    open_keys = materialize(grouped.where("c0 < c1").select("key", "docs"), "jaccard-open-keys")
+    rest = materialize(_split(labelled.join(open_keys, "key"), offered).join(known.select("doc_id", "n", "bits"), "doc_id"), "jaccard-open")
     side = lambda i: rest.select("key", F.col("doc_id").alias(i), F.col("n").alias(f"n{i}"), F.col("bits").alias(f"b{i}"), F.col("c").alias(f"c{i}"))
     across = materialize(
         _plausible(side("a").join(side("b"), "key").where("a < b AND ca <> cb"), num, den).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs"

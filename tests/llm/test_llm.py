@@ -109,7 +109,32 @@ def test_linked_sets_share_a_signature(n, seed, ratio):
     both = len(np.intersect1d(a, b))
     if den * both >= num * (len(a) + len(b) - both) and len(a) != both:
         common = np.sort(a[: n // 3])
-        assert np.intersect1d(J.signatures(a, num, den, common), J.signatures(b, num, den, common)).size
+        keys = lambda x: {k for s in J.signatures(x, num, den, common) for k in s[:-1].tolist()}
+        assert keys(a) & keys(b)
+        # and two words in the same order, the first of them a key of both
+        both = [[(s[i], s[j]) for s in J.signatures(x, num, den, common) for i in range(len(s) - 1) for j in range(i + 1, len(s))] for x in (a, b)] if len(a) < 120 else [[0], [0]]
+        assert set(both[0]) & set(both[1])
+
+
+def test_jaccard_splits_keys_of_many_unlinked_documents(spark, monkeypatch):
+    """Many documents share a passage without linking; pairs of near copies are hidden among them."""
+    pairs = []
+    monkeypatch.setattr(J, "_frequent", lambda *_: np.zeros(0, np.uint64))
+    split = J._split
+    monkeypatch.setattr(J, "_split", lambda rows, offered: pairs.append((rows.select("key").distinct().count(), split(rows, offered))) or pairs[-1][1])
+    g, rows = np.random.default_rng(5), []
+    shared = [f"s{i}" for i in range(14)]
+    for i in range(300):
+        own = [f"p{i // 2 if i % 10 < 2 else i}_{k}" for k in range(24)]
+        own[int(g.integers(0, 24))] = f"x{i}"
+        rows.append((i, " ".join(shared + own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = jaccard_components(dict(rows), 3, 70, 100)
+    for docs, ratio in ((20, 0), (64, 2), (10**9, 2)):
+        monkeypatch.setattr(J, "HOT_DOCS", docs)
+        monkeypatch.setattr(J, "HOT_RATIO", ratio)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.ngram_jaccard_components(df, 3, 70, 100).collect()} == want
+    assert len({c for _, c in want.values()}) < 300
 
 
 def test_components_of_a_chain(spark):
