@@ -1,8 +1,11 @@
 """Quality rules with tokeniser fertility.
 
 A public piece vocabulary with byte fallback measures each document: characters per token, share of byte
-pieces and token entropy. Prose stays inside a band for its script; junk (symbol soup, broken encodings, endless
-repetition) leaves it. Counting rules over words, lines and repeated windows come before. One pass, no shuffle.
+pieces and token entropy. Prose of a language and script keeps close to its median; junk (symbol soup, broken encodings,
+endless repetition) leaves the band around it. The bands are fitted to all documents: exact medians, and medians of the
+distances to them, by language, script and size, from histograms of thousandths (a few thousand counts a group, however
+many documents). Groups of few documents have only fixed bands by script. Counting rules over words, lines and
+repeated windows come before. Texts are tokenised once; the measured rows are written, and read again with the bands.
 """
 
 from __future__ import annotations
@@ -11,23 +14,35 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from listenlake.llm import _text as T, _vocab as V
-from listenlake.runtime import ship_package
+from listenlake.runtime import discard, materialize, ship_package
 
 #: Symbols that are counted, and the repeated window's width.
 SYMBOLS = np.isin(np.arange(256), list(b"[#*$%&|<>]"[1:-1]))
 REPEAT = 8
 
-#: Bands (least, most) per script: characters per token, share of byte pieces, token entropy as a share of what so many tokens
-#: can reach (log2 of the smaller of tokens and ENTROPY_IDS). None: no bound.
+#: Fixed bands (least, most) by script: characters per token, share of byte pieces, token entropy as a share of what so many
+#: tokens can reach (log2 of the smaller of tokens and ENTROPY_IDS). None: no bound.
 ENTROPY_IDS = 1024
+_WIDE = {"chars_per_token": (0.2, 8.0), "byte_share": (None, 0.97), "entropy_share": (0.25, None)}
 BANDS = {
-    "latin": {"chars_per_token": (1.2, 8.0), "byte_share": (None, 0.35), "entropy_share": (0.6, None)},
+    "latin": {"chars_per_token": (1.2, 8.0), "byte_share": (None, 0.35), "entropy_share": (0.5, None)},
+    "greek": {"chars_per_token": (0.6, 6.0), "byte_share": (None, 0.35), "entropy_share": (0.3, None)},
     "cyrillic": {"chars_per_token": (0.8, 6.0), "byte_share": (None, 0.35), "entropy_share": (0.5, None)},
-    "other": {"chars_per_token": (0.2, 8.0), "byte_share": (None, 0.97), "entropy_share": (0.25, None)},
-}
+    "hebrew": _WIDE, "arabic": _WIDE, "indic": _WIDE, "thai": _WIDE, "east_asian": _WIDE, "hangul": _WIDE, "other": _WIDE,
+}
+#: Fitted bands: documents that a group needs, and how many robust standard deviations from the median are inside.
+GROUP_DOCS, WIDTHS = 30, {"chars_per_token": (4, None), "byte_share": (None, 4), "entropy_share": (4, None)}
+#: Least robust standard deviation of each figure, in thousandths; fixed value: standard deviations in a median distance.
+SPREAD, MAD = {"chars_per_token": 20, "byte_share": 50, "entropy_share": 8}, 1.4826
+
+#: A script's range of two leading bytes of a character's UTF-8, first and last.
+SCRIPTS = {
+    "greek": [(0xCDB0, 0xCFBF)], "cyrillic": [(0xD080, 0xD3BF)], "hebrew": [(0xD690, 0xD7BF)], "arabic": [(0xD880, 0xDDBF)],
+    "indic": [(0xE0A4, 0xE0B7)], "thai": [(0xE0B8, 0xE0B9)], "east_asian": [(0xE381, 0xE383), (0xE390, 0xE9BF)], "hangul": [(0xEAB0, 0xED9F)],
+}
 
 _SCHEMA = {
     "n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long",
@@ -80,12 +95,27 @@ def base_counts(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _scripts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """latin, cyrillic or other, by the most letters' lead bytes."""
-    low = buf | 0x20
-    latin = _per_row(((low >= 97) & (low <= 122) & (buf < 128)) | (buf >= 0xC3) & (buf <= 0xC9), offs)
-    cyrillic = _per_row((buf >= 0xD0) & (buf <= 0xD3), offs)
-    other = _per_row((buf >= 0xCA) & (buf <= 0xCF) | (buf >= 0xD4), offs)
-    return np.where((latin >= cyrillic) & (latin >= other), "latin", np.where(cyrillic >= other, "cyrillic", "other"))
+    """The script of most letters in each row; latin if there are none, the first in the order of BANDS on a tie."""
+    low, lead = buf | 0x20, buf >= 0xC3
+    counts = {"latin": _per_row(((low >= 97) & (low <= 122) & (buf < 128)) | (buf >= 0xC3) & (buf <= 0xC9), offs)}
+    if lead.any():
+        two = buf.astype(np.uint16) << 8
+        two[:-1] |= buf[1:]
+        known = (buf >= 0xC3) & (buf <= 0xC9) | (buf < 0xC3)
+        for name, ranges in SCRIPTS.items():
+            own = np.zeros(len(buf), bool)
+            for a, b in ranges:
+                own |= (two >= a) & (two <= b)
+            counts[name] = _per_row(own, offs)
+            known |= own
+        counts["other"] = _per_row((buf >= 0xC0) & ~known, offs)
+    names = [k for k in BANDS if k in counts]
+    return np.array(names)[np.argmax(np.stack([counts[k] for k in names]), axis=0)]
+
+
+def script_of(text: str) -> str:
+    buf, offs = T.flat(pa.array([text], pa.large_string()))
+    return str(_scripts(buf, offs)[0])
 
 
 def fertility(texts: pa.Array, path: str, chars: np.ndarray) -> dict[str, np.ndarray]:
@@ -112,7 +142,7 @@ def verdict(script: np.ndarray, figures: dict[str, np.ndarray], bands: dict) ->
     return ok
 
 
-def _run(path: str, text_at: int, bands: dict):
+def _run(path: str, text_at: int, bands: dict, keep_text: bool):
     def run(batches):
         for b in batches:
             for start, length in T.byte_slices(b.column(text_at), V.BATCH_BYTES) if b.num_rows else ():
@@ -127,20 +157,53 @@ def _run(path: str, text_at: int, bands: dict):
         failed = (x["n_words"] < 20) | (100 * x["n_repeat_words"] > 30 * x["n_words"])
         x |= {"script": script, "base_failed": failed, "kept": ~failed & verdict(script, x, bands)}
         kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
-        return pa.record_batch([*b.columns, *(pa.array(x[k].tolist() if v == "string" else x[k], kinds[v]) for k, v in _SCHEMA.items())], names=[*b.schema.names, *_SCHEMA])
+        passed = [i for i in range(b.num_columns) if keep_text or i != text_at]
+        return pa.record_batch([*(b.column(i) for i in passed), *(pa.array(x[k].tolist() if v == "string" else x[k], kinds[v]) for k, v in _SCHEMA.items())], names=[*(b.schema.names[i] for i in passed), *_SCHEMA])
 
     return run
 
 
-def quality_rules(docs: DataFrame, tokenizer: str, bands: dict | None = None, text_col: str = "text") -> DataFrame:
+def fitted_bands(measured: DataFrame) -> DataFrame:
+    """Rows (band_lang, script, size) with the bounds of each figure, low_* and high_*, in thousandths, over all rows that pass the base rules."""
+    keys = ["band_lang", "script", "size"]
+    figures = list(WIDTHS)
+    stacked = ", ".join(f"'{k}', CAST(floor({k} * 1000) AS LONG)" for k in figures)
+    rows = measured.where("NOT base_failed").select(*keys, F.expr(f"stack({len(figures)}, {stacked}) AS (what, v)"))
+    counts = materialize(rows.groupBy(*keys, "what", "v").agg(F.count("*").alias("n")), "quality-histograms")
+    middle = counts.groupBy(*keys, "what").agg(F.expr("percentile(v, 0.5, n)").alias("m"), F.sum("n").alias("docs")).where(F.col("docs") >= GROUP_DOCS)
+    around = counts.join(middle, [*keys, "what"]).groupBy(*keys, "what", "m").agg(F.expr("percentile(abs(v - m), 0.5, n)").alias("d"))
+    sides = []
+    for k, (below, above) in WIDTHS.items():
+        own = F.col("what") == k
+        spread = F.greatest(F.col("d") * MAD, F.lit(float(SPREAD[k])))
+        sides += [F.max(F.when(own, F.col("m") - below * spread)).alias(f"low_{k}")] if below else []
+        sides += [F.max(F.when(own, F.col("m") + above * spread)).alias(f"high_{k}")] if above else []
+    bands = materialize(around.groupBy(*keys).agg(*sides), "quality-bands")
+    discard(counts)
+    return bands
+
+
+def quality_rules(docs: DataFrame, tokenizer: str, bands: dict | None = None, text_col: str = "text", lang: Column | None = None, keep_text: bool = True) -> DataFrame:
     """The documents with the figures of ``_SCHEMA`` added.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text (null: none). base_failed: fewer than 20 words, or over 30 % of the
-    words lie in 8-word windows that the text holds twice or more. kept: not base_failed, and inside the bands of
-    the document's script. Rows are judged one by one, so repeated rows agree; columns with the names of added
-    ones are replaced, others pass through; an empty table stays empty.
+    words lie in 8-word windows that the text holds twice or more. kept: not base_failed, inside the fixed bands of
+    the document's script (``bands``, else BANDS), and inside the band fitted to the documents of its language (``lang``;
+    null or none given: all such rows are one language), script and number of tokens (by powers of two), if they are GROUP_DOCS
+    or more. Repeated rows count as often as they come and agree; columns with the names of added ones are replaced, others
+    pass through (the text only with ``keep_text``); an empty table stays empty.
     """
     ship_package(docs.sparkSession)
     kept = docs.drop(*[c for c in _SCHEMA if c != text_col])
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [f"{k} {v}" for k, v in _SCHEMA.items()])
-    return kept.mapInArrow(_run(tokenizer, kept.columns.index(text_col), bands or BANDS), schema)
+    own = kept.withColumn("band_lang", F.coalesce(lang.cast("string") if lang is not None else F.lit(None).cast("string"), F.lit("")))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if keep_text or f.name != text_col] + [f"{k} {v}" for k, v in _SCHEMA.items()])
+    rows = own.mapInArrow(_run(tokenizer, own.columns.index(text_col), bands or BANDS, keep_text), schema)
+    measured = materialize(rows.withColumn("size", F.length(F.bin("n_tokens"))), "quality-measured")
+    joined = measured.join(fitted_bands(measured), ["band_lang", "script", "size"], "left")
+    inside = F.lit(True)
+    for k, (below, above) in WIDTHS.items():
+        v = F.floor(F.col(k) * 1000)
+        inside &= F.coalesce(v >= F.col(f"low_{k}"), F.lit(True)) if below else F.lit(True)
+        inside &= F.coalesce(v <= F.col(f"high_{k}"), F.lit(True)) if above else F.lit(True)
+    names = [c for c in kept.columns if keep_text or c != text_col]
+    return joined.withColumn("kept", F.col("kept") & inside).select(*[f"`{c}`" for c in names], *_SCHEMA)

@@ -412,6 +412,40 @@ def test_quality_rules_match_brute_force(spark, docs, texts):
     assert Q.quality_rules(empty(spark), PIECES).count() == 0
 
 
+def test_quality_bands_follow_the_documents(spark):
+    """Fitted bands reject most labelled junk that passes the base rules and hardly any other row."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
+    rows = Q.quality_rules(docs, PIECES, lang=F.col("lang"), keep_text=False)
+    assert "text" not in rows.columns
+    rows = rows.where("NOT base_failed").toPandas()
+    assert (~rows.kept[rows.quality == 0]).mean() > 0.6 and (~rows.kept[rows.quality == 1]).mean() < 0.01
+
+
+def test_quality_rules_fit_bands_of_all_rows(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    out = Q.quality_rules(rows, PIECES, lang=F.col("lang"))
+    want = {i for i, _ in brute_quality([(r.doc_id, r.text, r.lang) for r in rows.collect()])}
+    assert {r.doc_id for r in out.where("kept").collect()} == want and out.count() == rows.count()
+
+
+def test_scripts():
+    texts = {"latin": "Größe of x", "greek": "καλημέρα a", "cyrillic": "привет a", "hebrew": "שלום a", "arabic": "مرحبا", "indic": "नमस्ते a", "thai": "สวัสดี", "east_asian": "漢字かな a", "hangul": "한국어 a", "other": "አማርኛ a"}
+    assert [Q.script_of(x) for x in texts.values()] == list(texts) and Q.script_of("") == Q.script_of("12 ...") == "latin"
+
+
+def brute_fertility(x):
+    """The fertility figures and the script of a text, character by character, with the library's pieces."""
+    import unicodedata
+
+    sp = V.sentence_pieces(PIECES)
+    ids = sp.encode(x)
+    n = max(1, len(ids))
+    p = np.array(list(collections.Counter(ids).values())) / n
+    share = float(-(p * np.log2(p)).sum() / np.log2(max(2, min(len(ids), Q.ENTROPY_IDS)))) if ids else 0.0
+    figures = {"chars_per_token": len(x) / n, "byte_share": sum(sp.is_byte(i) and sp.id_to_piece(i) != "<0x0A>" for i in ids) / n, "entropy_share": share}
+    return figures, Q.script_of(x)
+
+
 def test_warc_round_trip(spark, tmp_path):
     nasty = "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nxyz\r\n\r\n"
     rows = [(5, "http://x/5", "same"), (2, "http://x/2\r\nevil: 1", "same"), (7, None, "same"), (7, None, "same"), (1, "u", nasty), (3, "u", None), (4, "u", ""), (None, "u", "same"), (9, "ü", "é" * 50_000), (2, "again", "same")]
@@ -687,26 +721,104 @@ def test_fm_index(symbols):
             assert sorted(index.locate(np.arange(a, b)).tolist() if b > a else []) == want
 
 
+def brute_quality(rows):
+    """Which of (id, text, lang) rows the quality rules keep, by the library, plain counting and numpy's medians."""
+    passed, groups = [], collections.defaultdict(list)
+    for i, x, lang in rows:
+        w = words(x)
+        c = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        hit = {j for k in range(len(w) - 7) if c[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
+        if len(w) < 20 or 100 * len(hit) > 30 * len(w):
+            continue
+        figures, script = brute_fertility(x)
+        key = (lang or "", script, len(V.sentence_pieces(PIECES).encode(x)).bit_length())
+        groups[key].append(figures)
+        passed.append((i, x, figures, key))
+    kept = []
+    for i, x, figures, key in passed:
+        ok = all((lo is None or figures[k] >= lo) and (hi is None or figures[k] <= hi) for k, (lo, hi) in Q.BANDS[key[1]].items())
+        if len(groups[key]) >= Q.GROUP_DOCS:
+            for k, (below, above) in Q.WIDTHS.items():
+                v = np.floor(np.array([f[k] for f in groups[key]]) * 1000)
+                spread = max(np.median(np.abs(v - np.median(v))) * Q.MAD, Q.SPREAD[k])
+                ok &= below is None or np.floor(figures[k] * 1000) >= np.median(v) - below * spread
+                ok &= above is None or np.floor(figures[k] * 1000) <= np.median(v) + above * spread
+        if ok:
+            kept.append((i, x))
+    return kept
+
+
+def brute_lines(rows):
+    key = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))
+    held = collections.defaultdict(set)
+    for i, x in rows:
+        for line in x.split("\n"):
+            if i is not None:
+                held[key(line)].add(i)
+    stays = lambda i, y: i is None or len(key(y)) < 10 or len(held[key(y)]) < 2 or min(held[key(y)]) == i
+    return [(i, "\n".join(y for y in x.split("\n") if stays(i, y))) for i, x in rows]
+
+
+def brute_near(rows):
+    texts = {}
+    for i, x in rows:
+        if i is not None:
+            assert texts.setdefault(i, x) == x
+    groups = jaccard_components(texts, 5, 80, 100)
+    return [(i, x) for i, x in rows if i is None or groups[i][1] == i]
+
+
+def brute_clean(rows, items):
+    rx = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    wins = set()
+    for x in items:
+        w = rx.findall(lower(x))
+        wins |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
+    out = []
+    for i, x in rows:
+        w = list(rx.finditer(lower(x)))
+        hit = {j for n in {len(k) for k in wins} for k in range(len(w) - n + 1) if tuple(m[0] for m in w[k : k + n]) in wins for j in range(k, k + n)}
+        parts, at = [], 0
+        for j in range(len(w)):
+            if j in hit:
+                begins = j - 1 not in hit
+                if begins:
+                    parts.append(x[at : w[j].start()])
+                at = w[j].end()
+        out.append((i, "".join([*parts, x[at:]])))
+    return out
+
+
 def test_pipeline_matches_brute_force(spark, docs, sf):
-    """Each stage on its predecessor's rows; stages keep their columns; each decision takes effect."""
-    own = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).withColumn("extra", F.lit(1))
-    kept = corpus_pipeline.quality(spark, own, sf)
-    want = {r.doc_id for r in Q.quality_rules(own, PIECES).where("kept").collect()}
-    assert kept.columns == own.columns and {r.doc_id for r in kept.collect()} == want
-    lines = corpus_pipeline.lines(spark, kept, sf)
-    assert lines.columns == own.columns and lines.count() == kept.count()
-    assert all(r.n_chars == len(r.text) for r in lines.collect())
-    near = corpus_pipeline.near_duplicates(spark, lines, sf)
-    groups = jaccard_components({r.doc_id: r.text for r in lines.collect()}, 5, 80, 100)
-    assert {r.doc_id for r in near.collect()} == {i for i, (_, c) in groups.items() if i == c}
-    clean = corpus_pipeline.benchmark(spark, near, sf)
-    assert clean.columns == own.columns and clean.count() == near.count()
-    last = corpus_pipeline.encoding(spark, clean, sf).collect()
-    texts = {r.doc_id: r.text for r in clean.collect()}
-    assert all(r.ids == V.byte_bpe(BYTE_BPE).encode(texts[r.doc_id], add_special_tokens=False).ids for r in last) and len(last) == len(texts)
+    """Each stage on its predecessor's rows, and the last, against plain Python over the same rows."""
+    rows = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
+    own = clash(docs, "script", "n_hit", "kept", "n_lines", "items").withColumn("extra.dot", F.lit(1))
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    want = [(r.doc_id, r.text, r.lang) for r in own.collect()]
+    now = own
+    steps = [brute_quality, brute_lines, brute_near, lambda x: brute_clean(x, items)]
+    for (name, stage), step in zip(corpus_pipeline.STAGES[:-1], steps, strict=True):
+        now = stage(spark, now, sf).cache()
+        before, want = len(want), step(want)
+        assert now.columns == own.columns and rows(now) == collections.Counter(want), name
+        assert name in ("line_dedup", "decontamination") or len(want) < before
+        kept = now.collect()
+        assert all({r[c] for c in ("script", "n_hit", "kept", "n_lines", "items")} == {"mine"} and r["extra.dot"] == 1 for r in kept)
+        assert all(r.n_chars == len(r.text) for r in kept if name == "line_dedup")
+    last = corpus_pipeline.encoding(spark, now, sf).collect()
+    ids = lambda x: V.byte_bpe(BYTE_BPE).encode(x, add_special_tokens=False).ids
+    assert collections.Counter((r.doc_id, tuple(r.ids)) for r in last) == collections.Counter((i, tuple(ids(x))) for i, x in want)
     for stage in corpus_pipeline.STAGES:
         assert stage[1](spark, empty(spark), sf).count() == 0
-    assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_pipeline_run_matches_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    for step in (brute_quality, brute_lines, brute_near, lambda x: brute_clean(x, items)):
+        rows = step(rows)
+    got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, sf).collect()}
+    assert got == {i: V.byte_bpe(BYTE_BPE).encode(x, add_special_tokens=False).ids for i, x in rows}
 
 
 def test_queries_match_sql(spark, sf):
