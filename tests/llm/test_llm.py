@@ -792,7 +792,9 @@ def brute_clean(rows, items):
 def test_pipeline_matches_brute_force(spark, docs, sf):
     """Each stage on its predecessor's rows, and the last, against plain Python over the same rows."""
     rows = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
-    own = clash(docs, "script", "n_hit", "kept", "n_lines", "items").withColumn("extra.dot", F.lit(1))
+    line = " ".join(max(words(r.text or "") for r in docs.where("lang = 'en'").collect() if 100 < len(words(r.text)) < 900))
+    near = spark.createDataFrame([(3000 + i, f"{line} own{i}", "en", "s", 1) for i in range(3)], SCHEMA)
+    own = clash(docs.union(near), "script", "n_hit", "kept", "n_lines", "items").withColumn("extra.dot", F.lit(1))
     items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     want = [(r.doc_id, r.text, r.lang) for r in own.collect()]
     now = own
