@@ -71,3 +71,10 @@ def bins(value: str | Column, edges: list[tuple[float, str]], rest: str) -> Colu
 def day_of_week(ts: str | Column) -> Column:
     """0 for Sunday to 6 for Saturday."""
     return (F.dayofweek(_c(ts)) - 1).cast("int")
+
+
+def mean(c: str | Column, digits: int) -> Column:
+    """The mean of a non-negative column, rounded half up, from exact sums of millionths: the same however the rows are partitioned."""
+    c = F.col(c) if isinstance(c, str) else c
+    total, n, unit = F.sum(F.round(c * 1_000_000).cast("long")), F.count(c), 10 ** (6 - digits)
+    return F.when(n > 0, F.call_function("div", 2 * total + n * unit, 2 * n * unit) / float(10**digits))

@@ -24,7 +24,7 @@ PAIRS = [
 def library_stats(cat: Catalog) -> DataFrame:
     """One row: songs, durations, artists, storage, span of years."""
     songs = cat.songs.agg(
-        _n().alias("songs"), F.sum("duration_sec").cast("long").alias("total_sec"), F.round(F.avg("duration_sec"), 2).alias("avg_sec"), F.min("duration_sec").alias("min_sec"), F.max("duration_sec").alias("max_sec"),
+        _n().alias("songs"), F.sum("duration_sec").cast("long").alias("total_sec"), X.mean("duration_sec", 2).alias("avg_sec"), F.min("duration_sec").alias("min_sec"), F.max("duration_sec").alias("max_sec"),
         F.min(F.when(F.col("release_year") >= 1900, F.col("release_year"))).alias("first_year"), F.max(F.when(F.col("release_year") >= 1900, F.col("release_year"))).alias("last_year"),
         F.min_by("sha_id", F.struct(-F.col("duration_sec"), "sha_id")).alias("longest_song"), F.min_by("sha_id", F.struct("duration_sec", "sha_id")).alias("shortest_song"),
     )
@@ -63,7 +63,7 @@ def audio_feature_stats(cat: Catalog) -> DataFrame:
     """Least, most, mean and median of each feature over songs with bpm or energy."""
     some = cat.audio_features.where("bpm IS NOT NULL OR energy IS NOT NULL")
     long = some.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in FEATURES])).alias("x")).select("x.*").where("v IS NOT NULL")
-    return long.groupBy("feature").agg(F.min("v").alias("min"), F.max("v").alias("max"), F.round(F.avg("v"), 4).alias("avg"), F.percentile("v", 0.5).alias("median"))
+    return long.groupBy("feature").agg(F.min("v").alias("min"), F.max("v").alias("max"), X.mean("v", 4).alias("avg"), F.percentile("v", 0.5).alias("median"))
 
 
 def audio_feature_histogram(cat: Catalog) -> DataFrame:
@@ -102,7 +102,7 @@ def key_distribution(cat: Catalog) -> DataFrame:
 
 def mood_distribution(cat: Catalog) -> DataFrame:
     """Songs by primary mood with mean energy, danceability and tempo, and by secondary mood, each with its share."""
-    mean = lambda c: F.round(F.avg(c), 1).alias(f"avg_{c}")
+    mean = lambda c: X.mean(c, 1).alias(f"avg_{c}")
     one = cat.audio_features.where("mood_primary IS NOT NULL").groupBy(F.col("mood_primary").alias("mood")).agg(_n().alias("songs"), mean("energy"), mean("danceability"), mean("bpm"))
     two = cat.audio_features.where("mood_secondary IS NOT NULL").groupBy(F.col("mood_secondary").alias("mood")).agg(_n().alias("songs"))
     share = lambda df, kind: df.crossJoin(df.agg(F.sum("songs").alias("total"))).withColumn("percentage", X.percent("songs", "total")).withColumn("kind", F.lit(kind)).drop("total")

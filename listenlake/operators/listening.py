@@ -29,7 +29,7 @@ def overview(cat: Catalog, period: str, as_of: datetime) -> DataFrame:
     plays = _plays(cat, period, as_of)
     base = plays.agg(
         _n().alias("total_plays"), F.count_if("completed").cast("long").alias("completed_plays"), F.count_distinct("sha_id").alias("unique_songs"),
-        _sum_ms().alias("total_duration_ms"), F.coalesce(F.round(F.avg("completion_percent"), 2), F.lit(0.0)).alias("avg_completion"),
+        _sum_ms().alias("total_duration_ms"), F.coalesce(X.mean("completion_percent", 2), F.lit(0.0)).alias("avg_completion"),
     )
     songs = plays.select("sha_id").distinct()
     artists = songs.join(cat.song_artists, "sha_id").agg(F.count_distinct("artist_id").alias("unique_artists"))
@@ -45,7 +45,7 @@ def overview(cat: Catalog, period: str, as_of: datetime) -> DataFrame:
 
 def top_songs(cat: Catalog, period: str, as_of: datetime, limit: int = 10) -> DataFrame:
     """Most played songs with their primary artist."""
-    joined = cat.with_primary(_plays(cat, period, as_of).groupBy("sha_id").agg(_n().alias("play_count"), _sum_ms().alias("total_duration_ms"), F.round(F.avg("completion_percent"), 2).alias("avg_completion")))
+    joined = cat.with_primary(_plays(cat, period, as_of).groupBy("sha_id").agg(_n().alias("play_count"), _sum_ms().alias("total_duration_ms"), X.mean("completion_percent", 2).alias("avg_completion")))
     named = joined.join(cat.songs.select("sha_id", "title", "album", "duration_sec"), "sha_id")
     return named.orderBy(F.desc("play_count"), F.desc("total_duration_ms"), "sha_id", "artist").limit(limit).select("sha_id", "title", "artist", "album", "duration_sec", "play_count", "total_duration_ms", "avg_completion")
 

@@ -103,7 +103,7 @@ def listening_stats(cat: Catalog, unit: str) -> DataFrame:
     """Plays, completions, skips, songs, time and mean completion by day, week or month."""
     return cat.play_sessions.groupBy(F.to_date(F.date_trunc(unit, "started_at")).alias("bucket")).agg(
         _n().alias("plays"), F.count_if("completed").cast("long").alias("completed"), F.count_if("skipped").cast("long").alias("skips"), F.count_distinct("sha_id").alias("unique_songs"),
-        F.sum("duration_played_ms").cast("long").alias("duration_ms"), F.round(F.avg("completion_percent"), 2).alias("avg_completion"),
+        F.sum("duration_played_ms").cast("long").alias("duration_ms"), X.mean("completion_percent", 2).alias("avg_completion"),
     )
 
 

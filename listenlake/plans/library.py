@@ -19,7 +19,7 @@ def add(name, f, sql=None, *tables):
 _LONG = " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS v FROM audio_features" for f in L.FEATURES)
 
 add("a09_library_stats", L.library_stats, """
-SELECT count(*) AS songs, CAST(sum(duration_sec) AS BIGINT) AS total_sec, round(avg(duration_sec), 2) AS avg_sec, min(duration_sec) AS min_sec, max(duration_sec) AS max_sec, min(release_year) AS first_year, max(release_year) AS last_year,
+SELECT count(*) AS songs, CAST(sum(duration_sec) AS BIGINT) AS total_sec, mean(duration_sec, 2) AS avg_sec, min(duration_sec) AS min_sec, max(duration_sec) AS max_sec, min(release_year) AS first_year, max(release_year) AS last_year,
  (SELECT sha_id FROM songs ORDER BY duration_sec DESC, sha_id LIMIT 1) AS longest_song, (SELECT sha_id FROM songs ORDER BY duration_sec, sha_id LIMIT 1) AS shortest_song,
  (SELECT count(DISTINCT artist_id) FROM song_artists) AS artists, (SELECT CAST(sum(file_size) AS BIGINT) FROM song_files) AS storage_bytes,
  (SELECT artist_id FROM song_artists GROUP BY 1 ORDER BY count(DISTINCT sha_id) DESC, 1 LIMIT 1) AS most_prolific, (SELECT CASE WHEN b < 1024 THEN CAST(b AS BIGINT) || ' B' WHEN b < 1048576 THEN format('{:.1f} KB', b / 1024.0) WHEN b < 1073741824 THEN format('{:.1f} MB', b / 1048576.0) ELSE format('{:.2f} GB', b / 1073741824.0) END FROM (SELECT sum(file_size) AS b FROM song_files)) AS storage FROM songs""", S, "song_artists", "song_files")
@@ -31,14 +31,14 @@ WITH f AS (SELECT s.*, a.sha_id IS NOT NULL AS has FROM songs s LEFT JOIN audio_
  x AS (SELECT 'verified' AS dimension, 'true' AS value, count(*) FILTER (verified) AS songs, count(*) AS t FROM f UNION ALL SELECT 'with_features', 'true', count(*) FILTER (has), count(*) FROM f UNION ALL SELECT 'with_year', 'true', count(release_year), count(*) FROM f
   UNION ALL SELECT 'with_album', 'true', count(*) FILTER (album <> ''), count(*) FROM f UNION ALL SELECT 'source', value, n, (SELECT sum(n) FROM src) FROM src)
 SELECT dimension, value, CAST(songs AS BIGINT) AS songs, round(songs * 100.0 / t, 1) AS percentage FROM x""", S, A, "song_files")
-add("a12_feature_stats", L.audio_feature_stats, f"WITH l AS ({_LONG}) SELECT feature, min(v) AS min, max(v) AS max, round(avg(v), 4) AS avg, quantile_cont(v, 0.5) AS median FROM l WHERE v IS NOT NULL GROUP BY 1", A)
+add("a12_feature_stats", L.audio_feature_stats, f"WITH l AS ({_LONG}) SELECT feature, min(v) AS min, max(v) AS max, mean(v, 4) AS avg, quantile_cont(v, 0.5) AS median FROM l WHERE v IS NOT NULL GROUP BY 1", A)
 add("a12_feature_histogram", L.audio_feature_histogram, f"""WITH l AS ({_LONG}) SELECT feature, CASE WHEN feature = 'bpm' THEN CASE WHEN v < 80 THEN '60-80' WHEN v < 100 THEN '80-100' WHEN v < 120 THEN '100-120' WHEN v < 140 THEN '120-140' WHEN v < 160 THEN '140-160' ELSE '160+' END
  ELSE CASE WHEN v < 20 THEN '0-20' WHEN v < 40 THEN '20-40' WHEN v < 60 THEN '40-60' WHEN v < 80 THEN '60-80' ELSE '80-100' END END AS bin, count(*) AS songs FROM l WHERE v IS NOT NULL GROUP BY 1, 2""", A)
 add("a13_correlations", L.feature_correlations, " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, round(corr({x}, {y}), 3) AS r FROM audio_features" for x, y in L.PAIRS), A)
 add("a13_sample", L.feature_sample)
 add("a14_keys", L.key_distribution, f"WITH k AS (SELECT [{', '.join(repr(p) for p in PITCHES)}][pitch_class + 1] AS key, key_mode AS mode, count(*) AS songs FROM audio_features GROUP BY 1, 2) SELECT *, round(songs * 100.0 / (SELECT sum(songs) FROM k), 1) AS percentage, CAST(sum(songs) OVER (PARTITION BY mode) AS BIGINT) AS mode_songs FROM k", A)
 add("a15_moods", L.mood_distribution, """
-WITH a AS (SELECT mood_primary AS mood, count(*) AS songs, round(avg(energy), 1) AS avg_energy, round(avg(danceability), 1) AS avg_danceability, round(avg(bpm), 1) AS avg_bpm, 'primary' AS kind FROM audio_features GROUP BY 1
+WITH a AS (SELECT mood_primary AS mood, count(*) AS songs, mean(energy, 1) AS avg_energy, mean(danceability, 1) AS avg_danceability, mean(bpm, 1) AS avg_bpm, 'primary' AS kind FROM audio_features GROUP BY 1
  UNION ALL SELECT mood_secondary, count(*), NULL, NULL, NULL, 'secondary' FROM audio_features WHERE mood_secondary IS NOT NULL GROUP BY 1)
 SELECT *, round(songs * 100.0 / sum(songs) OVER (PARTITION BY kind), 1) AS percentage FROM a""", A)
 add("a24_recently_added", lambda c: L.recently_added(c, AS_OF, 30, 50), """

@@ -23,14 +23,14 @@ _STREAK = """d AS (SELECT DISTINCT CAST(started_at AS DATE) AS d FROM play_sessi
 add("a01_overview", lambda c: L.overview(c, "month", AS_OF), f"""
 WITH p AS (SELECT * FROM play_sessions WHERE {MONTH}), {_STREAK}
 SELECT count(*) AS total_plays, count(*) FILTER (completed) AS completed_plays, count(DISTINCT sha_id) AS unique_songs, {_MS} AS total_duration_ms,
- round(avg(completion_percent), 2) AS avg_completion,
+ mean(completion_percent, 2) AS avg_completion,
  (SELECT count(DISTINCT artist_id) FROM p JOIN song_artists USING (sha_id)) AS unique_artists,
  (SELECT count(DISTINCT album) FROM p JOIN songs USING (sha_id)) AS unique_albums,
  (SELECT d FROM (SELECT CAST(started_at AS DATE) AS d, count(*) AS n FROM p GROUP BY 1) ORDER BY n DESC, d LIMIT 1) AS most_active_day,
  (SELECT coalesce(max(n), 0) FROM isl WHERE b >= DATE '2024-01-30') AS current_streak, (SELECT coalesce(max(n), 0) FROM isl) AS longest_streak,
  round(count(*) / 30.0, 1) AS plays_per_day FROM p""", P, S, "song_artists")
 add("a02_top_songs", lambda c: L.top_songs(c, "month", AS_OF), f"""
-SELECT p.sha_id, title, coalesce(artist, 'Unknown Artist') AS artist, album, duration_sec, count(*) AS play_count, {_MS} AS total_duration_ms, round(avg(completion_percent), 2) AS avg_completion
+SELECT p.sha_id, title, coalesce(artist, 'Unknown Artist') AS artist, album, duration_sec, count(*) AS play_count, {_MS} AS total_duration_ms, mean(completion_percent, 2) AS avg_completion
 FROM play_sessions p JOIN songs s ON p.sha_id = s.sha_id LEFT JOIN primary_artist a ON p.sha_id = a.sha_id WHERE {MONTH}
 GROUP BY p.sha_id, title, 3, album, duration_sec, a.artist_id ORDER BY play_count DESC, total_duration_ms DESC, p.sha_id, 3 LIMIT 10""", P, S)
 add("a03_top_artists", lambda c: L.top_artists(c, "month", AS_OF), f"""
@@ -114,7 +114,7 @@ add("a23_daily_activity", lambda c: L.daily_activity(c, AS_OF, 30), """
 WITH s AS (SELECT DATE '2024-01-02' + CAST(i AS INT) AS day FROM range(30) t(i)), p AS (SELECT CAST(started_at AS DATE) AS day, count(*) AS n FROM play_sessions GROUP BY 1), a AS (SELECT CAST(created_at AS DATE) AS day, count(*) AS n FROM songs GROUP BY 1)
 SELECT s.day, coalesce(p.n, 0) AS plays, coalesce(a.n, 0) AS additions FROM s LEFT JOIN p ON s.day = p.day LEFT JOIN a ON s.day = a.day""", P, S)
 add("a33_personality", lambda c: L.personality(c, "month", AS_OF), f"""
-WITH p AS (SELECT * FROM play_sessions WHERE {MONTH}), o AS (SELECT count(*) AS total_plays, (SELECT count(DISTINCT artist_id) FROM p JOIN song_artists USING (sha_id)) AS unique_artists, round(avg(completion_percent), 2) AS avg_completion FROM p),
+WITH p AS (SELECT * FROM play_sessions WHERE {MONTH}), o AS (SELECT count(*) AS total_plays, (SELECT count(DISTINCT artist_id) FROM p JOIN song_artists USING (sha_id)) AS unique_artists, mean(completion_percent, 2) AS avg_completion FROM p),
  v AS (SELECT *, round(unique_artists * 100.0 / greatest(total_plays, 1), 2) AS variety FROM o)
 SELECT *, CASE WHEN variety > 60 THEN 'The Explorer' WHEN variety < 25 AND avg_completion > 70 THEN 'The Devotee' WHEN avg_energy > 0.7 AND avg_danceability > 0.6 THEN 'The Energizer' WHEN avg_energy < 0.4 THEN 'The Chill Seeker'
  WHEN avg_completion > 85 THEN 'The Completionist' WHEN avg_completion < 50 AND total_plays > 100 THEN 'The Sampler' ELSE 'The Balanced Listener' END AS listener_type

@@ -23,7 +23,7 @@ def add(name, f, sql=None, *tables):
 
 
 for _name, _unit in (("m01_daily", "day"), ("m02_weekly", "week"), ("m03_monthly", "month")):
-    add(_name, lambda c, u=_unit: M.listening_stats(c, u), f"SELECT CAST(date_trunc('{_unit}', started_at) AS DATE) AS bucket, count(*) AS plays, count(*) FILTER (completed) AS completed, count(*) FILTER (skipped) AS skips, count(DISTINCT sha_id) AS unique_songs, CAST(sum(duration_played_ms) AS BIGINT) AS duration_ms, round(avg(completion_percent), 2) AS avg_completion FROM play_sessions GROUP BY 1", P)
+    add(_name, lambda c, u=_unit: M.listening_stats(c, u), f"SELECT CAST(date_trunc('{_unit}', started_at) AS DATE) AS bucket, count(*) AS plays, count(*) FILTER (completed) AS completed, count(*) FILTER (skipped) AS skips, count(DISTINCT sha_id) AS unique_songs, CAST(sum(duration_played_ms) AS BIGINT) AS duration_ms, mean(completion_percent, 2) AS avg_completion FROM play_sessions GROUP BY 1", P)
 add("m04_top_songs_monthly", M.top_songs_monthly, "WITH x AS (SELECT CAST(date_trunc('month', started_at) AS DATE) AS month, sha_id, count(*) AS plays, CAST(sum(duration_played_ms) AS BIGINT) AS duration_ms FROM play_sessions GROUP BY 1, 2) SELECT month, x.sha_id, title, coalesce(artist, 'Unknown Artist') AS artist, plays, duration_ms FROM x JOIN songs s ON s.sha_id = x.sha_id LEFT JOIN primary_artist a ON a.sha_id = x.sha_id", P, S)
 add("m06_songs_with_features", M.songs_with_features, "SELECT s.*, a.* EXCLUDE (sha_id) FROM songs s LEFT JOIN audio_features a ON s.sha_id = a.sha_id", S, "audio_features")
 add("m07_artist_variants", lambda c: M.artist_variants(c.artists), "WITH v AS (SELECT artist_id, name, unnest(list_distinct([lower(trim(name)), replace(lower(trim(name)), ' ', ''), CASE WHEN lower(trim(name)) LIKE 'the %' THEN substr(lower(trim(name)), 5) ELSE lower(trim(name)) END])) AS n FROM artists) SELECT n AS normalized_name, max(artist_id) AS artist_id, arg_max(name, artist_id) AS canonical_name FROM v GROUP BY 1", "artists")
