@@ -19,11 +19,6 @@ def clip(c: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
 
-def energy(rms: Column, centroid: Column, flux: Column, dynamics: Column) -> Column:
-    """Energy 0..100 of four shares: loudness 0.4, brightness 0.3, change 0.2, dynamics 0.1."""
-    return clip(100 * (0.4 * rms + 0.3 * centroid + 0.2 * flux + 0.1 * dynamics))
-
-
 def camelot(pitch: Column, minor: Column) -> Column:
     """Camelot code of a pitch class and mode."""
     at = lambda tonic: (((pitch - tonic) * 7 + 7) % 12 + 12) % 12 + 1

@@ -127,11 +127,3 @@ def known_filenames(names: DataFrame, artists: DataFrame, key: str = "sha_id", n
     best = found.where("artist IS NOT NULL").select("text", "artist", F.lit(1.0).alias("similarity")).union(close)
     known = texts.join(best, "text").groupBy("file").agg(F.collect_list(F.struct("text", "artist", "similarity")).alias("known"))
     return asked.join(known, "file", "left").select(key, F.explode(_parsed_with("file", "known")).alias("g")).select(key, "g.*")
-
-
-def match_score(score: Column, title: Column, artist: Column, duration_fits: Column) -> Column:
-    """A recording match's total: 0.3 of the source's score, 25 of title and 45 of artist similarity (0.5, 40 and 10 if the artist is unknown), 5 for a fitting duration; null under the gates."""
-    known = artist.isNotNull()
-    total = F.when(known, 0.3 * score + 25 * title + 45 * artist).otherwise(0.5 * score + 40 * title) + F.when(duration_fits, 5).otherwise(0)
-    gate = (score >= 75) & F.when(known, (title >= 0.72) & (artist >= 0.6)).otherwise(title >= 0.85)
-    return F.when(gate, total)
