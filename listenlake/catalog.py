@@ -39,6 +39,8 @@ TESTDATA = {
          p_type AS mood_primary, CASE WHEN p_partkey % 4 = 0 THEN p_brand END AS mood_secondary,
          CAST(p_partkey % 700 AS INT) AS analysis_duration_ms,
          CASE WHEN p_partkey % 50 = 0 THEN 'decode failed' END AS error_message FROM part WHERE p_partkey % 9 <> 0""",
+    "play_events": """SELECT CAST(event_id AS STRING) AS event_id, CAST(user_id AS STRING) AS session_id, event_type, CAST(floor(value * 1000) AS INT) AS position_ms,
+         ts AS timestamp FROM events WHERE event_id % 3 <> 0""",
     "vectors": "SELECT CAST(vec_id AS STRING) AS sha_id, embedding AS vector FROM embeddings",
     "download_queue": """SELECT o_orderkey AS queue_id, 'Song ' || CAST(o_custkey AS STRING) AS title,
          CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'Artist ' || CAST(o_custkey % 40 AS STRING) END AS artist,

@@ -19,14 +19,14 @@ def artist_arrays(cat: Catalog) -> DataFrame:
     return by.select("sha_id", F.col("a.name").alias("artists"), F.col("a.artist_id").alias("artist_ids"))
 
 
-def _first_primary(cat: Catalog) -> DataFrame:
+def first_primary(cat: Catalog) -> DataFrame:
     """One primary artist a song, the one with the least id."""
     return cat.primary.groupBy("sha_id").agg(F.min_by("artist", "artist_id").alias("primary_artist"))
 
 
 def with_details(cat: Catalog, songs: DataFrame) -> DataFrame:
     """Songs with their artists in order (none: empty) and album id."""
-    out = songs.join(artist_arrays(cat), "sha_id", "left").join(_first_primary(cat), "sha_id", "left")
+    out = songs.join(artist_arrays(cat), "sha_id", "left").join(first_primary(cat), "sha_id", "left")
     return out.select("*", X.album_id("album", "primary_artist").alias("album_id")).select(
         "sha_id", "title", "album", F.array_join(F.coalesce("artists", F.array().cast("array<string>")), ", ").alias("artists"), "album_id", "release_year", "created_at"
     )
@@ -36,8 +36,17 @@ def _has_artist(cat: Catalog, where: Column) -> DataFrame:
     return cat.song_artists.join(cat.artists, "artist_id").where(where).select("sha_id").distinct()
 
 
-def search(cat: Catalog, q: str | None = None, genre: str | None = None, artist_id: int | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Songs by text in title, album or any artist's name, by genre and by artist, all of which must hold; by title, then id."""
+def search(cat: Catalog, q: str | None = None, genre: str | None = None, artist_id: int | None = None, limit: int = 50, offset: int = 0, album_id: str | None = None) -> DataFrame:
+    """Songs by text in title, album or any artist's name, by genre, artist and album, all of which must hold; by title, then id."""
+    return with_details(cat, _found(cat, q, genre, artist_id, album_id).orderBy("title", "sha_id").offset(offset).limit(limit))
+
+
+def search_total(cat: Catalog, q: str | None = None, genre: str | None = None, artist_id: int | None = None, album_id: str | None = None) -> DataFrame:
+    """How many songs :func:`search` has on all its pages."""
+    return _found(cat, q, genre, artist_id, album_id).agg(_n().alias("total"))
+
+
+def _found(cat: Catalog, q: str | None, genre: str | None, artist_id: int | None, album_id: str | None) -> DataFrame:
     out = cat.songs
     if q:
         hit = _has_artist(cat, F.col("name").ilike(f"%{q}%")).withColumn("__hit", F.lit(True))
@@ -47,7 +56,10 @@ def search(cat: Catalog, q: str | None = None, genre: str | None = None, artist_
         out = out.join(cat.song_genres.where(F.col("genre").ilike(f"%{genre}%")).select("sha_id"), "sha_id", "left_semi")
     if artist_id is not None:
         out = out.join(cat.song_artists.where(F.col("artist_id") == artist_id).select("sha_id"), "sha_id", "left_semi")
-    return with_details(cat, out.orderBy("title", "sha_id").offset(offset).limit(limit))
+    if album_id is not None:
+        named = out.where("album <> ''").join(first_primary(cat), "sha_id")
+        out = out.join(named.where(X.album_id("album", "primary_artist") == album_id).select("sha_id"), "sha_id", "left_semi")
+    return out
 
 
 def newest(cat: Catalog, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -65,7 +77,7 @@ def artists(cat: Catalog, q: str | None = None) -> DataFrame:
 
 def albums(cat: Catalog) -> DataFrame:
     """Albums by title and primary artist: songs, first year, total duration."""
-    named = cat.songs.where("album <> ''").join(_first_primary(cat), "sha_id").withColumn("album_id", X.album_id("album", "primary_artist"))
+    named = cat.songs.where("album <> ''").join(first_primary(cat), "sha_id").withColumn("album_id", X.album_id("album", "primary_artist"))
     return named.groupBy("album_id").agg(F.min("album").alias("album"), F.max("primary_artist").alias("artist"), F.min("release_year").alias("release_year"), _n().alias("songs"), F.sum("duration_sec").cast("long").alias("duration_sec"))
 
 
@@ -109,6 +121,30 @@ def queue_by_status(cat: Catalog) -> DataFrame:
     return cat.download_queue.groupBy("status").agg(_n().alias("n"))
 
 
+def library_counts(cat: Catalog) -> DataFrame:
+    """One row: songs, artists with songs, named albums, genres, files and vectors."""
+    one = lambda df, c, name: df.agg(F.count_distinct(c).alias(name))
+    out = cat.songs.agg(_n().alias("songs"))
+    for df, c, name in (
+        (cat.song_artists, "artist_id", "artists"), (cat.songs.where("album <> ''"), "album", "albums"), (cat.song_genres, "genre", "genres"),
+        (cat.song_files, "sha_id", "with_files"), (cat.vectors, "sha_id", "with_vectors"),
+    ):
+        out = out.crossJoin(one(df, c, name))  # one row each
+    return out
+
+
+def image_candidates(cat: Catalog, limit: int = 100) -> DataFrame:
+    """Verified songs to find cover images for: those with a release's id first, then the longest unchanged."""
+    songs = cat.songs.where("verified")
+    return songs.join(first_primary(cat), "sha_id", "left").orderBy(F.when(F.col("release_id").isNotNull(), 0).otherwise(1), "updated_at", "sha_id").limit(limit).select("sha_id", "title", "album", "release_id", F.col("primary_artist").alias("artist"))
+
+
+def artist_profiles(cat: Catalog, profiles: DataFrame) -> DataFrame:
+    """Artists with the identity that a profile of their name gives (artist_name, profile_json), null without one; of several the least."""
+    ids = profiles.select(F.col("artist_name").alias("name"), F.get_json_object("profile_json", "$.artist.id").alias("external_id"))
+    return cat.artists.select("artist_id", "name").join(ids.groupBy("name").agg(F.min("external_id").alias("external_id")), "name", "left").select("artist_id", "name", "external_id")
+
+
 def queue(cat: Catalog, statuses: list[str], limit: int = 100) -> DataFrame:
     """Queue entries in some states, the latest first."""
     return cat.download_queue.where(F.col("status").isin(statuses)).orderBy(F.desc("created_at"), "queue_id").limit(limit)
@@ -139,13 +175,13 @@ def popular_albums(cat: Catalog, limit: int = 10) -> DataFrame:
 
 def album_songs(cat: Catalog, album_id: str) -> DataFrame:
     """An album's songs by track."""
-    named = cat.songs.join(_first_primary(cat), "sha_id").where(X.album_id("album", "primary_artist") == album_id)
+    named = cat.songs.join(first_primary(cat), "sha_id").where(X.album_id("album", "primary_artist") == album_id)
     return named.orderBy(F.col("track_number").asc_nulls_last(), "title", "sha_id").select("sha_id", "title", "track_number", "duration_sec")
 
 
 def album_pages(cat: Catalog) -> DataFrame:
     """Every album's songs with their places by track (unknown last), title and id; an album is a small group."""
-    named = cat.songs.where("album <> ''").join(_first_primary(cat), "sha_id").withColumn("album_id", X.album_id("album", "primary_artist"))
+    named = cat.songs.where("album <> ''").join(first_primary(cat), "sha_id").withColumn("album_id", X.album_id("album", "primary_artist"))
     order = Window.partitionBy("album_id").orderBy(F.col("track_number").asc_nulls_last(), "title", "sha_id")
     return named.select("album_id", F.row_number().over(order).alias("position"), "sha_id", "title", "track_number", "duration_sec")
 

@@ -179,8 +179,21 @@ def seed_ranking(cat: Catalog, what: str, limit: int = 20) -> DataFrame:
 
 
 def data_summary(cat: Catalog) -> DataFrame:
-    """Plays, their span, and an estimate of the space they take (200 bytes a play)."""
-    return cat.play_sessions.agg(_n().alias("sessions"), F.min("started_at").alias("oldest"), F.max("started_at").alias("newest"), F.round(_n() * 200 / 1024, 2).alias("estimated_kb"))
+    """Plays, their span, events, and an estimate of the space that both take (200 bytes a play, 100 an event)."""
+    plays = cat.play_sessions.agg(_n().alias("sessions"), F.min("started_at").alias("oldest"), F.max("started_at").alias("newest"))
+    kb = (F.col("sessions") * 200 + F.col("events") * 100) / 1024
+    return plays.crossJoin(cat.play_events.agg(_n().alias("events"))).withColumn("estimated_kb", F.round(kb, 2))  # one row each
+
+
+def context_preferences(cat: Catalog, as_of: datetime, days: int = 30) -> DataFrame:
+    """Plays of each song in each context of the last days; a context that isn't known is 'unknown'."""
+    plays = cat.play_sessions.where(within("started_at", as_of - timedelta(days=days), as_of))
+    return plays.groupBy(F.coalesce("context_type", F.lit("unknown")).alias("context"), "sha_id").agg(_n().alias("plays"))
+
+
+def songs_by_year(cat: Catalog) -> DataFrame:
+    """Songs and their time by release year."""
+    return cat.songs.where("release_year IS NOT NULL").groupBy("release_year").agg(_n().alias("songs"), F.sum("duration_sec").cast("long").alias("total_sec"))
 
 
 def behaviour_signals(cat: Catalog, as_of: datetime, days: int = 30, least: int = 3) -> DataFrame:

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from listenlake.catalog import PITCHES, Catalog
+from listenlake.operators.windows import positions
 
 MAX_CONDITIONS, MAX_DEPTH, COMPLEX = 50, 3, 18
 
@@ -311,9 +312,12 @@ class Compiler:
         name = {"added_at": "created_at", "completion_rate": "avg_completion"}.get(sort_by, sort_by) if sort_by in SORTS else "created_at"
         key = F.rand(seed) if name == "random" else F.coalesce(name, F.lit(0)) if name in ("release_year", "duration_sec") else F.col(name)
         keys = [key.asc_nulls_last() if str(order).lower() == "asc" else key.desc_nulls_last(), F.col("sha_id")]
-        if limit:
-            out = out.orderBy(*keys).limit(limit)
-        numbered = out.withColumn("position", F.row_number().over(Window.orderBy(*keys)) - 1)
+        if limit:  # few rows: one task numbers them
+            numbered = out.orderBy(*keys).limit(limit).withColumn("position", F.row_number().over(Window.orderBy(*keys)) - 1)
+        else:
+            ordered = out.withColumn("__key", key)
+            sort = F.col("__key").asc_nulls_last() if str(order).lower() == "asc" else F.col("__key").desc_nulls_last()
+            numbered = positions(ordered, [sort, F.col("sha_id")], "position").drop("__key")
         return numbered.select("position", "sha_id", "title", "artist", "album", "play_count", "skip_count", F.round("avg_completion", 8).alias("avg_completion"))
 
     def count(self, g: Group) -> DataFrame:
@@ -335,8 +339,8 @@ def refresh_all(compiler: Compiler, playlists: list[dict], path: str) -> dict[st
             try:
                 refresh(compiler, p["playlist_id"], p["rules"], path, sort_by=p.get("sort_by", "added_at"), order=p.get("sort_order", "desc"), limit=p.get("limit_count"))
                 out[p["playlist_id"]] = "ok"
-            except RuleError as e:
-                out[p["playlist_id"]] = str(e)
+            except Exception as e:  # noqa: BLE001  whatever fails in one playlist is its own
+                out[p["playlist_id"]] = str(e) or type(e).__name__
     return out
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from listenlake.catalog import Catalog
 from listenlake.functions import exprs as X
 from listenlake.functions.period import within
-from listenlake.operators.browse import _first_primary
+from listenlake.operators.browse import first_primary
 
 METRICS = ("cosine", "euclidean", "dot")
 ALBUM_CAP, ARTIST_CAP, OVERFETCH = 3, 5, 3
@@ -99,7 +99,7 @@ def diversify(candidates: DataFrame, limit: int, album_cap: int = ALBUM_CAP, art
 
 
 def _named(cat: Catalog, found: DataFrame, seed: str) -> DataFrame:
-    own = found.join(cat.songs.select("sha_id", "album"), "sha_id").join(_first_primary(cat), "sha_id", "left")
+    own = found.join(cat.songs.select("sha_id", "album"), "sha_id").join(first_primary(cat), "sha_id", "left")
     return own.select(F.lit(seed).alias("seed"), "sha_id", "score", X.album_id("album", "primary_artist").alias("album_id"), F.col("primary_artist").alias("artist"))
 
 

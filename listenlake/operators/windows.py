@@ -7,10 +7,24 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window, functions as F
 
 from listenlake.catalog import Catalog
+from listenlake.runtime import materialize
 
 GAP = timedelta(minutes=30)
 
 
+def positions(df: DataFrame, keys: list, name: str) -> DataFrame:
+    """``df`` with 0-based places in the order of ``keys``, numbered in parallel.
+
+    Rows are written in ranges of the keys; each range numbers its own from the sum of the ranges before it.
+    """
+    ranged = df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
+    stored = materialize(ranged, "positions")
+    sizes = stored.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # a row a range
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*keys)) - 1
+    return stored.withColumn("__own", own).join(before, "__part").withColumn(name, (F.col("__before") + F.col("__own")).cast("int")).drop("__part", "__own", "__before")
+
+
 def listening_sessions(plays: DataFrame, by_user: bool = True, gap: timedelta = GAP) -> DataFrame:
     """Runs of plays whose pauses are no longer than ``gap``, measured from the previous play's end (start, if it has none).
 

@@ -70,7 +70,11 @@ SELECT (SELECT count(*) FROM songs WHERE created_at >= TIMESTAMP '2024-01-24' AN
  (SELECT count(*) FILTER (m >= TIMESTAMP '2024-01-24') FROM (SELECT min(t) AS m FROM f JOIN song_genres USING (sha_id) GROUP BY genre)) AS new_genres, (SELECT count(*) FROM f WHERE t >= TIMESTAMP '2024-01-24') AS first_listens""", P, S, "song_artists", "song_genres")
 for _w, _sql, _t in (("genre", "SELECT genre AS seed, count(DISTINCT sha_id) AS songs FROM song_genres", "song_genres"), ("artist", "SELECT name AS seed, count(DISTINCT sha_id) AS songs FROM song_artists JOIN artists USING (artist_id)", "song_artists"), ("album", "SELECT album AS seed, count(DISTINCT sha_id) AS songs FROM songs WHERE album <> ''", "songs")):
     add(f"a31_seed_{_w}s", lambda c, w=_w: L.seed_ranking(c, w), f"{_sql} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", _t, "artists")
-add("a32_data_summary", L.data_summary, "SELECT count(*) AS sessions, min(started_at) AS oldest, max(started_at) AS newest, round(count(*) * 200 / 1024, 2) AS estimated_kb FROM play_sessions", P)
+add("a32_data_summary", L.data_summary, """
+WITH e AS (SELECT count(*) AS events FROM play_events), s AS (SELECT count(*) AS sessions, min(started_at) AS oldest, max(started_at) AS newest FROM play_sessions)
+SELECT sessions, oldest, newest, events, round((sessions * 200 + events * 100) / 1024, 2) AS estimated_kb FROM s, e""", P, "play_events")
+add("a34_contexts", lambda c: L.context_preferences(c, AS_OF), f"SELECT coalesce(context_type, 'unknown') AS context, sha_id, count(*) AS plays FROM play_sessions WHERE {MONTH} GROUP BY 1, 2", P)
+add("a09_years", L.songs_by_year, "SELECT release_year, count(*) AS songs, CAST(sum(duration_sec) AS BIGINT) AS total_sec FROM songs WHERE release_year IS NOT NULL GROUP BY 1", "songs")
 add("a34_signals", lambda c: L.behaviour_signals(c, AS_OF), f"""
 SELECT sha_id, count(*) AS plays, count(*) FILTER (skipped OR completion_percent < 30) AS skips, count(*) FILTER (completed OR completion_percent >= 80) AS completions, max(started_at) AS last_played, count(*) >= 3 AS frequent, count(*) FILTER (skipped OR completion_percent < 30) >= 2 AS often_skipped FROM play_sessions WHERE {MONTH} GROUP BY 1""", P)
 add("a35_preference", lambda c: L.implicit_preference(c, AS_OF), """

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 
-from listenlake.plans import browse, library, listening, resolve, rules, scores, tables
+from listenlake.plans import browse, library, listening, playlists, resolve, rules, scores, tables
 
-_MODULES = (listening, library, rules, browse, tables, resolve, scores)
+_MODULES = (listening, library, rules, browse, tables, resolve, scores, playlists)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 
 

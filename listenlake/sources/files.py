@@ -52,9 +52,9 @@ def segments(vectors: DataFrame, hop: float = 0.48, frame: float = 0.96) -> Data
     return rows.select("sha_id", "vector", F.round(F.col("i") * hop, 6).alias("segment_start_sec"), F.round(F.col("i") * hop + frame, 6).alias("segment_end_sec"))
 
 
-def export(df: DataFrame, path: str, kind: str = "csv", limit: int = 100_000) -> None:
-    """At most ``limit`` rows as CSV with a header or as JSON lines, times in ISO form."""
-    out = df.limit(limit)
+def export(df: DataFrame, path: str, kind: str = "csv", limit: int = 100_000, order: list | None = None) -> None:
+    """The first ``limit`` rows in an order (that of all columns, if none is given) as CSV with a header or as JSON lines, times in ISO form."""
+    out = df.orderBy(*(order or df.columns)).limit(limit)
     writer = out.write.mode("overwrite").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss")
     writer.option("header", True).csv(path) if kind == "csv" else writer.json(path)
 

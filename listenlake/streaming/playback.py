@@ -51,9 +51,9 @@ def _stateful(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) ->
         return
     state = tuple(group.get) if group.exists else None
     ended = state is not None and state[2] is not None
-    for pdf in batches:
-        for e in pdf.sort_values(["timestamp", "event_id"]).itertuples():
-            state = step(state, e)
+    chunks = list(batches)  # one session's events of one trigger, which may come in several chunks
+    for e in pd.concat(chunks).sort_values(["timestamp", "event_id"]).itertuples() if chunks else ():
+        state = step(state, e)
     if state is not None:
         group.update(state)
         group.setTimeoutTimestamp(max(group.getCurrentWatermarkMs() + 1, state[1] // 1000 + 6 * 3_600_000))
@@ -116,6 +116,16 @@ def refresh_on_events(events: DataFrame, playlists: dict[str, set[str]], refresh
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
-def live_stats(sessions: DataFrame, window: str = "1 day", late: str = "2 hours") -> DataFrame:
-    """Running plays and time by day from a stream of sessions."""
-    return sessions.withWatermark("started_at", late).groupBy(F.window("started_at", window)).agg(F.count(F.lit(1)).alias("plays"), F.sum("duration_played_ms").alias("duration_ms"), F.approx_count_distinct("sha_id").alias("songs"))
+def of_types(events: DataFrame, types: list[str] | None) -> DataFrame:
+    """Events of some types, stored or streamed; all without a list."""
+    return events.where(F.col("event_type").isin(types)) if types else events
+
+
+def live_overview(changes: DataFrame, overview, show, checkpoint: str, every: str = "30 seconds"):
+    """Start a query that shows the headline figures anew after each micro-batch of plays; ``overview`` makes the one-row frame."""
+
+    def batch(df: DataFrame, _: int) -> None:
+        if not df.isEmpty():
+            show(overview().first().asDict())
+
+    return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
