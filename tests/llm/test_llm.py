@@ -257,6 +257,14 @@ def test_token_counts_and_cache(spark, docs, texts, tmp_path):
     assert first == len(V.byte_bpe(BYTE_BPE).encode(texts[0], add_special_tokens=False).ids)
 
 
+def test_the_piece_models_normaliser_leaves_texts_as_they_are(texts):
+    """Token counts are cached by digests of the texts themselves: these are the texts that the model sees."""
+    sp = V.sentence_pieces(PIECES)
+    for x in [*texts.values(), "ﬁ ① Ｆ\u00a0 e\u0301 é", "tab\there\r\n"]:
+        if x:
+            assert sp.normalize(x).replace("\u2581", " ") == " " + x.replace("\u2581", " ")
+
+
 def test_toxicity_learns_and_scores_odd_rows(spark, docs):
     base = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
     labels = base.select("doc_id", "toxic")
