@@ -12,17 +12,19 @@ from listenlake.runtime import materialize
 GAP = timedelta(minutes=30)
 
 
-def positions(df: DataFrame, keys: list, name: str) -> DataFrame:
+def positions(df: DataFrame, keys: list, name: str, kind: str = "int") -> DataFrame:
     """``df`` with 0-based places in the order of ``keys``, numbered in parallel.
 
-    Rows are written in ranges of the keys; each range numbers its own from the sum of the ranges before it.
+    Rows are written in sorted ranges of the keys, with their places in their own range; the ranges before it add theirs.
     """
-    ranged = df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
     stored = materialize(ranged, "positions")
-    sizes = stored.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # a row a range
+    part, own = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))  # as monotonically_increasing_id is documented
+    sizes = stored.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))  # a row a range
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*keys)) - 1
-    return stored.withColumn("__own", own).join(before, "__part").withColumn(name, (F.col("__before") + F.col("__own")).cast("int")).drop("__part", "__own", "__before")
+    # As many rows as the shuffle has partitions: small enough to broadcast at any size of df.
+    numbered = stored.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return numbered.withColumn(name, (F.col("__before") + own).cast(kind)).drop("__part", "__at", "__before")
 
 
 def listening_sessions(plays: DataFrame, by_user: bool = True, gap: timedelta = GAP) -> DataFrame:
