@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from listenlake.llm.bpe_trie import encode_decode
 from listenlake.llm.decontamination import decontaminate
+from listenlake.llm.importance_resampling import importance_resample, resample_sql
 from listenlake.llm.license_scan import license_digest, license_sql
 from listenlake.llm.line_dedup import dedup_lines
 from listenlake.llm.ngram_jaccard import ngram_jaccard_components
+from listenlake.llm.periodic_runs import periodic_runs
 from listenlake.llm.quality_rules import quality_rules
 from listenlake.llm.secret_scan import secret_digest
 from listenlake.llm.token_counts import token_counts
@@ -74,16 +76,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(_table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard, op2_line_dedup, op3_token_files, op4_token_counts, op5_toxicity,
         op6_quality_rules, op7_warc, op8_bpe_trie, op9_secret_scan, op10_decontamination,
-        op12_license_scan,
+        op11_importance_resampling, op12_license_scan, op13_periodic_runs,
     )
 }
 
@@ -115,4 +125,4 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-ORACLE: dict[str, str] = {"op2_line_dedup": _OP2, "op10_decontamination": _OP10, "op12_license_scan": license_sql()}
+ORACLE: dict[str, str] = {"op2_line_dedup": _OP2, "op10_decontamination": _OP10, "op11_importance_resampling": resample_sql(), "op12_license_scan": license_sql()}

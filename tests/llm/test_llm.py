@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -11,7 +12,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from listenlake.llm import _text as T, _vocab as V, bpe_trie, decontamination as D, line_dedup as L, ngram_jaccard as J, quality_rules as Q, secret_scan as S, token_counts, token_files as R, toxicity as X, warc as W
+from listenlake.llm import _text as T, _vocab as V, bpe_trie, decontamination as D, importance_resampling as IR, license_scan as LS, line_dedup as L, ngram_jaccard as J, periodic_runs as P, quality_rules as Q, secret_scan as S, token_counts, token_files as R, toxicity as X, warc as W
 from listenlake.llm._graph import connected_components
 
 BYTE_BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -842,3 +843,169 @@ def test_queries_match_sql(spark, sf):
     assert [int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES] == list(range(1, 11))
     for name, sql in ORACLE.items():
         check(QUERIES[name](spark, sf), sql, sf)
+
+
+def search_words(x):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(x))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=300), min_size=2, max_size=30))
+def test_checksums_of_joined_words(items):
+    items = [x.replace(b" ", b"_") for x in items]
+    lengths = np.array([len(x) for x in items])
+    starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
+    crc = IR.crc32_of_spans(np.frombuffer(b" ".join(items), np.uint8), starts, starts + lengths)
+    assert crc.tolist() == [zlib.crc32(x) for x in items]
+    spaced = crc ^ IR.moved(np.full(len(crc), IR._SPACE), lengths)
+    assert (IR.moved(crc[:-1], lengths[1:] + 1) ^ spaced[1:]).tolist() == [zlib.crc32(a + b" " + b) for a, b in zip(items, items[1:])]
+
+
+def resampled(rows, target):
+    """Brute force of the importance resampling: (doc_id, n_features, weight, score, rank) of each row."""
+    runs = lambda x: [" ".join(w[i : i + k]) for w in [search_words(x)] for k in (1, 2, 3) for i in range(len(w) - k + 1)]
+    bucket = lambda f: zlib.crc32(f.encode()) % 10_000
+    s, t = collections.Counter(), collections.Counter()
+    for _, x in rows:
+        s.update(bucket(f) for f in runs(x))
+    for x in target:
+        t.update(bucket(f) for f in runs(x))
+    s_all, t_all = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (s_all + 10_000) / ((s[b] + 1) * (t_all + 10_000))))
+    out = []
+    for i, x in rows:
+        weight = sum(gain(bucket(f)) for f in runs(x))
+        h = int(hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append((i, len(runs(x)), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), len(search_words(x)) >= 20))
+    able = sorted((r for r in out if r[4]), key=lambda r: (-r[3], r[0] is None, r[0], r[1:3]))
+    ranks = {r: k + 1 for k, r in reversed(list(enumerate(able[: 5 * len(able) // 100])))}
+    return sorted(((*r[:4], ranks.get(r)) for r in out), key=repr)
+
+
+def test_resampling_matches_brute_force(spark, sf, docs, monkeypatch):
+    monkeypatch.setattr(IR, "CHUNK", 1000)
+    target = spark.read.parquet(f"{sf}/benchmark.parquet").select("text").unionByName(spark.createDataFrame([(None,), ("",)], "text string"))
+    want = resampled([(r.doc_id, r.text) for r in docs.collect()], [r.text for r in target.collect()])
+    out = IR.importance_resample(clash(docs, "weight", "score", "rank", "n_words", "__row"), target)
+    assert out.columns == ["doc_id", "n_features", "weight", "score", "rank"]
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == want
+    assert IR.importance_resample(empty(spark), target).count() == 0
+    assert IR.importance_resample(docs, empty(spark)).count() == docs.count()
+
+
+def test_drawn_ranks_of_repeated_rows_and_ties(spark):
+    rows = [(7, " ".join(f"w{j}" for j in range(25)))] * 100 + [(i, "too short") for i in range(50)]
+    out = IR.importance_resample(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("w1 w2",)], "text string"))
+    assert sorted(r.rank for r in out.where("rank is not null").collect()) == [1, 2, 3, 4, 5]
+    assert out.where("rank is not null AND doc_id <> 7").count() == 0
+
+
+def licensed(x):
+    """Brute force of the license scan: every rule at every word, every pair of detections compared."""
+    w = search_words(x)
+    found = []
+    for no, r in enumerate(LS.RULES):
+        for i in range(len(w)):
+            m = re.match(rf"({r.pattern})(?: |$)", " ".join(w[i : i + 40]))
+            if m:
+                found.append((i, i + len(m[1].split(" ")), no, r.priority))
+    rank = lambda d: (d[3], d[1] - d[0], -d[2])
+    kept = [d for d in found if not any(e[0] <= d[0] and e[1] >= d[1] and rank(e) > rank(d) for e in found)]
+    places = [(i, p) for p in LS.PHRASES for i in range(len(w)) if " ".join(w[i : i + len(p.split())]) == p and len(w) >= i + len(p.split())]
+    at = [i for i, _ in places]
+    base = {LS.PHRASES[p] for _, p in places}
+    score = max([0.0, *(LS.PHRASE_CONFIDENCE[p] for _, p in places), *(LS.CONFIDENCE[d[3]] for d in kept)])
+    return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | {LS.RULES[d[2]].label for d in kept})), score
+
+
+LICENSED = [
+    "CC BY cc by CC-BY-SA 4.0, cc by", "Licensed under the Apache License, Version 2.0. ALL RIGHTS RESERVED. all rights reserved", "GNU General Public License version 3 or the GNU Lesser General Public License, version 2.1",
+    "general public license", "gnu general public", "SPDX-License-Identifier: MIT-0 x SPDX-License-Identifier: GPL-3.0-or-later", "© 2020 all rights  reserved", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+    "mit", "mit license " * 300, "the É license MIT license", "Creative Commons Attribution-ShareAlike 4.0 / creativecommons.org/licenses/by-nc/4.0/", "GPLv2 or later, GPL version 3, gpl 2", "reserved rights all", "all rights reserved " * 50 + "bsd 3-clause",
+]
+
+
+def test_licenses_match_brute_force(spark, docs):
+    extra = spark.createDataFrame([(5000 + i, x, "en", "s", None) for i, x in enumerate(LICENSED)], SCHEMA)
+    rows = docs.where("length(text) < 5000 OR text IS NULL").unionByName(extra)
+    out = LS.license_digest(clash(rows, "n_words", "phrases", "licenses", "labels")).collect()
+    assert len(out) == rows.count()
+    want = collections.Counter((r.doc_id, *licensed(r.text)) for r in rows.collect())
+    assert collections.Counter(tuple(r) for r in out) == want
+    assert LS.license_digest(empty(spark)).count() == 0
+    kept = LS.scan_licenses(extra).where("doc_id = 5002").first().licenses
+    assert [(d.start, d.end, d.label) for d in kept] == [(0, 6, "gpl-3.0"), (8, 15, "lgpl-2.1")]
+
+
+def test_license_rules_hold_what_the_scan_counts_on(spark):
+    assert len(LS.RULES) > 300 and max(r.before for r in LS.RULES) <= LS.BEFORE
+    for r in LS.RULES:
+        before = r.pattern.split(" ")[: r.before]
+        assert all(re.fullmatch(r"\w+", x) for x in before) and re.match(re.escape(" ".join([*before, r.keyword])), r.pattern), r
+        assert len(r.pattern.replace("( ", " (").split(" ")) <= LS.LONGEST and not re.search(r"[*+]|\.\*", r.pattern), r
+
+
+def test_license_scan_runs_no_python(spark, docs):
+    plan = LS.license_digest(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def periodic(doc_id, text):
+    """Brute force of the periodic runs: every period tried at every word."""
+    w = words(text)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 == 0 and w:
+        a = h // 10 % len(w)
+        p = 1 + (len(w) - a) // (3 + h // 10 % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(len(w))]
+    found, n = {}, len(w)
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            s = i
+            while i + q < n and w[i] == w[i + q]:
+                i += 1
+            if i - s + q >= max(6, 4 * q):
+                found.setdefault((s, i - s + q), q)  # the least period comes first
+            i += i == s
+    runs = sorted(((s, m, q) for (s, m), q in found.items()), key=lambda r: (r[0], r[2]))
+    gone = {i for s, m, q in runs for i in range(s + q, s + m)}
+    best = min(runs, key=lambda r: (-r[1] / r[2], r[0], r[2]), default=(None, None, None))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    return len(runs), *best, None if best[1] is None else 1000 * best[1] // best[2], sha("".join(f"{s},{m},{q}\n" for s, m, q in runs)), sha(" ".join(x for i, x in enumerate(w) if i not in gone))
+
+
+def test_runs_match_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(P, "HASHED", 50)
+    short = docs.where("length(text) < 20000 OR text IS NULL")
+    extra = spark.createDataFrame([(9000 + i, x, "en", "s", 1) for i, x in enumerate(["a b " * 9, "x " * 6, "x " * 5, "a a b a a b a a b a a b c", "é é é é é é é", "k " * 20 + "l " * 20, *["p q r s t u v w x y " * 3] * 40])], SCHEMA)
+    rows = short.unionByName(extra)
+    out = P.periodic_runs(clash(rows, "start", "length", "period", "n_runs")).collect()
+    assert collections.Counter(tuple(r) for r in out) == collections.Counter((r.doc_id, *periodic(r.doc_id, r.text)) for r in rows.collect())
+    assert sum(r.n_runs > 0 for r in out) > 10
+    long = P.periodic_runs(docs.where("doc_id = 2002"), repeat=False).first()
+    assert (long.n_runs, long.start, long.length, long.period) == (1, 0, 120_000, 3)
+    assert P.periodic_runs(empty(spark)).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=70), st.integers(1, 9), st.integers(0, 60))
+def test_runs_of_few_words(items, period, n):
+    items = items + [(items or [0])[i % period % max(1, len(items))] for i in range(n)]
+    texts = " ".join(map(str, items))
+    runs = P.runs_of(items)
+    assert hashlib.sha256("".join(f"{s},{m},{q}\n" for s, m, q in runs).encode()).hexdigest() == periodic(None, texts)[5]
+    hashes = np.array(items, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert P.document_runs(hashes, lambda i: b"%d" % items[i]) == runs
+
+
+def test_ordered_positions_split_their_blocks(monkeypatch):
+    monkeypatch.setattr(P, "BLOCK", 4)
+    rng = np.random.default_rng(5)
+    order = rng.permutation(500).tolist()
+    held, some = P.Positions(order[0]), [order[0]]
+    for x in order[1:]:
+        below, above = [y for y in some if y < x], [y for y in some if y > x]
+        assert held.add(x) == (max(below, default=None), min(above, default=None))
+        some.append(x)
+    assert list(held) == sorted(some) and held.n == 500
