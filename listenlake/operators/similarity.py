@@ -107,13 +107,14 @@ def _ids(cat: Catalog, ids: list[str]) -> DataFrame:
     return cat.spark.createDataFrame([(i,) for i in ids], "sha_id string")
 
 
-def _with_songs(cat: Catalog) -> DataFrame:
+def with_songs(cat: Catalog) -> DataFrame:
+    """(sha_id, vector) of the songs that have vectors."""
     return song_vectors(cat.vectors).join(cat.songs.select("sha_id"), "sha_id", "left_semi")
 
 
 def song_radio(cat: Catalog, sha_id: str, limit: int = 20, metric: str = "cosine") -> DataFrame:
     """Songs like a song, most similar first, with diversity limits."""
-    vectors = _with_songs(cat)
+    vectors = with_songs(cat)
     seed = vectors.where(F.col("sha_id") == sha_id).select("vector").first()
     if seed is None:
         raise LookupError(f"song {sha_id} has no vector")
@@ -123,7 +124,7 @@ def song_radio(cat: Catalog, sha_id: str, limit: int = 20, metric: str = "cosine
 
 def similar_songs(cat: Catalog, sha_id: str, limit: int = 10, metric: str = "cosine") -> DataFrame:
     """Songs like a song, without diversity limits."""
-    vectors = _with_songs(cat)
+    vectors = with_songs(cat)
     seed = vectors.where(F.col("sha_id") == sha_id).select("vector").first()
     if seed is None:
         raise LookupError(f"song {sha_id} has no vector")
@@ -133,7 +134,7 @@ def similar_songs(cat: Catalog, sha_id: str, limit: int = 10, metric: str = "cos
 def artist_radio(cat: Catalog, artist_id: int, limit: int = 20, metric: str = "cosine") -> DataFrame:
     """Songs like an artist's mean vector, without the artist's own."""
     own = cat.song_artists.where(F.col("artist_id") == artist_id).select("sha_id").distinct()
-    vectors = _with_songs(cat)
+    vectors = with_songs(cat)
     q = centroid(vectors, own.withColumn("weight", F.lit(1.0)))
     if q is None:
         raise LookupError(f"artist {artist_id} has no vectors")
@@ -142,7 +143,7 @@ def artist_radio(cat: Catalog, artist_id: int, limit: int = 20, metric: str = "c
 
 def preference_playlist(cat: Catalog, liked: DataFrame, disliked: DataFrame, limit: int = 50, dislike_weight: float = 0.5, metric: str = "cosine", seed: str = "preferences") -> DataFrame:
     """Songs near the likes' centroid and far from the dislikes' (always by cosine); both sets have sha_id and weight."""
-    vectors = _with_songs(cat)
+    vectors = with_songs(cat)
     up, down = centroid(vectors, liked), centroid(vectors, disliked)
     if up is None:
         raise LookupError("no liked song has a vector")

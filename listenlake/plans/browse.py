@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listenlake.catalog import oracle
-from listenlake.operators import browse as B, similarity as V
+from listenlake.operators import browse as B, neighbours as NN, similarity as V
 from listenlake.plans.base import AS_OF, bind
 
 QUERIES, ORACLE = {}, {}
@@ -62,3 +62,18 @@ add("v03_song_radio", lambda c: V.song_radio(c, "5", 20))
 add("v05_artist_radio", lambda c: V.artist_radio(c, 3, 20))
 add("v06_preferences", lambda c: V.preference_playlist(c, c.songs.where("sha_id IN ('1', '2', '3')").select("sha_id", F.lit(1.0).alias("weight")), c.songs.where("sha_id IN ('9')").select("sha_id", F.lit(1.0).alias("weight")), 20))
 add("v07_for_you", lambda c: V.for_you(c, c.songs.where("sha_id IN ('1', '2', '3')"), c.songs.where("sha_id = '9'"), AS_OF, 20))
+
+
+def _neighbours(c, metric, recall=None):
+    """The ten nearest songs of every song."""
+    own = V.with_songs(c)
+    return NN.neighbours(own, own, 10, metric, recall).withColumn("score", F.round("score", 6))
+
+
+_ALL = "own AS (SELECT sha_id, CAST(vector AS DOUBLE[]) AS v FROM vectors WHERE sha_id IN (SELECT sha_id FROM songs))"
+_PAIRS = "SELECT a.sha_id AS query, b.sha_id, {f} AS s FROM own a JOIN own b ON a.sha_id <> b.sha_id"
+for _m, _f in (("cosine", "list_cosine_similarity(a.v, b.v)"), ("euclidean", "1 / (1 + list_distance(a.v, b.v))"), ("dot", "1 / (1 + abs(list_dot_product(a.v, b.v)))")):
+    add(f"v01_neighbours_{_m}", lambda c, m=_m: _neighbours(c, m), f"""
+WITH {_ALL}, pair AS ({_PAIRS.format(f=_f)}), placed AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY s DESC, sha_id) AS INT) AS rank, sha_id, round(s, 6) AS score FROM pair)
+SELECT * FROM placed WHERE rank <= 10""", S, "vectors")
+add("v01_neighbours_indexed", lambda c: _neighbours(c, "cosine", 0.95))

@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -9,6 +9,7 @@ from listenlake.catalog import Catalog
 from listenlake.functions import audio, exprs as X, text
 from listenlake.functions.period import parse_period
 from listenlake.operators import rules as R, similarity as V, tables as M
+from listenlake.operators import windows as W
 from listenlake.operators.windows import listening_sessions, streaks
 from listenlake.sources import files
 from listenlake.streaming import playback
@@ -307,3 +308,35 @@ def test_most_similar_reaches_down_to_the_operators_threshold(spark):
     rows = text.most_similar(one_, all_, "artist_id", "artist_id", "name", "name").collect()
     assert {r.r_key: r.similarity for r in rows} == {2: 0.666667, 3: 0.615385, 5: 0.352941}
     assert text.most_similar(one_, all_, "artist_id", "artist_id", "name", "name", n=1).count() == 1
+
+
+def test_one_sequence_of_sessions_across_range_borders(spark):
+    import random
+
+    random.seed(8)
+    start = datetime(2024, 1, 1)
+    rows = []
+    for i in range(400):
+        at = start + timedelta(minutes=random.choice([0, 1, 2, 60, 61, 500, 501, 502, 503, 900]) + 1000 * random.randrange(4))
+        until = random.choice([None, at + timedelta(minutes=random.choice([1, 30, 120])), at - timedelta(hours=2)])  # ends before the start: clocks may be wrong
+        rows.append((f"{i:03}", at, until, 1000, True))
+    rows += [(f"t{i:03}", start + timedelta(minutes=77), None, 1, False) for i in range(150)]  # one start that fills several ranges
+    plays = spark.createDataFrame(rows, "session_id string, started_at timestamp_ntz, ended_at timestamp_ntz, duration_played_ms int, completed boolean")
+    before, want = None, []
+    ordered = sorted(rows, key=lambda r: (r[1], r[0]))
+    breaks = {r[1] for p, r in zip([None, *ordered], ordered) if p is None or r[1] - (p[2] or p[1]) > timedelta(minutes=30)}
+    for r in ordered:
+        if r[1] in breaks and r[1] != before:
+            want.append([r[1], r[2] or r[1], 0])
+            before = r[1]
+        want[-1] = [want[-1][0], max(want[-1][1], r[2] or r[1]), want[-1][2] + 1]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = W.listening_sessions(plays, by_user=False)
+        assert sorted((r.started_at, r.ended_at, r.songs) for r in got.collect()) == sorted(map(tuple, want))
+        alone = [x for x in got._jdf.queryExecution().analyzed().toString().splitlines() if "Window [" in x and "windowspecdefinition(part#" not in x]
+        assert not any("until" in x for x in alone)  # unpartitioned windows see a row a range, no plays
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
