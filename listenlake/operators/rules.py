@@ -324,24 +324,18 @@ class Compiler:
         return self.select(g).agg(F.count_distinct("sha_id").alias("songs"))
 
 
-def refresh(compiler: Compiler, playlist_id: str, rules: dict, path: str, **options) -> DataFrame:
-    """Materialise one playlist: its partition of the members' table is replaced."""
-    rows = compiler.playlist(parse(rules), **options).select(F.lit(playlist_id).alias("playlist_id"), "sha_id", "position")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("playlist_id").parquet(path)
-    return rows.sparkSession.read.parquet(path).where(F.col("playlist_id") == playlist_id)
+def refresh(compiler: Compiler, playlist_id: str, rules: dict, path: str, sort_by: str = "added_at", order: str = "desc", limit: int | None = None) -> DataFrame:
+    """Materialise one playlist and its stats (see the module refresh)."""
+    from listenlake.operators import refresh as many  # which builds on this module
+
+    return many.refresh(compiler, {"playlist_id": playlist_id, "rules": rules, "sort_by": sort_by, "sort_order": order, "limit_count": limit}, path)
 
 
 def refresh_all(compiler: Compiler, playlists: list[dict], path: str) -> dict[str, str]:
-    """Refresh all playlists that aren't templates; a failure is noted under its playlist and the others go on."""
-    out = {}
-    for p in playlists:
-        if not p.get("is_template"):
-            try:
-                refresh(compiler, p["playlist_id"], p["rules"], path, sort_by=p.get("sort_by", "added_at"), order=p.get("sort_order", "desc"), limit=p.get("limit_count"))
-                out[p["playlist_id"]] = "ok"
-            except Exception as e:  # noqa: BLE001  whatever fails in one playlist is its own
-                out[p["playlist_id"]] = str(e) or type(e).__name__
-    return out
+    """Refresh all playlists that aren't templates, in one pass (see the module refresh)."""
+    from listenlake.operators import refresh as many
+
+    return many.refresh_all(compiler, playlists, path)
 
 
 def playlist_stats(members: DataFrame, songs: DataFrame) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from listenlake.catalog import Catalog, oracle
-from listenlake.operators import rules as R
+from listenlake.operators import refresh as RF, rules as R
 from listenlake.plans.base import AS_OF, bind
 
 QUERIES, ORACLE = {}, {}
@@ -45,10 +43,8 @@ CASES = [(f, o, v, s or f"{f} {'=' if o == 'equals' else '<>'} '{v}'") for f, o,
 
 
 def operator_counts(c: Catalog):
-    """How many songs each case matches."""
-    k = compiler(c)
-    one = lambda f, o, v: k.count(R.parse({"version": 1, "match": "all", "conditions": [{"field": f, "operator": o, "value": v}]})).select(F.lit(f"{f} {o}").alias("rule"), "songs")
-    return reduce(lambda a, b: a.union(b), [one(f, o, v) for f, o, v, _ in CASES])
+    """How many songs each case matches, all in one pass."""
+    return RF.counts(compiler(c), {f"{f} {o}": R.parse({"version": 1, "match": "all", "conditions": [{"field": f, "operator": o, "value": v}]}) for f, o, v, _ in CASES})
 
 
 QUERIES["r01_operator_counts"] = bind(operator_counts)
@@ -83,3 +79,27 @@ WITH s AS (SELECT * FROM songs WHERE release_year BETWEEN 1970 AND 1975 AND albu
  r AS (SELECT count(*) AS n FROM s WHERE created_at >= TIMESTAMP '2024-01-01')
 SELECT id, round(score, 6) AS score FROM (SELECT 'artist:' || v AS id, n / t AS score FROM a, t WHERE n >= 0.6 * t UNION ALL SELECT 'genre:' || v, n / t FROM g, t WHERE n >= 0.6 * t
  UNION ALL SELECT 'years:' || min(release_year) || '-' || max(release_year), 0.4 FROM s HAVING max(release_year) - min(release_year) <= 10 UNION ALL SELECT 'recent:30', n / t FROM r, t WHERE n >= 5 AND n >= 0.2 * t)""", "songs", "song_artists", "artists", "song_genres")
+
+
+def _hundred() -> list[dict]:
+    """A hundred playlists: plays, years, artists and genres in turn, by four keys, one in five with a limit."""
+    out = []
+    for i in range(100):
+        rules = [("play_count", "greater_or_equal", i % 7), ("release_year", "greater", 1960 + i // 2)] if i % 2 else [("artist", "ends_with", str(i % 10)), ("genre", "contains", f"brand#{1 + i % 5}")]
+        by, order = (("play_count", "desc"), ("title", "asc"), ("added_at", "desc"), ("album", "desc"))[i % 4]
+        out.append({"playlist_id": f"p{i:02}", "rules": R._rule(*rules) | {"match": "all" if i % 3 else "any"}, "sort_by": by, "sort_order": order, "limit_count": 10 if i % 5 == 0 else None})
+    return out
+
+
+_MEMBERS = f"""WITH {_SUBJECT}, i AS (SELECT CAST(range AS INT) AS i FROM range(100)),
+ a AS (SELECT DISTINCT sha_id, right(name, 1) AS digit FROM art), g AS (SELECT DISTINCT sha_id, k FROM song_genres, (SELECT range AS k FROM range(1, 6)) WHERE contains(lower(genre), 'brand#' || k)),
+ t AS (SELECT i, x.*, CASE WHEN i % 2 = 1 THEN play_count >= i % 7 ELSE (sha_id, CAST(i % 10 AS VARCHAR)) IN (SELECT (sha_id, digit) FROM a) END AS one,
+   CASE WHEN i % 2 = 1 THEN release_year > 1960 + i // 2 ELSE (sha_id, CAST(1 + i % 5 AS BIGINT)) IN (SELECT (sha_id, k) FROM g) END AS two FROM i, x),
+ o AS (SELECT i, sha_id, duration_sec, CAST(row_number() OVER (PARTITION BY i ORDER BY CASE WHEN i % 4 = 0 THEN play_count END DESC, CASE WHEN i % 4 = 1 THEN title END NULLS LAST,
+   CASE WHEN i % 4 = 2 THEN created_at END DESC NULLS LAST, CASE WHEN i % 4 = 3 THEN album END DESC NULLS LAST, sha_id) - 1 AS INT) AS position FROM t WHERE CASE WHEN i % 3 = 0 THEN one OR two ELSE one AND two END),
+ m AS (SELECT 'p' || lpad(CAST(i AS VARCHAR), 2, '0') AS playlist_id, sha_id, position, duration_sec FROM o WHERE i % 5 <> 0 OR position < 10)"""
+QUERIES["r43_refresh_all"] = bind(lambda c: RF.members_of(compiler(c), _hundred()).drop("duration_sec"))
+ORACLE["r43_refresh_all"] = oracle(f"{_MEMBERS} SELECT playlist_id, sha_id, position FROM m", *_TABLES)
+QUERIES["r44_playlist_stats"] = bind(lambda c: RF.stats_of(c.spark, RF.members_of(compiler(c), _hundred()), [p["playlist_id"] for p in _hundred()]))
+ORACLE["r44_playlist_stats"] = oracle(f"""{_MEMBERS} SELECT 'p' || lpad(CAST(i AS VARCHAR), 2, '0') AS playlist_id, coalesce(song_count, 0) AS song_count, coalesce(total_duration_sec, 0) AS total_duration_sec
+FROM i LEFT JOIN (SELECT playlist_id, count(*) AS song_count, CAST(sum(duration_sec) AS BIGINT) AS total_duration_sec FROM m GROUP BY 1) s ON s.playlist_id = 'p' || lpad(CAST(i AS VARCHAR), 2, '0')""", *_TABLES)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from listenlake.catalog import Catalog
 from listenlake.functions import audio, exprs as X, text
 from listenlake.functions.period import parse_period
-from listenlake.operators import rules as R, similarity as V, tables as M
+from listenlake.operators import refresh as RF, rules as R, similarity as V, tables as M
 from listenlake.operators import windows as W
 from listenlake.operators.windows import listening_sessions, streaks
 from listenlake.sources import files
@@ -89,6 +89,32 @@ def test_refresh_replaces_one_playlist(spark, sf, tmp_path):
     assert R.refresh_all(k, [{"playlist_id": "c", "rules": {"version": 9}}, {"playlist_id": "d", "rules": R.TEMPLATES["Long Songs"][0]}], path)["c"] != "ok"
 
 
+def test_refresh_of_a_rule_that_matches_nothing_clears_the_playlist(spark, sf, tmp_path):
+    k = R.Compiler(Catalog.testdata(spark, sf), AS_OF)
+    path = str(tmp_path / "members")
+    nothing = R._rule(("duration_sec", "less", 0))
+    with pytest.raises(R.RuleError):
+        RF.refresh(k, {"playlist_id": "t", "rules": nothing, "is_template": True}, path)
+    assert RF.refresh(k, {"playlist_id": "first", "rules": nothing}, path).count() == 0
+    one = {"playlist_id": "a b/c", "rules": R.TEMPLATES["Short Songs"][0]}
+    other = {"playlist_id": "d", "rules": R.TEMPLATES["Long Songs"][0], "sort_by": "title", "sort_order": "asc"}
+    assert RF.refresh_all(k, [one, other], path) == {"a b/c": "ok", "d": "ok"}
+    assert RF.refresh_all(k, [one | {"rules": nothing}], path) == {"a b/c": "ok"}
+    left = spark.read.schema(RF.MEMBERS).parquet(path)
+    assert [r.playlist_id for r in left.select("playlist_id").distinct().collect()] == ["d"]
+    stats = {r.playlist_id: tuple(r)[:2] for r in spark.read.schema(RF.STATS).parquet(f"{path}_stats").collect()}
+    assert stats["a b/c"] == (0, 0) and stats["d"][0] == left.count()
+    titles = [r.title for r in left.join(k.cat.songs.select("sha_id", "title"), "sha_id").orderBy("position").collect()]
+    assert titles == sorted(titles)
+
+
+def test_many_playlists_read_the_plays_once(spark, sf):
+    k = R.Compiler(Catalog.testdata(spark, sf), AS_OF)
+    rules = {str(i): R.parse(R._rule(("play_count", "greater", i % 9), ("artist", "contains", str(i % 10)), ("genre", "equals", f"Brand#{i % 50}"))) for i in range(100)}
+    plan = RF.matched(k, rules)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("event_id#") and sum("Relation" in x and "events" not in x and "event_type" in x for x in plan.splitlines()) == 1
+
+
 def test_diversity_caps_interact(spark):
     rows = [("s", f"{i:02d}", 1 - i / 100, "album" if i < 6 else None, "artist" if i < 9 else None) for i in range(20)]
     df = spark.createDataFrame(rows, "seed string, sha_id string, score double, album_id string, artist string")
