@@ -7,11 +7,10 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
+from pyspark.sql.types import DoubleType, StringType
 
-from listenlake.functions.filenames import KNOWN, looked_up, parse_filename, stored_variants
-
-_GUESSES = ArrayType(StructType().add("artist", StringType()).add("title", StringType()).add("confidence", DoubleType()))
+from listenlake.functions import filenames
+from listenlake.functions.filenames import parse_filename, parsed_filenames  # noqa: F401
 
 
 def trigrams(c: str | Column) -> Column:
@@ -64,31 +63,6 @@ def fold_accents(a: pd.Series) -> pd.Series:
     return a.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf(_GUESSES)
-def parsed_filenames(names: pd.Series) -> pd.Series:
-    return names.map(lambda n: [{"artist": a, "title": t, "confidence": c} for a, t, c in parse_filename(n)])
-
-
-@F.pandas_udf(_GUESSES)
-def _parsed_with(names: pd.Series, known: pd.Series) -> pd.Series:
-    def parse(name, found):
-        at = {x["text"]: (x["artist"], x["similarity"]) for x in found} if found is not None else {}
-        at |= {a: (a, 1.0) for a, _ in list(at.values()) if a not in at}
-        return [{"artist": a, "title": t, "confidence": c} for a, t, c in parse_filename(name, at.get)]
-
-    return pd.Series([parse(n, k) for n, k in zip(names, known, strict=True)])
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def _looked_up(names: pd.Series) -> pd.Series:
-    return names.map(looked_up)
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def _stored_variants(names: pd.Series) -> pd.Series:
-    return names.map(stored_variants)
-
-
 def close_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(text, name, similarity) of texts of ``left`` and names of ``right`` that are ``least`` or more similar.
 
@@ -110,20 +84,5 @@ def close_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
 
 
 def known_filenames(names: DataFrame, artists: DataFrame, key: str = "sha_id", name: str = "name") -> DataFrame:
-    """(key, artist, title, confidence): guesses at each file name, with the artists' table looked up.
-
-    A text is found exactly under a name's stored forms (the greatest artist_id of equal ones), else by the highest
-    trigram similarity of KNOWN or more among artists of song_count 2 or more, else among all; ties take the least
-    name. Weaker matches are never used by the parser and don't hide others. Rows with a null key have no guesses.
-    """
-    asked = names.where(F.col(key).isNotNull()).select(key, F.col(name).alias("file"))
-    texts = asked.select("file").distinct().select("file", F.explode(_looked_up("file")).alias("text"))
-    distinct = texts.select("text").distinct().withColumn("normal", F.get(_stored_variants("text"), F.lit(0)))
-    exact = artists.select("artist_id", "name", F.explode(_stored_variants("name")).alias("normal")).groupBy("normal").agg(F.max_by("name", "artist_id").alias("artist"))
-    found = distinct.join(exact, "normal", "left")
-    popular = artists.groupBy("name").agg(F.max(F.col("song_count") >= 2).alias("popular"))
-    close = close_pairs(found.where("artist IS NULL AND length(text) >= 2").select("text"), popular.select("name"), KNOWN).join(popular, "name")
-    close = close.groupBy("text").agg(F.min(F.struct(~F.coalesce("popular", F.lit(False)), -F.col("similarity"), "name", "similarity")).alias("b")).select("text", F.col("b.name").alias("artist"), F.col("b.similarity").alias("similarity"))
-    best = found.where("artist IS NOT NULL").select("text", "artist", F.lit(1.0).alias("similarity")).union(close)
-    known = texts.join(best, "text").groupBy("file").agg(F.collect_list(F.struct("text", "artist", "similarity")).alias("known"))
-    return asked.join(known, "file", "left").select(key, F.explode(_parsed_with("file", "known")).alias("g")).select(key, "g.*")
+    """(key, artist, title, confidence): guesses at file names, with artists looked up by :func:`close_pairs`."""
+    return filenames.known_filenames(names, artists, close_pairs, key, name)

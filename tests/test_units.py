@@ -1,3 +1,4 @@
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listenlake.catalog import Catalog
-from listenlake.functions import audio, exprs as X, text
+from listenlake.functions import audio, exprs as X, filenames, text
 from listenlake.functions.period import parse_period
 from listenlake.operators import refresh as RF, rules as R, similarity as V, tables as M
 from listenlake.operators import windows as W
@@ -312,6 +313,51 @@ def test_filename_patterns(name, guess):
     assert guess in [(a, t, round(c, 6)) for a, t, c in text.parse_filename(name)]
 
 
+@pytest.mark.parametrize(
+    "name, artist, title",
+    [
+        ("AOA - Miniskirt M V", "AOA", "Miniskirt"), ("AOA - Miniskirt M V.mp3", "AOA", "Miniskirt"), ("ALLEYCVT - Throw it down", "ALLEYCVT", "Throw it down"),
+        ("Singer - Title", "Singer", "Title"), ("Singer – Title", "Singer", "Title"), ("Singer — Title", "Singer", "Title"),
+        ("Singer - Title (Official Audio) [HD]", "Singer", "Title"), ("Singer - Title (2024)", "Singer", "Title"), ("Singer - Title [dQw4w9WgXcQ]", "Singer", "Title"),
+        ("Singer_-_Title_ft._Someone.webm", "Singer", "Title"), ("Ｓinger - Title", "Singer", "Title"), ("Artist - Title", None, "Artist - Title"),
+    ],
+)
+def test_likeliest_guess(name, artist, title):
+    assert text.parse_filename(name)[0][:2] == (artist, title)
+
+
+def test_guesses_of_a_column(spark):
+    names = ["Artist_Title_Song", "Just A Song Title", "the - x.mp3", "12 - 34 songs", None, " ", "a - b" + " (Live)" * 30, "Artist - artist - ARTIST"]
+    got = [r.g for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(text.parsed_filenames("n").alias("g")).collect()]
+    has = lambda i, a, t: any((x.artist, x.title) == (a, t) for x in got[i])
+    assert has(0, "Artist", "Title Song") and has(0, "Artist Title", "Song") and has(1, None, "Just A Song Title") and not any(x.artist == "12" and x.title == "34 songs" for x in got[3])
+    assert [x.confidence for x in got[2] if (x.artist, x.title) == ("the", "x")] == [0.4] and not got[4] and not got[5]
+    assert has(6, "a", "b")  # endings go however many there are
+    assert all(x.confidence >= y.confidence for g in got for x, y in zip(g, g[1:]))
+    assert all(len({((x.artist or "-").lower(), x.title.lower()) for x in g}) == len(g) for g in got)
+
+
+def test_artist_variants_and_names_worth_parsing(spark):
+    variants = lambda x: one(spark, filenames.artist_variants(F.lit(x)))
+    assert variants("The Beatles") == ["The Beatles", "Beatles"] and variants("P!nk") == ["P!nk", "P nk"] and variants("AC/DC") == ["AC/DC", "AC DC"] and variants("Artist") == ["Artist"]
+    cases = [
+        ("Singer - Title", None, True), ("AOA - Miniskirt M V", None, True), ("Song Title", "Some Name", False), ("Just A Title", "Known Name", False), ("NewSinger - Song Title", "OldSinger", True),
+        ("NewSinger - Song Title", "newsinger", False), ("a_b", None, True), ("Title (Name)", "unknown", True), ("one", None, False), ("two words", "various", True), ("x", "the", False), ("x", "12", False),
+    ]
+    df = spark.createDataFrame(cases, "title string, artist string, want boolean")
+    assert df.where(filenames.should_parse(F.col("title"), F.col("artist")) != F.col("want")).collect() == []
+
+
+def test_registered_file_names_find_their_artists(spark, sf):
+    from listenlake.plans import tables as PT
+
+    c = Catalog.testdata(spark, sf)
+    rows = PT._file_names(c).join(c.primary, "sha_id").join(PT.QUERIES["u04_filenames"](spark, sf).withColumnRenamed("artist", "guess"), "sha_id")
+    best = rows.groupBy("sha_id", "name", "artist").agg(F.max_by("guess", "confidence").alias("guess")).collect()
+    first = [r for r in best if re.match(re.escape(r.artist) + r"[ _-]", r.name)]
+    assert len(first) > 50 and all(r.guess == r.artist for r in first)
+
+
 def test_filenames_of_known_artists(spark):
     artists = spark.createDataFrame([(1, "Ed Sheeran", 5), (2, "The Beatles", 1), (3, "Ed Sheeranso", 1)], "artist_id int, name string, song_count int")
     names = spark.createDataFrame([("a", "edsheeran bad habits.mp3"), ("b", "beatles_help.mp3"), ("c", "Ed Sheerans - Shivers.mp3"), ("d", None)], "sha_id string, name string")
