@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from listenlake.functions import fuzzy
+
 #: Suffixes of files that need no conversion, and of those that do.
 READY, CONVERTIBLE = ("mp3",), ("flac", "wav", "m4a", "ogg", "opus", "aac")
 #: Points for the kind of a release and for being official, and for a title's likeness.
@@ -98,6 +100,18 @@ def edited_artists(edits: DataFrame) -> DataFrame:
     return edits.select("sha_id", F.posexplode(names).alias("i", "name")).select("sha_id", "name", F.when(F.col("i") == 0, "primary").otherwise("featured").alias("role"))
 
 
+def resolved_edits(edits: DataFrame, artists: DataFrame) -> DataFrame:
+    """Edits (sha_id, artists) as rows (sha_id, name, role, artist_id): names that mean a known artist become its name, others are new (null id).
+
+    Of names of one song that mean the same artist, the first stays.
+    """
+    names = edited_artists(edits)
+    known = fuzzy.resolve_artists(names, artists)
+    rows = names.join(known, "name", "left").select("sha_id", F.coalesce("artist", "name").alias("name"), "role", "artist_id")
+    first = F.max("role")  # primary comes after featured
+    return rows.groupBy("sha_id", "name").agg(first.alias("role"), F.min("artist_id").alias("artist_id"))
+
+
 def imports(paths: DataFrame) -> DataFrame:
     """Queue entries of files (path): artist and title of the name, and downloaded, converting or failed with an error, by suffix."""
     name = F.substring_index(F.col("path"), "/", -1)
