@@ -7,10 +7,11 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from listenlake.catalog import oracle
-from listenlake.functions import audio as U, exprs as X, text as TX
-from listenlake.operators import tables as M
+from listenlake.functions import audio as U, exprs as X, fuzzy as FZ, text as TX
+from listenlake.operators import tables as M, views as VW
 from listenlake.plans.base import bind
-from listenlake.streaming import playback
+from listenlake.runtime import scratch_path
+from listenlake.streaming import playback, stateful as SF
 
 QUERIES, ORACLE = {}, {}
 P, S = "play_sessions", "songs"
@@ -81,5 +82,25 @@ def _counted(c):
 
 
 add("u04_filenames", lambda c: TX.known_filenames(_file_names(c), _counted(c)))
+#: Names that differ from an artist's by signs only: each means that artist. The queries are the artists whose id is divisible by 50.
+add("u01_fuzzy_artists", lambda c: FZ.resolve_artists(c.artists.where("artist_id % 50 = 0").select(F.replace("name", F.lit("#"), F.lit(" - ")).alias("name")), c.artists), "SELECT replace(name, '#', ' - ') AS name, artist_id, name AS artist, CAST(1 AS DOUBLE) AS score FROM artists WHERE artist_id % 50 = 0", "artists")
+
+
+def _after_a_batch(c, name):
+    """A view built from the plays before the 20th, then renewed where the later plays touch it."""
+    root, late = scratch_path(c.spark, "views"), F.col("started_at") >= F.lit(datetime(2024, 1, 20)).cast("timestamp_ntz")
+    one = {name: VW.VIEWS[name]}
+    VW.refresh_views(VW._over(c, c.play_sessions.where(~late)), root, views=one)
+    VW.refresh_views(c, root, c.play_sessions.where(late), one)
+    return VW.read_view(c.spark, root, name)
+
+
+for _name, _same in (("daily", "m01_daily"), ("weekly", "m02_weekly"), ("top_songs_monthly", "m04_top_songs_monthly")):
+    QUERIES[f"m05_{_name}_after_a_batch"] = bind(lambda c, n=_name: _after_a_batch(c, n))
+    ORACLE[f"m05_{_name}_after_a_batch"] = ORACLE[_same]
+add("t05_user_streaks", lambda c: SF.user_streaks(c.play_sessions), """
+WITH d AS (SELECT DISTINCT user_id, CAST(started_at AS DATE) AS d FROM play_sessions WHERE (completed OR completion_percent >= 10) AND user_id IS NOT NULL),
+ i AS (SELECT *, d - CAST(row_number() OVER (PARTITION BY user_id ORDER BY d) AS INT) AS k FROM d)
+SELECT user_id, min(d) AS start_date, max(d) AS end_date, count(*) AS length_days FROM i GROUP BY user_id, k""", P)
 add("u11_tempo", lambda c: c.audio_features.select("sha_id", F.round(U.fold_bpm(F.col("bpm") * F.when(F.col("bpm") > 120, 3).otherwise(F.lit(0.25))), 6).alias("bpm")), "WITH x AS (SELECT sha_id, bpm * CASE WHEN bpm > 120 THEN 3 ELSE 0.25 END AS b FROM audio_features) SELECT sha_id, round(CASE WHEN b < 60 THEN b * pow(2.0, ceil(log2(60 / b))) WHEN b > 180 THEN b / pow(2.0, ceil(log2(b / 180))) ELSE b END, 6) AS bpm FROM x", "audio_features")
 add("u13_scaled", lambda c: U.scaled(U.scaled(c.audio_features, "energy", "z"), "energy", "share", "range").select("sha_id", F.round("z", 6).alias("z"), F.round("share", 6).alias("share")), "SELECT sha_id, round((energy - avg(energy) OVER ()) / stddev_pop(energy) OVER (), 6) AS z, round((energy - min(energy) OVER ()) / (max(energy) OVER () - min(energy) OVER ()), 6) AS share FROM audio_features", "audio_features")
