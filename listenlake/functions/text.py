@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.types import DoubleType, StringType
 
 from listenlake.functions import filenames
 from listenlake.functions.filenames import parse_filename, parsed_filenames  # noqa: F401
+from listenlake.runtime import materialize
 
 
 def trigrams(c: str | Column) -> Column:
@@ -27,19 +29,64 @@ def similarity(a: str | Column, b: str | Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)), F.lit(0)), F.lit(0.0))
 
 
+def _gram_sets(df: DataFrame, key: str, text: str, side: str) -> DataFrame:
+    return df.select(F.col(key).alias(f"{side}_key"), trigrams(text).alias(f"{side}_g")).where(F.size(f"{side}_g") > 0)
+
+
+def candidate_pairs(l: DataFrame, r: DataFrame, least: float) -> DataFrame:
+    """Rows (l_key, l_g, r_key, r_g) of two frames of trigram sets that share one of their rarest trigrams, some more than once.
+
+    Two sets that share ``least`` of their union share one of the n - ceil(least * n) + 1 rarest trigrams of either. The trigrams that
+    many names hold come last in every set, so they make candidates only where sets have little else.
+    """
+    often = r.select(F.explode("r_g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+
+    def rarest(df: DataFrame, side: str) -> DataFrame:
+        each = df.select("*", F.explode(f"{side}_g").alias("gram")).join(often, "gram", "left")
+        ranked = each.groupBy(f"{side}_key", f"{side}_g").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram"))).alias("x"))
+        n = F.size(f"{side}_g")
+        return ranked.select(f"{side}_key", f"{side}_g", F.explode(F.slice("x", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))).alias("x")).select(f"{side}_key", f"{side}_g", F.col("x.gram").alias("gram"))
+
+    return rarest(l, "l").join(rarest(r, "r"), "gram").drop("gram")
+
+
+def _similar(l: DataFrame, r: DataFrame, least: float) -> DataFrame:
+    """(l_key, r_key, similarity) of the candidates that are as similar as ``least``, rounded to six places."""
+    s = F.size(F.array_intersect("l_g", "r_g")) / F.size(F.array_union("l_g", "r_g"))
+    pairs = candidate_pairs(l, r, least - 5e-7).select("l_key", "r_key", F.round(s, 6).alias("similarity"))
+    return pairs.where(F.col("similarity") >= least).distinct()
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, l_key: str, r_key: str, l_text: str, r_text: str, least: float = 0.3) -> DataFrame:
-    """Pairs of rows whose texts' similarity is ``least`` or more, by one join on trigrams; null or wordless texts have none."""
-    gram = lambda df, key, text, p: df.select(F.col(key).alias(f"{p}_key"), trigrams(text).alias("g")).select(f"{p}_key", F.size("g").alias(f"{p}_n"), F.explode("g").alias("gram"))
-    both = gram(left, l_key, l_text, "l").join(gram(right, r_key, r_text, "r"), "gram").groupBy("l_key", "r_key", "l_n", "r_n").agg(F.count(F.lit(1)).alias("k"))
-    s = F.col("k") / (F.col("l_n") + F.col("r_n") - F.col("k"))
-    return both.select("l_key", "r_key", F.round(s, 6).alias("similarity")).where(F.col("similarity") >= least)
+    """Pairs of rows whose texts' similarity is ``least`` or more, joined on their rarest trigrams; null or wordless texts have none."""
+    return _similar(_gram_sets(left, l_key, l_text, "l"), _gram_sets(right, r_key, r_text, "r"), least)
+
+
+#: Thresholds that a search for the most similar rows tries before its own.
+TRIED = (0.8, 0.55)
 
 
 def most_similar(left: DataFrame, right: DataFrame, l_key: str, r_key: str, l_text: str, r_text: str, n: int = 10, least: float = 0.3) -> DataFrame:
-    """The ``n`` most similar rows of ``right`` for each row of ``left``, of similarity ``least`` or more; ties keep the least keys."""
-    pairs = similar_pairs(left, right, l_key, r_key, l_text, r_text, least)
+    """The ``n`` most similar rows of ``right`` for each row of ``left``, of similarity ``least`` or more; ties keep the least keys.
+
+    High thresholds, which few trigrams are joined for, are tried first: a row that finds n answers there is done, and
+    only the others go on to lower ones.
+    """
+    rows, r = materialize(_gram_sets(left, l_key, l_text, "l"), "asked"), materialize(_gram_sets(right, r_key, r_text, "r"), "grams")
     top = Window.partitionBy("l_key").orderBy(F.desc("similarity"), "r_key")
-    return pairs.withColumn("__no", F.row_number().over(top)).where(F.col("__no") <= n).drop("__no")
+    done = []
+    for bound in [b for b in TRIED if b > least] + [least]:
+        found = _similar(rows, r, bound).withColumn("__no", F.row_number().over(top)).where(F.col("__no") <= n)
+        found = materialize(found, "similar")
+        if bound == least:
+            done.append(found)
+            break
+        full = found.groupBy("l_key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= n).select("l_key")
+        done.append(found.join(full, "l_key", "left_semi"))
+        rows = materialize(rows.join(full, "l_key", "left_anti"), "asked")
+        if rows.isEmpty():
+            break
+    return reduce(lambda x, y: x.union(y), done).drop("__no")
 
 
 def normalize_title(c: str | Column) -> Column:

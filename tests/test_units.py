@@ -412,3 +412,23 @@ def test_one_sequence_of_sessions_across_range_borders(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_candidates_follow_the_answers_not_a_hot_trigram(spark):
+    made = lambda i: "".join(chr(97 + int(x) * 5 % 26 + i % 3) for x in f"{i * 7919 % 99991:05}")
+    names = spark.createDataFrame([(i, f"the {made(i)}") for i in range(600)], "id int, name string")
+    asked = names.where("id % 50 = 0")
+    brute = asked.select(F.col("id").alias("l_key"), F.col("name").alias("a")).crossJoin(names.select(F.col("id").alias("r_key"), F.col("name").alias("b")))
+    brute = brute.select("l_key", "r_key", F.round(text.similarity("a", "b"), 6).alias("similarity"))
+    for least in (0.3, 0.6):
+        want = sorted(map(tuple, brute.where(F.col("similarity") >= least).collect()))
+        assert sorted(map(tuple, text.similar_pairs(asked, names, "id", "id", "name", "name", least).collect())) == want
+    sets = text._gram_sets(asked, "id", "name", "l"), text._gram_sets(names, "id", "name", "r")
+    assert text.candidate_pairs(*sets, 0.6).count() < 0.2 * 12 * 600  # all 7,200 pairs share the trigrams of "the"
+    best = {}
+    for r in sorted(brute.where("similarity >= 0.3").collect(), key=lambda r: (-r.similarity, r.r_key)):
+        best.setdefault(r.l_key, []).append((r.r_key, r.similarity))
+    got = {}
+    for r in text.most_similar(asked, names, "id", "id", "name", "name", n=2).orderBy(F.desc("similarity"), "r_key").collect():
+        got.setdefault(r.l_key, []).append((r.r_key, r.similarity))
+    assert got == {k: v[:2] for k, v in best.items()}
