@@ -184,12 +184,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """Encode whole texts (null: empty), append ``end_id`` to each, and write shards at ``path`` in ascending id order.
 
     Rows (part, seq, n_tokens, shard) hold one shard file each; (part, seq) ascends with doc_id. Repeated rows are
-    written as often as they come; rows without an id are left out, as no order is defined for them; other columns
+    written as often as they come; rows of one id are in the order of their texts; rows without an id are left out, as no order is defined for them; other columns
     are ignored; an empty table writes no shards.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")  # ties of an id are ordered by their texts
     dealt.mapInArrow(_write(tokenizer, end_id), "part int, seq int, n_tokens long, shard binary").write.parquet(path)
 
 
