@@ -153,7 +153,9 @@ class Phrases:
     def __init__(self, pairs: list[tuple[bytes, str]]):
         held: dict[bytes, set[str]] = {}
         for window, item in pairs:
-            held.setdefault(window, set()).add(item)
+            own = held.setdefault(window, set())  # of an item without an id only the window counts
+            if item is not None:
+                own.add(item)
         wins = [np.frombuffer(k, np.uint64) for k in held]
         self.items = [sorted(v) for v in held.values()]
         self.words, at = np.unique(np.concatenate(wins), return_inverse=True) if wins else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -275,7 +277,7 @@ def _build(batches):
 
 def _blocks(benchmark: DataFrame, width: int, item_col: str, text_col: str) -> DataFrame:
     """A table (block, blob) of the benchmark's phrases in blocks of about BLOCK pairs."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item IS NOT NULL")
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
     pairs = materialize(rows.mapInArrow(_windows(width), "item string, phrase binary").distinct(), "phrases")
     n = max(1, -(-pairs.count() // BLOCK))
     dealt = pairs.withColumn("block", F.pmod(F.xxhash64("phrase", "item"), F.lit(n)).cast("long"))
@@ -291,8 +293,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, clean:
     a test item, or all of its words if it has fewer; an item without words has none. A document's word inside
     any occurrence of a phrase is hit. Adjacent hit words merge into a span of word numbers [first, last) and
     UTF-8 byte offsets [start, end). With ``clean`` the spans are cut from the text, else the text stays as it is.
-    Null text has no words; items without an id are left out; repeated rows are each treated; columns with
-    the names of added ones are replaced; empty tables give empty results or no hits.
+    Null text has no words; windows of items without an id hit words, but name no item; items of one id are one,
+    and equal texts of several items name each; repeated rows are each treated; columns with the names of added ones are replaced; empty tables give empty results or no hits.
     """
     spark = docs.sparkSession
     ship_package(spark)

@@ -671,9 +671,8 @@ def test_decontamination_matches_brute_force(spark, sf, docs, texts, monkeypatch
     wins = collections.defaultdict(set)
     for i, x in items:
         w = rx.findall(lower(x))
-        if i is not None and w:
-            for k in range(max(1, len(w) - 9)):
-                wins[tuple(w[k : k + 10])].add(i)
+        for k in range(max(1, len(w) - 9) if w else 0):
+            wins[tuple(w[k : k + 10])].update([] if i is None else [i])  # without an id its words are hit, and no item is named
     for block, together in ((50_000, 16), (5, 16), (5, 2)):
         monkeypatch.setattr(D, "BLOCK", block)
         monkeypatch.setattr(D, "PASS_BLOCKS", together)
@@ -686,7 +685,7 @@ def test_decontamination_matches_brute_force(spark, sf, docs, texts, monkeypatch
             hit, found = set(), set()
             for n in {len(k) for k in wins}:
                 for k in range(len(w) - n + 1):
-                    if own := wins.get(tuple(m[0] for m in w[k : k + n])):
+                    if (own := wins.get(tuple(m[0] for m in w[k : k + n]))) is not None:
                         hit.update(range(k, k + n))
                         found |= own
             assert (r.n_words, r.n_hit, r.items) == (len(w), len(hit), sorted(found))
@@ -1009,3 +1008,13 @@ def test_ordered_positions_split_their_blocks(monkeypatch):
         assert held.add(x) == (max(below, default=None), min(above, default=None))
         some.append(x)
     assert list(held) == sorted(some) and held.n == 500
+
+
+def test_token_files_order_rows_of_one_id_by_their_texts(spark, tmp_path):
+    rows = [(7, x) for x in ("b b b", "a", None, "c c", "a")] * 3 + [(i, "x") for i in range(5)]
+    found = []
+    for parts in (1, 6):
+        path = str(tmp_path / str(parts))
+        R.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), path, BYTE_BPE)
+        found.append(sorted(map(tuple, R.read_token_files(spark, path).collect())))
+    assert found[0] == found[1]
