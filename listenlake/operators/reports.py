@@ -1,22 +1,14 @@
-"""Reports and share cards, put together from the statistics, and a small cache for their results."""
+"""Reports and share cards, put together from the statistics, and previews of rules."""
 
 from __future__ import annotations
 
-import hashlib
-import json
-import time
-from collections import OrderedDict
-from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame
 
 from listenlake.catalog import Catalog
 from listenlake.functions.period import days_of
-from listenlake.operators import library, listening
-
-#: Seconds that results stay valid, by kind of query.
-TTL = {"live": 60, "stats": 300, "library": 3600, "wrapped": 86_400, "preview": 15}
+from listenlake.operators import library, listening, rules
 
 
 def sections(cat: Catalog, period: str, as_of: datetime) -> dict[str, DataFrame]:
@@ -48,36 +40,7 @@ def share_card(cat: Catalog, period: str, as_of: datetime) -> DataFrame:
     return o.crossJoin(song).crossJoin(artist).crossJoin(listening.personality(cat, period, as_of).select("listener_type"))  # one row each
 
 
-class ResultCache:
-    """Small results by kind and arguments, each for its kind's time; at most ``size``, the oldest tenth goes first."""
-
-    def __init__(self, size: int = 1000, clock: Callable[[], float] = time.monotonic):
-        self.size, self.clock, self.hits, self.misses = size, clock, 0, 0
-        self._held: OrderedDict[str, tuple[float, object]] = OrderedDict()
-
-    def get(self, kind: str, arguments: dict, make: Callable[[], object]) -> object:
-        key = f"{kind}:{hashlib.sha256(json.dumps(arguments, sort_keys=True, default=str).encode()).hexdigest()}"
-        found = self._held.get(key)
-        if found and self.clock() < found[0]:
-            self.hits += 1
-            return found[1]
-        self.misses += 1
-        value = make()
-        if len(self._held) >= self.size:
-            for _ in range(max(1, self.size // 10)):
-                self._held.popitem(last=False)
-        self._held.pop(key, None)
-        self._held[key] = (self.clock() + TTL[kind], value)
-        return value
-
-    def invalidate(self, kind: str) -> None:
-        for key in [k for k in self._held if k.startswith(f"{kind}:")]:
-            del self._held[key]
-
-
-def preview(cache: ResultCache, compiler, rules: dict, limit: int = 20) -> tuple[list, int]:
-    """At most 100 rows of a rule and its total, cached for a moment."""
-    from listenlake.operators.rules import parse
-
-    limit = max(1, min(limit, 100))
-    return cache.get("preview", {"rules": rules, "limit": limit}, lambda: (compiler.playlist(parse(rules), limit=limit).collect(), compiler.count(parse(rules)).first()[0]))
+def preview(compiler: rules.Compiler, rule: dict, limit: int = 20) -> tuple[DataFrame, DataFrame]:
+    """At most 100 rows of a rule, and its total. Results that are read often are held by ``DataFrame.cache`` or as views."""
+    tree = rules.parse(rule)
+    return compiler.playlist(tree, limit=max(1, min(limit, 100))), compiler.count(tree)

@@ -124,15 +124,6 @@ def artist_variants(artists: DataFrame) -> DataFrame:
     return artists.select("artist_id", "name", F.explode(forms).alias("normalized_name")).groupBy("normalized_name").agg(F.max("artist_id").alias("artist_id"), F.max_by("name", "artist_id").alias("canonical_name"))
 
 
-VIEWS = {"daily": lambda c: listening_stats(c, "day"), "weekly": lambda c: listening_stats(c, "week"), "monthly": lambda c: listening_stats(c, "month"), "top_songs_monthly": top_songs_monthly, "songs_with_features": songs_with_features}
-
-
-def refresh_views(cat: Catalog, root: str, names: Iterable[str] = tuple(VIEWS)) -> None:
-    """Rebuild materialised aggregates below ``root``."""
-    for name in names:
-        VIEWS[name](cat).write.mode("overwrite").parquet(f"{root}/{name}")
-
-
 def retain(events: DataFrame, sessions: DataFrame, streaks: DataFrame, as_of: datetime, event_days: int = 90, session_days: int = 365) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What stays: events and sessions young enough (and events of kept sessions only), and streaks that are young, current or the longest."""
     kept = sessions.where(F.col("started_at") >= F.lit(as_of - timedelta(days=session_days)))

@@ -245,21 +245,13 @@ def test_audio_files(spark, tmp_path):
     assert [r.meta and r.meta.k for r in A.sidecars(side, "k int").orderBy("path").collect()] == [1, None]
 
 
-def test_result_cache(spark, sf, tmp_path):
+def test_preview_and_report(spark, sf, tmp_path):
     from listenlake.operators import reports
 
-    now = [0.0]
-    cache = reports.ResultCache(size=2, clock=lambda: now[0])
-    made = []
-    get = lambda k: cache.get("preview", {"k": k}, lambda: made.append(k) or k)
-    assert (get(1), get(1), made) == (1, 1, [1])
-    now[0] = 16
-    assert get(1) == 1 and made == [1, 1]
-    get(2), get(3), cache.invalidate("preview")
-    assert get(3) == 3 and (cache.hits, cache.misses) == (1, 5)
     k = R.Compiler(Catalog.testdata(spark, sf), AS_OF)
-    rows, total = reports.preview(reports.ResultCache(), k, R.TEMPLATES["Short Songs"][0], 5)
-    assert len(rows) == 5 <= total
+    rows, total = reports.preview(k, R.TEMPLATES["Short Songs"][0], 5)
+    assert rows.count() == 5 <= total.first()[0]
+    assert reports.preview(k, R.TEMPLATES["Short Songs"][0], 1000)[0].count() == min(100, total.first()[0])
     reports.write_report(Catalog.testdata(spark, sf), "month", AS_OF, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r" / "overview")).first().total_plays == 1000
 
