@@ -24,7 +24,7 @@ from listenlake.runtime import discard, materialize, ship_package
 
 _U = np.uint64
 #: Text bytes of a shard (a longer document is a shard of its own), rows between sampled positions.
-SHARD_BYTES, SAMPLE = 4 << 20, 8
+SHARD_BYTES, SAMPLE = 2 << 20, 8
 #: Pairs of a phrase and an item in a broadcast block (about 5 MB), blocks searched in one pass over the documents.
 BLOCK, PASS_BLOCKS = 50_000, 16
 
