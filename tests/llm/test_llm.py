@@ -933,7 +933,7 @@ def test_licenses_match_brute_force(spark, docs):
     assert collections.Counter(tuple(r) for r in out) == want
     assert LS.license_digest(empty(spark)).count() == 0
     kept = LS.scan_licenses(extra).where("doc_id = 5002").first().licenses
-    assert [(d.start, d.end, d.label) for d in kept] == [(0, 6, "gpl-3.0"), (8, 15, "lgpl-2.1")]
+    assert [(d.start, d.end, d.label) for d in kept] == [(0, 6, "gpl-3.0"), (8, 16, "lgpl-2.1")]
 
 
 def test_license_rules_hold_what_the_scan_counts_on(spark):
