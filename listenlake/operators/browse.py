@@ -113,6 +113,26 @@ def song_detail(cat: Catalog, sha_id: str) -> DataFrame:
     return one.join(names(cat.song_artists.join(cat.artists, "artist_id"), "name", "artists"), "sha_id", "left").join(names(cat.song_genres, "genre", "genres"), "sha_id", "left").select("sha_id", "title", "album", "artists", "genres")
 
 
+def song_details(cat: Catalog, labels: DataFrame, producers: DataFrame) -> DataFrame:
+    """Songs with artists (primary first, then by id), genres, labels, producers (distinct, sorted) and their files' number and bytes.
+
+    ``labels`` and ``producers`` have (sha_id, name). Every bridge is aggregated before it is joined, so no row multiplies another's.
+    """
+    names = lambda df, c, out: df.groupBy("sha_id").agg(F.array_join(F.array_sort(F.collect_set(c)), ",").alias(out))
+    by_role = F.array_sort(F.collect_list(F.struct((F.col("role") != "primary").alias("other"), "artist_id", "name")))
+    artists = cat.song_artists.join(cat.artists, "artist_id").groupBy("sha_id").agg(F.array_join(F.transform(by_role, lambda x: x["name"]), ",").alias("artists"))
+    files = cat.song_files.groupBy("sha_id").agg(_n().alias("files"), F.sum("file_size").cast("long").alias("bytes"))
+    out = cat.songs.select("sha_id", "title", "album", "duration_sec", "release_year", "track_number", "verified", "verification_source")
+    for own in (artists, names(cat.song_genres, "genre", "genres"), names(labels, "name", "labels"), names(producers, "name", "producers"), files):
+        out = out.join(own, "sha_id", "left")
+    return out.na.fill({"artists": "", "genres": "", "labels": "", "producers": "", "files": 0, "bytes": 0})
+
+
+def failed_features(cat: Catalog) -> DataFrame:
+    """Songs whose analysis failed, and why."""
+    return cat.audio_features.where("error_message IS NOT NULL").join(cat.songs, "sha_id").select("sha_id", "title", "error_message")
+
+
 def genres(cat: Catalog) -> DataFrame:
     return cat.song_genres.groupBy("genre").agg(F.count_distinct("sha_id").alias("songs"))
 
@@ -168,6 +188,27 @@ def catalog_page(cat: Catalog, q: str, limit: int = 50, offset: int = 0) -> Data
     return with_details(cat, cat.songs.join(hit, "sha_id", "left").where(text).drop("__hit").orderBy(F.desc("created_at"), "sha_id").offset(offset).limit(limit))
 
 
+def stored_albums(cat: Catalog, stored: DataFrame, search: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """Stored albums (album_id, title, artist_name, release_year, track_count, total_duration_sec) with the songs that the library has of them.
+
+    Songs count for the album that their title and each of their primary artists name. The latest year comes first, then titles; ``search``
+    is looked for in titles and artists.
+    """
+    named = cat.songs.where("album <> ''").join(cat.primary, "sha_id", "left")
+    counts = named.groupBy(F.md5(F.concat(F.lower("album"), F.lit("::"), F.lower(F.coalesce("artist", F.lit(""))))).alias("album_id")).agg(_n().alias("song_count"))
+    text = (search or "").strip()
+    some = stored.where(F.col("title").ilike(f"%{text}%") | F.col("artist_name").ilike(f"%{text}%")) if text else stored
+    out = some.orderBy(F.col("release_year").desc_nulls_last(), "title", "album_id").offset(offset).limit(limit).join(counts, "album_id", "left")
+    return out.select("album_id", "title", "artist_name", "release_year", "track_count", "total_duration_sec", F.coalesce("song_count", F.lit(0)).cast("long").alias("song_count"))
+
+
+def album_headers(cat: Catalog, stored: DataFrame) -> DataFrame:
+    """(album_id, title, artist_name, release_year, track_count, total_duration_sec) of every album: as stored, else made of its songs."""
+    own = albums(cat).join(stored.select("album_id"), "album_id", "left_anti")
+    made = own.select("album_id", F.col("album").alias("title"), F.col("artist").alias("artist_name"), "release_year", F.col("songs").alias("track_count"), F.col("duration_sec").alias("total_duration_sec"))
+    return stored.select(*made.columns).unionByName(made)
+
+
 def popular_albums(cat: Catalog, limit: int = 10) -> DataFrame:
     """Albums with the most songs."""
     return albums(cat).orderBy(F.desc("songs"), "album_id").limit(limit)

@@ -99,6 +99,20 @@ def advance_queue(queue: DataFrame, updates: DataFrame) -> DataFrame:
     return out.withColumns(new).where(~F.col("status").isin(ENDED)).select(*queue.columns)
 
 
+#: The time that entering a state sets.
+STAGE_TIMES = {"downloaded": "downloaded_at", "pcm_raw_ready": "processed_at", "hashed": "hashed_at", "embedded": "embedded_at"}
+
+
+def advance_queue_at(queue: DataFrame, updates: DataFrame, at: datetime) -> DataFrame:
+    """:func:`advance_queue` with the time of each stage: an update sets its state's time and updated_at; other times, and entries without an update, keep theirs."""
+    times = [c for c in (*STAGE_TIMES.values(), "updated_at") if c not in queue.columns]
+    rows = queue.withColumns({c: F.lit(None).cast("timestamp_ntz") for c in times})
+    moved = advance_queue(rows, updates).join(updates.select("queue_id", F.lit(True).alias("__moved")), "queue_id", "left")
+    now, hit = F.lit(at).cast("timestamp_ntz"), F.col("__moved").isNotNull()
+    new = {c: F.when(hit & (F.col("status") == state), now).otherwise(F.col(c)) for state, c in STAGE_TIMES.items()}
+    return moved.withColumns(new | {"updated_at": F.when(hit, now).otherwise(F.col("updated_at"))}).drop("__moved")
+
+
 def listening_stats(cat: Catalog, unit: str) -> DataFrame:
     """Plays, completions, skips, songs, time and mean completion by day, week or month."""
     return cat.play_sessions.groupBy(F.to_date(F.date_trunc(unit, "started_at")).alias("bucket")).agg(

@@ -77,3 +77,27 @@ for _m, _f in (("cosine", "list_cosine_similarity(a.v, b.v)"), ("euclidean", "1
 WITH {_ALL}, pair AS ({_PAIRS.format(f=_f)}), placed AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY s DESC, sha_id) AS INT) AS rank, sha_id, round(s, 6) AS score FROM pair)
 SELECT * FROM placed WHERE rank <= 10""", S, "vectors")
 add("v01_neighbours_indexed", lambda c: _neighbours(c, "cosine", 0.95))
+
+
+def _stored(c):
+    """Stored albums: those of even years, with a track that the library lacks."""
+    own = B.albums(c).where("release_year % 2 = 0")
+    return own.select("album_id", F.col("album").alias("title"), F.col("artist").alias("artist_name"), "release_year", (F.col("songs") + 1).alias("track_count"), F.col("duration_sec").alias("total_duration_sec"))
+
+
+_STORED = """pa AS (SELECT sha_id, arg_min(artist, artist_id) AS n FROM primary_artist GROUP BY 1),
+ own AS (SELECT md5(lower(album) || '::' || lower(n)) AS album_id, min(album) AS title, max(n) AS artist_name, min(release_year) AS release_year, count(*) AS track_count, CAST(sum(duration_sec) AS BIGINT) AS total_duration_sec
+  FROM songs JOIN pa USING (sha_id) WHERE album <> '' GROUP BY 1),
+ stored AS (SELECT * REPLACE (track_count + 1 AS track_count) FROM own WHERE release_year % 2 = 0)"""
+add("b04_stored_albums", lambda c: B.stored_albums(c, _stored(c)), f"""
+WITH {_STORED}, k AS (SELECT md5(lower(album) || '::' || lower(coalesce(artist, ''))) AS album_id, count(*) AS song_count FROM songs s LEFT JOIN primary_artist a ON s.sha_id = a.sha_id WHERE album <> '' GROUP BY 1)
+SELECT stored.*, coalesce(song_count, 0) AS song_count FROM stored LEFT JOIN k USING (album_id) ORDER BY release_year DESC NULLS LAST, title, album_id LIMIT 50""", S)
+add("b07_album_headers", lambda c: B.album_headers(c, _stored(c)), f"WITH {_STORED} SELECT * FROM stored UNION ALL SELECT * FROM own WHERE album_id NOT IN (SELECT album_id FROM stored)", S)
+#: Labels are brands and producers are types of the parts that songs are made of.
+add("b10_song_details", lambda c: B.song_details(c, *[c._stored["part"].select(F.col("p_partkey").cast("string").alias("sha_id"), F.col(x).alias("name")) for x in ("p_brand", "p_type")]), """
+SELECT s.sha_id, title, album, duration_sec, release_year, track_number, verified, verification_source,
+  coalesce((SELECT string_agg(name, ',' ORDER BY role <> 'primary', artist_id) FROM song_artists sa JOIN artists USING (artist_id) WHERE sa.sha_id = s.sha_id), '') AS artists,
+  coalesce((SELECT string_agg(DISTINCT genre, ',' ORDER BY genre) FROM song_genres g WHERE g.sha_id = s.sha_id), '') AS genres, p_brand AS labels, p_type AS producers,
+  (SELECT count(*) FROM song_files f WHERE f.sha_id = s.sha_id) AS files, CAST(coalesce((SELECT sum(file_size) FROM song_files f WHERE f.sha_id = s.sha_id), 0) AS BIGINT) AS bytes
+FROM songs s JOIN part ON CAST(p_partkey AS STRING) = s.sha_id""", S, SA, AR, G, "song_files")
+add("b14_failed_features", B.failed_features, "SELECT sha_id, title, error_message FROM audio_features JOIN songs USING (sha_id) WHERE error_message IS NOT NULL", S, "audio_features")

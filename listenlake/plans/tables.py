@@ -41,6 +41,7 @@ add("d06_content_dedup", lambda c: M.split_new_content(c.songs.select(F.col("sha
 add("d07_compact_log", lambda c: M.compact_log(c.play_sessions.select(F.col("session_id").cast("long").alias("no"), F.concat(F.lit('{"download_id":"'), F.col("user_id") % 50, F.lit('","stage":"'), "context_type", F.lit('"}')).alias("value"))).select("download_id", "stage", "no"), "SELECT CAST(user_id % 50 AS VARCHAR) AS download_id, context_type AS stage, max(CAST(session_id AS BIGINT)) AS no FROM play_sessions WHERE context_type IS NOT NULL GROUP BY 1, 2", P)
 add("d10_replace_children", lambda c: M.replace_children(c.song_genres, c.songs.where("release_year = 1990").select("sha_id", F.lit("nineties").alias("genre")), "sha_id"), "SELECT sha_id, genre FROM song_genres WHERE sha_id NOT IN (SELECT sha_id FROM songs WHERE release_year = 1990) UNION ALL SELECT sha_id, 'nineties' FROM songs WHERE release_year = 1990", S, "song_genres")
 add("t12_advance_queue", lambda c: M.advance_queue(c.download_queue, c.download_queue.where("status <> 'failed'").select("queue_id", F.when(F.col("status") == "downloaded", "stored").otherwise("hashed").alias("status"))), "SELECT * REPLACE (CASE WHEN status = 'pending' THEN 'hashed' ELSE status END AS status, CAST(attempts + CASE WHEN status = 'pending' THEN 1 ELSE 0 END AS INT) AS attempts) FROM download_queue WHERE status <> 'downloaded'", "download_queue")
+add("t12_stage_times", lambda c: M.advance_queue_at(c.download_queue, c.download_queue.where("status <> 'failed'").select("queue_id", F.when(F.col("status") == "downloaded", "stored").otherwise("hashed").alias("status")), datetime(2024, 2, 1)).select("queue_id", "status", "attempts", "downloaded_at", "hashed_at", "updated_at"), "SELECT queue_id, CASE WHEN status = 'pending' THEN 'hashed' ELSE status END AS status, CAST(attempts + CASE WHEN status = 'pending' THEN 1 ELSE 0 END AS INT) AS attempts, CAST(NULL AS TIMESTAMP) AS downloaded_at, CASE WHEN status = 'pending' THEN TIMESTAMP '2024-02-01' END AS hashed_at, CASE WHEN status = 'pending' THEN TIMESTAMP '2024-02-01' END AS updated_at FROM download_queue WHERE status <> 'downloaded'", "download_queue")
 add("t13_retention", lambda c: M.retain(c.play_sessions.select("session_id", F.col("started_at").alias("timestamp")), c.play_sessions, c.spark.sql("SELECT DATE '2024-01-01' AS start_date, DATE '2024-01-02' AS end_date, 2L AS length_days"), datetime(2024, 4, 20))[0], "SELECT session_id, started_at AS timestamp FROM play_sessions WHERE started_at >= TIMESTAMP '2024-01-21'", P)
 _EVENTS = """SELECT CAST(event_id AS STRING) AS event_id, CAST(event_id % 3000 AS STRING) AS session_id, CAST(user_id AS STRING) AS sha_id, CAST(60000 AS BIGINT) AS song_duration_ms, CASE event_type WHEN 'click' THEN 'pause' WHEN 'error' THEN 'end' WHEN 'purchase' THEN 'complete' WHEN 'signup' THEN 'seek' ELSE 'start' END AS event_type, CAST(floor(value * 500) AS BIGINT) AS position_ms, CASE WHEN user_id % 2 = 0 THEN 'next_song' END AS reason, ts AS timestamp FROM events"""
 add("t04_sessions_from_events", lambda c: playback.sessions_batch(c.spark.sql(_EVENTS.replace("FROM events", "FROM {e}"), e=c._stored["events"])).select("session_id", "started_at", "ended_at", "duration_played_ms", F.round("completion_percent", 6).alias("completion_percent"), "completed", "skipped"), f"""
