@@ -14,6 +14,8 @@ from listenlake.functions.text import fuzzy_ratio
 
 #: Least ratio of an artist; least weighted ratio of an album, and the weights of title and artist.
 ARTIST, ALBUM, TITLE_WEIGHT, ARTIST_WEIGHT = 0.82, 0.8, 0.7, 0.3
+#: Fixed value: least ratio of a recording's release to the album that was asked for.
+RELEASE = 0.6
 START = "\u0002"
 
 
@@ -123,3 +125,9 @@ def resolve_albums(asked: DataFrame, albums: DataFrame) -> DataFrame:
     scored = near.withColumn("score", TITLE_WEIGHT * F.col("ratio") + ARTIST_WEIGHT * own).where(F.col("score") >= ALBUM)
     best = scored.groupBy("title", "artist").agg(F.min(F.struct((-F.col("score")).alias("less"), "album_id")).alias("k"))
     return same.select("title", "artist", "album_id", "score").union(best.select("title", "artist", "k.album_id", -F.col("k.less")))
+
+
+def album_fits(asked: Column, release: Column) -> Column:
+    """The album gate of a recording match: its release's title must be like the album that was asked for; without one, any is fine."""
+    given = F.trim(F.coalesce(asked, F.lit(""))) != ""
+    return ~given | F.coalesce(fuzzy_ratio(normal(asked), normal(release)) >= RELEASE, F.lit(False))

@@ -86,6 +86,10 @@ add("u04_filenames", lambda c: TX.known_filenames(_file_names(c), _counted(c)))
 #: Names that differ from an artist's by signs only: each means that artist. The queries are the artists whose id is divisible by 50.
 add("u01_fuzzy_artists", lambda c: FZ.resolve_artists(c.artists.where("artist_id % 50 = 0").select(F.replace("name", F.lit("#"), F.lit(" - ")).alias("name")), c.artists), "SELECT replace(name, '#', ' - ') AS name, artist_id, name AS artist, CAST(1 AS DOUBLE) AS score FROM artists WHERE artist_id % 50 = 0", "artists")
 
+#: Releases of the asked title in other letters for every second song, of another title or of none for the others.
+_RELEASE = "CASE WHEN CAST(sha_id AS INT) % 2 = 0 THEN upper(album) || ' (Deluxe)' WHEN CAST(sha_id AS INT) % 3 = 0 THEN 'zzz' END"
+add("u07_album_gate", lambda c: c.songs.select("sha_id", FZ.album_fits(F.col("album"), F.expr(_RELEASE)).alias("fits")), "SELECT sha_id, coalesce(album, '') = '' OR CAST(sha_id AS INT) % 2 = 0 AS fits FROM songs", S)
+
 
 def _after_a_batch(c, name):
     """A view built from the plays before the 20th, then renewed where the later plays touch it."""

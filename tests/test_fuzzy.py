@@ -89,3 +89,9 @@ def test_albums_match_brute_force(spark):
         elif scored and -scored[0][0] >= 0.8:
             want[t, a] = scored[0][1], round(-scored[0][0], 9)
     assert got == want and len(want) > 10
+
+
+def test_the_album_gate(spark):
+    cases = [("Abbey Road", "abbey road (remastered)", True), ("Abbey Road", "Let It Be", False), ("Abbey Road", None, False), ("Abbey Road", "", False), (None, "x", True), (" ", None, True), ("Help!", "help", True)]
+    df = spark.createDataFrame(cases, "a string, r string, want boolean")
+    assert df.where(Z.album_fits(F.col("a"), F.col("r")) != F.col("want")).count() == 0
