@@ -839,7 +839,7 @@ def test_queries_match_sql(spark, sf):
 
     from listenlake.llm.queries import ORACLE, QUERIES
 
-    assert [int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES] == list(range(1, 14))
     for name, sql in ORACLE.items():
         check(QUERIES[name](spark, sf), sql, sf)
 
