@@ -70,6 +70,32 @@ def test_artists_that_edits_mean(spark):
     assert got == want and got["s1", "Queen"] == ("primary", 3)
 
 
+def test_names_that_differ_by_signs_are_not_compared(spark, monkeypatch):
+    def compared(*_):
+        raise AssertionError("an equal normalised name was compared")
+
+    monkeypatch.setattr(Z, "fuzzy_pairs", compared)
+    artists = spark.createDataFrame([(i, f"Supplier#{i:09}") for i in range(3000)] + [(5000, "Supplier 000000007")], "artist_id int, name string")
+    names = artists.where("artist_id % 50 = 0 OR artist_id = 7").select(F.replace("name", F.lit("#"), F.lit(" - ")).alias("name"))
+    got = {r.name: (r.artist_id, r.score) for r in Z.resolve_artists(names, artists).collect()}
+    assert got == {f"Supplier - {i:09}": (i, 1.0) for i in [7, *range(0, 3000, 50)]} | {"Supplier 000000007": (5000, 1.0)}
+
+
+def test_the_best_artist_is_found_at_every_ratio(spark):
+    rng = random.Random(9)
+    artists = [(i, f"{rng.choice(['the', 'dj', 'saint'])} {''.join(rng.choice('abcd') for _ in range(rng.randrange(4, 12)))}{rng.choice(['', '!', ' (x)'])}") for i in range(200)] + [(900, "thx abcdabcd"), (901, "the abcdxbcd")]
+    names = sorted({spoilt(rng, n) for _, n in artists for _ in range(2)} | {"the abcdabcd", "x", "(y)"})
+    want = {}
+    for name in names:
+        same = [(-1.0, i) for i, n in artists if n.lower() == name.strip().lower()]
+        near = [(-ratio(norm(name), norm(n)), i) for i, n in artists if norm(name) and norm(name).split()[0] in n.lower()]
+        top = min(same or near, default=(0, 0))
+        if name.strip() and -top[0] >= Z.ARTIST:
+            want[name] = top[1], round(-top[0], 9)
+    got = {r.name: (r.artist_id, round(r.score, 9)) for r in Z.resolve_artists(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(artists, "artist_id int, name string")).collect()}
+    assert got == want and sum(s < 0.88 for _, s in want.values()) > 5 and sum(0.88 <= s < 0.95 for _, s in want.values()) > 5
+
+
 def test_albums_match_brute_force(spark):
     rng = random.Random(6)
     words = ["love", "night", "blue", "x", "the", "songs", "live"]
