@@ -1,3 +1,7 @@
+import functools
+import itertools
+import math
+import operator
 import re
 from datetime import datetime, timedelta
 
@@ -424,3 +428,17 @@ def test_candidates_follow_the_answers_not_a_hot_trigram(spark):
     for r in text.most_similar(asked, names, "id", "id", "name", "name", n=2).orderBy(F.desc("similarity"), "r_key").collect():
         got.setdefault(r.l_key, []).append((r.r_key, r.similarity))
     assert got == {k: v[:2] for k, v in best.items()}
+
+
+def test_equal_means_are_equal_in_any_order(spark):
+    orders = list(itertools.permutations([95.33, 92.74, 82.62, 77.77, 85.34, 82.15]))
+    total = lambda x: functools.reduce(operator.add, x)
+    low, high = min(orders, key=total), max(orders, key=total)
+    assert total(low) < total(high)  # in doubles
+    plays = [(i, v) for i, values in (("a", low), ("b", high)) for v in values] + [("c", float("nan")), ("c", 1.0), ("d", 2e6), ("d", None), ("e", None)]
+    df = spark.createDataFrame(plays, "sha_id string, v double").coalesce(1)
+    got = {r.sha_id: r.m for r in df.groupBy("sha_id").agg(X.exact_mean("v").alias("m")).collect()}
+    assert got["a"] == got["b"] == 515.95 / 6 and math.isnan(got["c"]) and got["d"] == 2e6 and got["e"] is None
+    stored = df.where("sha_id < 'c'").selectExpr("sha_id", "timestamp_ntz '2024-01-30' AS started_at", "v AS completion_percent", "false AS skipped")
+    means = [r.avg_completion for r in R.play_stats(Catalog(spark, tables={"play_sessions": stored}), AS_OF).collect()]
+    assert means == [515.95 / 6] * 2
