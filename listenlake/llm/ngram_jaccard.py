@@ -18,7 +18,7 @@ are then paired with each other, so a group of n near copies costs about n pairs
 of several components share (a passage that they have in common) is split by a second word first: the two fullest words
 that linked sets share untouched lie among either set's d + 2 fullest, in the same order, so a linked pair whose
 fullest such word is that key also meets under the key joined with the second word. Documents that share several keys
-are paired under the least of them only.
+may be paired under each, and the plausible pairs are made distinct.
 """
 
 from __future__ import annotations
@@ -176,10 +176,10 @@ def _plausible(pairs: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _split(rows: DataFrame, offered: DataFrame) -> DataFrame:
-    """Rows (key, doc_id, c, docs) of open keys as (key, doc_id, c, all_keys), the keys of many documents joined with each further word.
+    """Rows (key, doc_id, c, docs) of open keys as (key, doc_id, c), the keys of many documents joined with each further word.
 
     A large key is split only where its documents outnumber the words that any of them offers: then the split makes
-    fewer rows than the pairs that it saves. all_keys: the document's keys that aren't split, or those that one was split into.
+    fewer rows than the pairs that it saves. Rows hold no list of their document's keys: its length times their number would outgrow the texts.
     """
     words = offered.select("doc_id", "sigs").dropDuplicates(["doc_id"])
     large = rows.where(F.col("docs") > HOT_DOCS).join(words, "doc_id")
@@ -188,13 +188,10 @@ def _split(rows: DataFrame, offered: DataFrame) -> DataFrame:
     pays = large.groupBy("key").agg(F.max(F.size("own")).alias("words"), F.first("docs").alias("docs")).where(F.col("docs") > HOT_RATIO * F.col("words")).select("key")
     pays = materialize(pays, "jaccard-hot-keys")
     later = F.expr("transform(slice(own, array_position(own, key) + 1, size(own)), x -> xxhash64(key, x))")
-    finer = large.join(pays, "key").select("doc_id", "c", later.alias("all_keys"))
-    finer = materialize(finer.select(F.explode("all_keys").alias("key"), "doc_id", "c", "all_keys"), "jaccard-finer")
+    finer = materialize(large.join(pays, "key").select(F.explode(later).alias("key"), "doc_id", "c"), "jaccard-finer")
     several = materialize(finer.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key"), "jaccard-finer-keys")
-    whole = materialize(rows.join(pays, "key", "left_anti").select("key", "doc_id", "c"), "jaccard-whole-keys")
-    whole = whole.join(whole.groupBy("doc_id").agg(F.collect_set("key").alias("all_keys")), "doc_id")
-    names = ["key", "doc_id", "c", "all_keys"]
-    return whole.select(*names).union(finer.join(several, "key").select(*names))
+    names = ["key", "doc_id", "c"]
+    return rows.join(pays, "key", "left_anti").select(*names).union(finer.join(several, "key").select(*names))
 
 
 def ngram_jaccard_components(
@@ -245,8 +242,8 @@ def ngram_jaccard_components(
     grouped = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("docs"))
     open_keys = materialize(grouped.where("c0 < c1").select("key", "docs"), "jaccard-open-keys")
     rest = materialize(_split(labelled.join(open_keys, "key"), offered).join(known.select("doc_id", "n", "bits"), "doc_id"), "jaccard-open")
-    side = lambda i: rest.select("key", *[F.col(c).alias(f"{short}{i}") for c, short in (("doc_id", ""), ("n", "n"), ("bits", "b"), ("c", "c"), ("all_keys", "k"))])
-    met = side("a").join(side("b"), "key").where("a < b AND ca <> cb AND key = array_min(array_intersect(ka, kb))")
+    side = lambda i: rest.select("key", *[F.col(c).alias(f"{short}{i}") for c, short in (("doc_id", ""), ("n", "n"), ("bits", "b"), ("c", "c"))])
+    met = side("a").join(side("b"), "key").where("a < b AND ca <> cb")
     across = materialize(_plausible(met, num, den).select("a", "b").distinct(), "jaccard-across")
     across = materialize(across.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
     if not across.isEmpty():

@@ -138,6 +138,18 @@ def test_jaccard_splits_keys_of_many_unlinked_documents(spark, monkeypatch):
     assert len({c for _, c in want.values()}) < 300
 
 
+def test_jaccard_open_rows_hold_no_lists(spark, monkeypatch):
+    """A row of an open key that carried its document's keys would make rows times keys in the shuffle."""
+    monkeypatch.setattr(J, "HOT_DOCS", 2)
+    monkeypatch.setattr(J, "HOT_RATIO", 0)
+    rows = spark.createDataFrame([(1, d, d, 3) for d in (10, 11, 12)] + [(2, d, d, 2) for d in (10, 11)], "key long, doc_id long, c long, docs long")
+    offered = spark.createDataFrame([(d, [[1, 2, 3]]) for d in (10, 11, 12)], "doc_id long, sigs array<array<long>>")
+    out = J._split(rows, offered)
+    assert out.columns == ["key", "doc_id", "c"] and not [c for c, kind in out.dtypes if kind.startswith("array")]
+    assert sorted(map(tuple, out.where("key = 2").collect())) == [(2, 10, 10), (2, 11, 11)] and out.where("key = 1").count() == 0
+    assert out.where("key <> 2").count() == 6  # each of three documents under the key joined with two further words
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
