@@ -73,3 +73,31 @@ def test_full_buckets_are_split(spark, monkeypatch):
     assert out.groupBy("q").count().count() == 600  # everyone finds something
     rows = N._ranked(out, "q", 5).where("q < 400").select("score").collect()
     assert min(r.score for r in rows) > 0.99
+
+
+def test_an_index_that_moves_many_copies_is_not_taken():
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    queries = unit(rng.standard_normal((60, 64)))
+    answers = [unit(0.5 * q + 0.108 * rng.standard_normal((10, 64))) for q in queries]  # cosines of about one half
+    for n in (20_000, 51_282, 600_000):
+        setting = N.fitted(queries, answers, n, 0.9)
+        assert setting is None or setting[0] * (1 + setting[1]) <= N.COPIES
+    assert N.fitted(queries, answers, 51_282, 0.9) is None
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+@pytest.mark.parametrize("scale", [1.0, 1e-12, 1e12])
+def test_few_rows_are_scored_in_double_precision(monkeypatch, metric, scale):
+    rng = np.random.default_rng(7)
+    m = rng.standard_normal((3000, 16))
+    m[:100], m[100:120], m[120:125] = np.round(m[:100]), m[99] + 1e-9 * rng.standard_normal((20, 16)), 0
+    m, ids = m * scale, np.array([str(x) for x in rng.permutation(3000)])
+    scored, count = N._scored, []
+    want = [np.lexsort((ids, -(s := scored(metric, np.repeat(q[None], len(m), 0), m))))[:7] for q in m[:150]]
+    monkeypatch.setattr(N, "_scored", lambda f, q, r: count.append(len(q)) or scored(f, q, r))
+    held = N._compared(metric, m[:150], ids[:1700], m[:1700], 7)
+    number, found, _ = N._compared(metric, m[:150], ids[1700:], m[1700:], 7, held)
+    assert [found[number == i].tolist() for i in range(150)] == [ids[w].tolist() for w in want]
+    if scale >= 1 or metric == "cosine":
+        assert sum(count) < 0.1 * 150 * 3000
