@@ -442,3 +442,17 @@ def test_equal_means_are_equal_in_any_order(spark):
     stored = df.where("sha_id < 'c'").selectExpr("sha_id", "timestamp_ntz '2024-01-30' AS started_at", "v AS completion_percent", "false AS skipped")
     means = [r.avg_completion for r in R.play_stats(Catalog(spark, tables={"play_sessions": stored}), AS_OF).collect()]
     assert means == [515.95 / 6] * 2
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.75])
+def test_names_that_begin_alike_make_few_candidates(spark, least):
+    names = [(i, f"Supplier#{i * 7919 % 90_000:09}") for i in range(400)] + [(900, "Al"), (901, "Al Al Bo"), (902, "x"), (903, "the supplier of suppliers 12345 and more")]
+    df = spark.createDataFrame(names, "id int, name string").cache()
+    sets = {r.id: set(r.g) for r in df.select("id", text.trigrams("name").alias("g")).collect()}
+    want = {(a, b) for a in sets if a % 10 == 0 for b in sets if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
+    some = df.where("id % 10 = 0")
+    got = text.similar_pairs(some, df, "id", "id", "name", "name", least)
+    assert {(r.l_key, r.r_key) for r in got.collect()} == want
+    if least == 0.6:
+        pairs = text.candidate_pairs(text._gram_sets(some, "id", "name", "l"), text._gram_sets(df, "id", "name", "r"), least)
+        assert pairs.count() < 0.35 * 41 * 404
