@@ -32,3 +32,11 @@ def test_a_bound_takes_the_mean_of_doubles_as_stored(spark, sf, tmp_path):
     out = QUERIES["r01_operator_counts"](spark, at)
     assert {r.rule: r.songs for r in out.collect()}["completion_rate less"] == 1
     check(out, ORACLE["r01_operator_counts"], at)
+
+
+def test_the_top_rated_are_sorted_by_the_means_of_doubles_as_stored(spark, sf, tmp_path):
+    orders = list(itertools.permutations([95.33, 92.74, 82.62, 77.77, 85.34, 82.15]))
+    at = tables(sf, tmp_path, {1: min(orders, key=total), 2: max(orders, key=total)})
+    out = QUERIES["r45_top_rated"](spark, at)
+    assert [r.sha_id for r in out.orderBy("position").collect()] == ["4", "1"]
+    check(out, ORACLE["r45_top_rated"], at)
