@@ -101,3 +101,26 @@ def test_few_rows_are_scored_in_double_precision(monkeypatch, metric, scale):
     assert [found[number == i].tolist() for i in range(150)] == [ids[w].tolist() for w in want]
     if scale >= 1 or metric == "cosine":
         assert sum(count) < 0.1 * 150 * 3000
+
+
+def test_no_row_of_a_full_bucket_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(N, "CAP", 40)
+    rng = np.random.default_rng(12)
+    m = np.vstack([rng.standard_normal((1, 16)) + 1e-7 * rng.standard_normal((300, 16)), rng.standard_normal((50, 16))])  # 300 that no plane parts
+    v = frame(spark, m)
+    asked = v.select(F.col("sha_id").cast("long").alias("q"), "vector")
+    best = {(r.q, r["rank"]): r.sha_id for r in N._ranked(N.indexed(v, asked, 5, 2, 1, 2), "q", 5).where("q < 300").collect()}
+    want = {(r.q, r["rank"]): r.sha_id for r in N._ranked(N.exact(v, asked, 5, "cosine"), "q", 5).where("q < 300").collect()}
+    assert len(want) == 1500 and best == want
+
+
+def test_where_buckets_are_full_the_exact_way_is_taken(spark, monkeypatch):
+    monkeypatch.setattr(N, "MOVED", 1)
+    rng = np.random.default_rng(13)
+    spread, one = clustered(2000, 10), rng.standard_normal((1, 32)) + 1e-3 * rng.standard_normal((2000, 32))
+    for m, taken in ((spread, True), (one, False)):
+        v = frame(spark, m)
+        asked = v.select(F.col("sha_id").cast("long").alias("q"), "vector")
+        assert (N.indexed(v, asked, 5, 2, 1, 6, whole=True) is not None) == taken
+    monkeypatch.setattr(N, "fitted", lambda *_: (2, 1, 6))
+    assert N.neighbours(v, v, 5, recall=0.9).orderBy("query", "rank").collect() == N.neighbours(v, v, 5).orderBy("query", "rank").collect()
