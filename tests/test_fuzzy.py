@@ -121,3 +121,22 @@ def test_the_album_gate(spark):
     cases = [("Abbey Road", "abbey road (remastered)", True), ("Abbey Road", "Let It Be", False), ("Abbey Road", None, False), ("Abbey Road", "", False), (None, "x", True), (" ", None, True), ("Help!", "help", True)]
     df = spark.createDataFrame(cases, "a string, r string, want boolean")
     assert df.where(Z.album_fits(F.col("a"), F.col("r")) != F.col("want")).count() == 0
+
+
+def test_names_that_share_a_few_trigrams_make_few_candidates(spark):
+    from listenlake.functions import text as T
+
+    rng = random.Random(8)
+    names = sorted({f"Supplier#{rng.randrange(10**6):09}" for _ in range(2000)})
+    asked = [f"{rng.choice(['', '01 ', 'the '])}{n}{rng.choice(['', ' new', ' old'])}" for n in names[::20]] + ["ab", "", None]
+    of = lambda rows, c: spark.createDataFrame([(x,) for x in rows], f"{c} string")
+    names += ["a", "ab", "ab c", "a" * 60, " ".join(f"word{i}" for i in range(12))]
+    asked += [names[-1], names[-1][:-3], "a" * 61]
+    brute = of(asked, "text").distinct().crossJoin(of(names, "name")).withColumn("similarity", T.similarity("text", "name"))
+    close = T.close_pairs(of(asked, "text"), of(names, "name"), 0.75)
+    want = brute.where("similarity >= 0.75").collect()
+    assert sorted(map(tuple, close.collect())) == sorted(map(tuple, want)) and len(want) >= 80
+    sets = T._gram_sets(of(asked, "text"), "text", "text", "l"), T._gram_sets(of(names, "name"), "name", "name", "r")
+    few, many = T.close_candidates(*sets, 0.75).count(), T.candidate_pairs(*sets, 0.75).count()
+    print("candidates", few, many)
+    assert few < 0.5 * many
